@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language_id, mixing, quality, token_counts, toxicity
+from corpusloom.llm import language_id, mixing, quality, token_counts, token_file, toxicity
 from corpusloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_toxicity": op3_toxicity,
+        "op4_token_file": op4_token_file,
         "op5_language_id": op5_language_id,
         "op7_mixing": op7_mixing,
         "op8_token_counts": op8_token_counts,
