@@ -145,8 +145,8 @@ def search(index: DataFrame, book: Codebooks | None, queries: DataFrame, *, k: i
     lanes = index.sparkSession.sparkContext.defaultParallelism * 3
     n, q = index.count(), queries.count()
     c_blocks, q_blocks = max(-(-n // block), min(lanes, -(-n // 256)), 1), max(-(-q // block), 1)
-    rows = index.select("vec_id", "embedding", "codes", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(c_blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-    asked = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("long").alias("cb"))
+    rows = index.select("vec_id", "embedding", "codes", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(c_blocks)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    asked = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
     sent = index.sparkSession.sparkContext.broadcast(book)
 
     def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
