@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, language_id, mixing, quality, token_counts, token_file, toxicity
+from corpusloom.llm import ann, decontamination, jaccard_join, language_id, mixing, quality, token_counts, token_file, toxicity
 from corpusloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -32,6 +36,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -46,10 +54,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_nearest": op2_nearest,
         "op3_toxicity": op3_toxicity,
         "op4_token_file": op4_token_file,
         "op5_language_id": op5_language_id,
+        "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_token_counts": op8_token_counts,
         "op10_quality": op10_quality,
@@ -57,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE_SQL}
+    return {"op1_jaccard_join": jaccard_join.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
