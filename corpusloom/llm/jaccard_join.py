@@ -231,17 +231,18 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:
-    """doc_id, class_id, n_links, n_shingles for every row of docs.
+    """doc_id, text_hash, class_id, n_links, n_shingles, kept for every row of docs.
 
     Documents are linked if the Jaccard likeness of their sets of n-word shingles (lower-case words between white
     space; all words of a text with fewer than n) reaches threshold; class_id is the smallest doc_id of the
     connected documents, n_links the number of other rows a row is linked to. Equal sets are one node with a
     number of copies, so copies are never expanded into pairs. A null or wordless text has no links and is a
     class of its own; with a null doc_id its class_id is null too. Rows with one doc_id are rows of their own.
+    kept marks, of each class, the rows with the smallest doc_id (null last, then smallest hash of the text).
     """
     docs = docs.select("doc_id", "text")
     rows = staged(signatures(docs, n), "join-signatures")
-    sets = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("lowest"), F.min("tokens").alias("tokens"), F.min("n_shingles").alias("n_shingles"))
+    sets = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count("*").alias("copies"), F.min(_order()).alias("one"), F.min("tokens").alias("tokens"), F.min("n_shingles").alias("n_shingles"))
     sets = staged(sets, "join-sets")
     met = components(meetings(sets.select("set_id", "n_shingles", "tokens"), threshold, recall), "join-met")
     met = staged(met.select(F.col("node").alias("set_id"), F.col("root").alias("group")).join(sets.select("set_id", "copies", "one", "n_shingles"), "set_id"), "join-candidates")
@@ -266,24 +267,31 @@ def classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: floa
     compared = staged(_compare(pairs.select("pair", "component", "low", "high", "block", "set_id", "copies", "shingles"), threshold), "join-compared")
     linked = components(compared.filter("b IS NOT NULL").select("a", "b"), "join-linked").select(F.col("node").alias("set_id"), "root")
     counts = compared.filter("links IS NOT NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
-    named = sets.select("set_id", "copies", "lowest").join(linked, "set_id", "left").join(counts, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    lowest = named.groupBy("root").agg(F.min("lowest").alias("class_id"))
-    named = named.join(lowest, "root").select(F.col("set_id"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    whole = rows.select("doc_id", "set_id", "n_shingles").join(staged(named, "join-named"), "set_id", "left")
-    return whole.select("doc_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
+    named = sets.select("set_id", "copies", "one").join(linked, "set_id", "left").join(counts, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    lowest = named.groupBy("root").agg(F.min("one").alias("first"))
+    named = named.join(lowest, "root").select("set_id", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    whole = rows.join(staged(named, "join-named"), "set_id", "left")
+    alone = F.col("set_id").isNull()
+    return whole.select(
+        "doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", (alone | (_order() == F.col("first"))).alias("kept"),
+    )
+
+
+def _order() -> F.Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, that with the smallest doc_id (then smallest text), with its columns unchanged.
+    """The document of each class that classes() marks as kept, with the columns of docs unchanged.
 
-    Documents without words are classes of their own and stay; of rows that repeat an id and text, one stays.
+    Documents without words are classes of their own and stay; of rows that repeat both id and text, one stays.
     """
-    (rank, key) = fresh(docs, "_rank", "_key")
-    found = classes(docs, **options)
-    kept = found.filter((F.col("doc_id") == F.col("class_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias(key)).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
-    # A row per id and text; a class whose smallest id repeats keeps its smallest text.
-    return rows.dropDuplicates(["doc_id", "text"])
+    key, text = fresh(docs, "_key", "_hash")
+    lowest = F.lit(-(2**63))
+    kept = classes(docs, **options).filter("kept").select(F.coalesce("doc_id", lowest).alias(key), F.col("text_hash").alias(text)).distinct()
+    rows = docs.withColumn(key, F.coalesce("doc_id", lowest)).withColumn(text, F.xxhash64("text"))
+    return rows.join(kept, [key, text], "left_semi").dropDuplicates([key, text]).select(*docs.columns)
 
 
 ORACLE_SQL = """
