@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,18 @@ def smallest_by_hash(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame
     return hashed.filter(F.col(name) <= F.lit(top if top is not None else -(2**63))).drop(name)
 
 
+def trained(sample: DataFrame, learn: Callable[[pd.DataFrame], object]) -> object:
+    """What learn() makes of a sample of bounded size, in one task of an executor rather than in the driver; the model comes back pickled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            yield pd.DataFrame({"model": [pickle.dumps(learn(pd.concat(parts, ignore_index=True)))]})
+
+    row = sample.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(row[0]) if row else learn(pd.DataFrame({c: [] for c in sample.columns}))
+
+
 def hashed_subwords(words: list[str], buckets: int, shortest: int = 3, longest: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the character n-grams of each word, marked as <word>, and of the word itself.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordScores, crc_of_id, hashed_subwords, in_slices, smallest_by_hash
+from corpusloom.llm.common import WordScores, crc_of_id, hashed_subwords, in_slices, smallest_by_hash, trained
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -98,9 +98,12 @@ def fit(docs: DataFrame, *, fit_rows: int = 6000, seed: int = 5) -> LanguageMode
     Rows with a null doc_id, lang or text aren't learned from.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_of_id() % 3 != 1))
-    sample = smallest_by_hash(usable, "doc_id", fit_rows, seed).limit(fit_rows).toPandas()
-    sample = sample.sort_values(["doc_id", "lang", "text"])
-    return train(list(sample["text"]), list(sample["lang"]), seed=seed)
+
+    def learn(rows: pd.DataFrame) -> LanguageModel:
+        rows = rows.sort_values(["doc_id", "lang", "text"])
+        return train(list(rows["text"]), list(rows["lang"]), seed=seed)
+
+    return trained(smallest_by_hash(usable, "doc_id", fit_rows, seed).limit(fit_rows), learn)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordScores, crc_of_id, hashed_subwords, in_slices, smallest_by_hash
+from corpusloom.llm.common import WordScores, crc_of_id, hashed_subwords, in_slices, smallest_by_hash, trained
 
 WORDS = re.compile(r"\w+")
 
@@ -55,15 +55,18 @@ def window_logits(sums: np.ndarray, lengths: np.ndarray, span: int) -> tuple[np.
 def train(texts: list[str], toxic: list[int], *, buckets: int = 2**18, dim: int = 8, span: int = 2, rounds: int = 10, rate: float = 8.0, seed: int = 3) -> ToxicModel:
     """Fit on labelled texts; a fifth of them calibrates. With only one label the score is that label's."""
     rng = np.random.default_rng(seed)
-    docs = [(w, int(y)) for t, y in zip(texts, toxic, strict=True) if (w := words_of(t))]
+    vocabulary: dict[str, int] = {}
+    docs = []
+    for t, label in zip(texts, toxic, strict=True):
+        if w := words_of(t):
+            docs.append((np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in w), np.int32, len(w)), int(label)))
     if len({y for _, y in docs}) < 2:
         return ToxicModel(np.zeros((buckets, 1), np.float32), 0.0, 0.0, 40.0 if docs and docs[0][1] else -40.0, span)
     order = rng.permutation(len(docs))
     held, fit = order[: len(docs) // 5], order[len(docs) // 5 :]
     if len({docs[i][1] for i in held}) < 2 or len({docs[i][1] for i in fit}) < 2:
         held = fit = order
-    vocabulary: dict[str, int] = {}
-    flat = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in docs[i][0]), np.int32, len(docs[i][0])) for i in fit]
+    flat = [docs[i][0] for i in fit]
     y = np.array([docs[i][1] for i in fit])
     owner, ids = hashed_subwords(list(vocabulary), buckets)
     first = np.argsort(owner, kind="stable")
@@ -114,7 +117,8 @@ def train(texts: list[str], toxic: list[int], *, buckets: int = 2**18, dim: int
                 bias -= 0.1 * lr * wrong.mean(0)
                 np.subtract.at(embed, sub, lr * back[bag])
     model = ToxicModel((embed @ (weights[:, 1] - weights[:, 0])).astype(np.float32)[:, None], float(bias[1] - bias[0]), 1.0, 0.0, span)
-    best = document_logits([docs[i][0] for i in held], WordScores(model.table), model)
+    spelled, scores = list(vocabulary), WordScores(model.table, remember=len(vocabulary))
+    best = np.concatenate([document_logits([[spelled[j] for j in docs[i][0]]], scores, model) for i in held])
     model.slope, model.offset = _platt(best, np.array([docs[i][1] for i in held], float))
     return model
 
@@ -152,9 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 7000, seed: int =
     most = {1: fit_rows * 3 // 7, 0: fit_rows - fit_rows * 3 // 7}
     chosen = [smallest_by_hash(usable.filter(F.col("toxic") == v), "doc_id", n, seed).limit(n) for v, n in most.items()]
     chosen = chosen[0].unionByName(chosen[1])  # bounded by fit_rows, so it may be broadcast
-    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").limit(2 * fit_rows).toPandas()
-    sample = sample.sort_values(["doc_id", "toxic", "text"])
-    return train(list(sample["text"]), list(sample["toxic"]), seed=seed)
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").limit(2 * fit_rows)
+
+    def learn(rows: pd.DataFrame) -> ToxicModel:
+        rows = rows.sort_values(["doc_id", "toxic", "text"])
+        return train(list(rows["text"]), list(rows["toxic"]), seed=seed)
+
+    return trained(sample, learn)
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:
