@@ -77,10 +77,14 @@ def definitions(path: str, text: str) -> list[Definition] | None:
     return None if language is None else SCANNERS[language](text)
 
 
-@F.pandas_udf("array<struct<name:string,kind:string,start_line:int,end_line:int>>")
-def symbols_of(paths: pd.Series, texts: pd.Series) -> pd.Series:
-    """Named definitions at any depth."""
-    return pd.Series([[{"name": n, "kind": k, "start_line": a, "end_line": b} for k, n, a, b, _ in definitions(p, t) or [] if n] for p, t in zip(paths, texts, strict=True)])
+def symbols_of(path, text):
+    """Column of the named definitions at any depth."""
+
+    @F.pandas_udf("array<struct<name:string,kind:string,start_line:int,end_line:int>>")
+    def run(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"name": n, "kind": k, "start_line": a, "end_line": b} for k, n, a, b, _ in definitions(p, t) or [] if n] for p, t in zip(paths, texts, strict=True)])
+
+    return run(path, text)
 
 
 def _sanitize(text: str) -> str:
@@ -153,7 +157,9 @@ def _depth_and_nodes(path: str, text: str) -> tuple[int, int, int]:
     return max(most, indent) + bool(words), 1 + len(words), len(re.findall(rf"(?m)^{pattern}", text)) if pattern else 0
 
 
-@F.pandas_udf("max_depth int, node_count int, line_count int, def_count int, import_count int, language string, error string")
+COUNTS = "max_depth int, node_count int, line_count int, def_count int, import_count int, language string, error string"
+
+
 def syntax_counts(paths: pd.Series, texts: pd.Series) -> pd.DataFrame:
     rows = []
     for path, text in zip(paths, texts, strict=True):
@@ -174,5 +180,5 @@ def complexity_score():
 
 def complexity(files):
     """filepath and complexity of each file (filepath, content), with `triage` for scores over 50; unsupported suffixes carry an error."""
-    rows = files.select("filepath", syntax_counts("filepath", "content").alias("c")).select("filepath", "c.*")
+    rows = files.select("filepath", F.pandas_udf(syntax_counts, COUNTS)("filepath", "content").alias("c")).select("filepath", "c.*")
     return rows.withColumn("complexity_score", complexity_score()).withColumn("triage", F.when(F.col("complexity_score") > 50, "Escalate to Flagship"))
