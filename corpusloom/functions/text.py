@@ -52,8 +52,12 @@ def read_range(text: Column, start_line: int = 1, max_lines: int = 500) -> Colum
 
 
 def md5_bucket(text: Column, buckets: int) -> Column:
-    """The md5 digest as one 128-bit number, modulo buckets (up to 2^31), folded word by word."""
-    digest = F.md5(text)
+    """The md5 digest as one 128-bit number, modulo buckets (up to 2^31)."""
+    return digest_bucket(F.md5(text), buckets)
+
+
+def digest_bucket(digest: Column, buckets: int) -> Column:
+    """A hexadecimal digest of 128 bits modulo buckets, folded word by word."""
     out = F.lit(0).cast("long")
     for i in range(4):
         word = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")

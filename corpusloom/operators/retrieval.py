@@ -72,9 +72,8 @@ def dense_batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str
                     keys = part[id_column].to_numpy()
                     scores = matrix @ (x / np.where(norm > 0, norm, np.nan)[:, None]).T
                     for q, own in enumerate(scores):
-                        top = np.argsort(-own, kind="stable")
-                        edge = np.sort(-own)[min(k, len(own)) - 1]
-                        top = [j for j in top if -own[j] <= edge]
+                        edge = np.partition(-own, min(k, len(own)) - 1)[min(k, len(own)) - 1]
+                        top = np.flatnonzero(-own <= edge) if edge == edge else np.flatnonzero(own == own)
                         best[q] = heapq.nsmallest(k, best[q] + [(-own[j], keys[j]) for j in top])
             rows = [(ids[q], key, -s) for q, found in enumerate(best) for s, key in found if s == s]
             yield pd.DataFrame(rows, columns=["query_id", id_column, "score"])

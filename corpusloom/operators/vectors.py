@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import md5_bucket, tokens
+from corpusloom.functions.text import digest_bucket, md5_bucket, tokens
 
 VOCABULARY = 50_000
 
@@ -30,13 +30,21 @@ def postings(rows: DataFrame, keys: list[str], text: str = "content", vocabulary
     return counts.join(norms, keys).select(*keys, "idx", (F.col("tf") / F.col("norm")).alias("val"))
 
 
-def sparse_vector(text: Column, vocabulary: int = VOCABULARY) -> Column:
-    """A text's sparse vector as struct(indices ascending, values), inside the row; empty arrays for no terms."""
-    ids = F.array_sort(F.transform(tokens(text), lambda t: md5_bucket(t, vocabulary)))
-    unique = F.array_distinct(ids)
-    counts = F.transform(unique, lambda i: F.size(F.filter(ids, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c))
-    return F.struct(unique.alias("indices"), F.transform(counts, lambda c: c / norm).alias("values"))
+def with_sparse(rows: DataFrame, text: str = "content", vocabulary: int = VOCABULARY, column: str = "sparse") -> DataFrame:
+    """rows with a text's sparse vector as struct(indices ascending, values), inside the row; empty arrays for no terms.
+
+    Equal ids stand together once sorted, so that counting them takes one pass. Each step is a column of its
+    own: inside a lambda, an expression would be evaluated again for every element.
+    """
+    digests = F.transform(tokens(F.col(text)), lambda t: F.md5(t))
+    rows = rows.withColumn("_ids", F.array_sort(F.transform(digests, lambda d: digest_bucket(d, vocabulary))))
+    n = F.size("_ids")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_first", F.filter(places, lambda i: (i == 1) | (F.element_at("_ids", i) != F.element_at("_ids", F.greatest(i - 1, F.lit(1))))))
+    rows = rows.withColumn("_tf", F.transform("_first", lambda i, k: (F.coalesce(F.try_element_at("_first", k + 2), n + 1) - i).cast("double")))
+    rows = rows.withColumn("_norm", F.sqrt(F.aggregate("_tf", F.lit(0.0), lambda a, c: a + c * c)))
+    vector = F.struct(F.transform("_first", lambda i: F.element_at("_ids", i)).alias("indices"), F.transform("_tf", lambda c: c / F.col("_norm")).alias("values"))
+    return rows.withColumn(column, vector).drop("_ids", "_first", "_tf", "_norm")
 
 
 def vectors_of(postings_df: DataFrame, keys: list[str]) -> DataFrame:

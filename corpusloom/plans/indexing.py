@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.chunking import chunk
 from corpusloom.operators.collection import Collection, points
 from corpusloom.operators.state import after_success, should_reindex
-from corpusloom.operators.vectors import embed, sparse_vector
+from corpusloom.operators.vectors import embed, with_sparse
 from corpusloom.plans.staging import staged
 from corpusloom.sources.readers import extracted
 
@@ -17,8 +17,9 @@ def to_points(files: DataFrame, provider, *, strategy: str = "ast", root: str |
     """files(filepath, content as text, commit columns if any) to rows of a collection, in one pass without a shuffle."""
     rows = points(chunk(files, strategy, **window), root, buckets)
     rows = embed(rows, provider, batch=batch)
-    empty = F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
-    return rows.withColumn("sparse", sparse_vector(F.col("content"), vocabulary) if vocabulary else empty)
+    if vocabulary:
+        return with_sparse(rows, vocabulary=vocabulary)
+    return rows.withColumn("sparse", F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")))
 
 
 def index_changes(changes: DataFrame, collection: Collection, state: DataFrame, provider, *, root: str, log: DataFrame | None = None, strategy: str = "ast", **window: int) -> DataFrame:

@@ -131,7 +131,7 @@ def test_sparse_vectors(spark):
     texts = strings(60)
     df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "id int, content string")
     for vocabulary in (7, 50_000):
-        rows = df.select("id", vectors.sparse_vector(F.col("content"), vocabulary).alias("v")).collect()
+        rows = vectors.with_sparse(df, vocabulary=vocabulary, column="v").collect()
         for r in rows:
             want = model(texts[r.id], vocabulary)
             assert r.v.indices == sorted(want) and r.v["values"] == pytest.approx([want[i] for i in sorted(want)])
