@@ -34,7 +34,26 @@ def qa_context(hits: DataFrame, id_column: str = "point_id") -> DataFrame:
 
 
 def search_result() -> Column:
-    return F.format_string("### %s (Score: %.2f)\n```\n%s\n```\n", F.coalesce("filepath", F.lit("Unknown File")), "score", "content")
+    """One hit as a heading and a fenced block; needs filepath, language, content, score."""
+    return F.format_string("### %s (Score: %.2f)\n```%s\n%s\n```\n", F.coalesce("filepath", F.lit("Unknown File")), "score", F.coalesce("language", F.lit("text")), F.coalesce("content", F.lit("")))
+
+
+def search_results(hits: DataFrame, collection: str, id_column: str = "point_id") -> str:
+    """The answer to a search: a top-k as one text."""
+    row = joined(hits, search_result(), id_column=id_column).first()
+    return f"# Semantic Search Results (Collection: {collection})\n\n{row.text}" if row and row.text else f"No relevant code found in collection '{collection}'."
+
+
+def hit_json(id_column: str = "point_id", payload: tuple[str, ...] = ("filepath", "content", "language", "chunk_index")) -> Column:
+    """A hit as JSON: id, score, payload."""
+    return F.to_json(F.struct(F.col(id_column).alias("id"), F.col("score").alias("score"), F.struct(*payload).alias("payload")))
+
+
+def web_text(results: DataFrame, query: str) -> str:
+    """Search results (rank, title, url, snippet) as numbered markdown; as many as a search returns."""
+    block = F.format_string("## %d. %s\n- **URL**: %s\n- **Snippet**: %s\n", F.row_number().over(W.orderBy("rank")), "title", "url", "snippet")
+    rows = results.orderBy("rank").select(block.alias("b")).collect()
+    return "\n".join([f"# Web Search Results for: {query}\n", *(r.b for r in rows)]) if rows else f"No web results found for: {query}"
 
 
 def section_label() -> Column:

@@ -140,6 +140,24 @@ def results_and_answers(results: DataFrame, answers: DataFrame) -> DataFrame:
     return results.select("title", "url", "snippet").unionByName(answers.select(F.lit("Answer").alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.col("content").alias("snippet")))
 
 
+def scout(pages: DataFrame, urls: list[str], max_results: int = 3, mode: str = "full", wanted: dict[str, list[str]] | None = None) -> DataFrame:
+    """url, text of the first 1 to 10 of urls: pages in full (long ones shortened), their contents (toc), or the sections wanted of each."""
+    from corpusloom.functions.render import sections_text, shorten_page, toc_text
+
+    asked = list(dict.fromkeys(urls[: max(1, min(max_results, 10))]))
+    found = pages.filter(F.col("url").isin(asked) & (F.col("markdown") != "")).select("url", "markdown")
+    if mode == "full":
+        return shorten_page(page_chunks(found), found).select("url", F.col("shown").alias("text"))
+    chunks = page_chunks(found)
+    if mode == "toc":
+        return toc_text(chunks).withColumnRenamed("toc", "text")
+    out = None
+    for url in asked:
+        part = sections_text(chunks.filter(F.col("url") == url), (wanted or {}).get(url, []))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def research(results: DataFrame, pages: DataFrame, max_urls: int = 3) -> DataFrame:
     """rank, title, url, snippet, shown: the first results whose page is there, with long pages shortened. results are in order of `rank`."""
     from corpusloom.functions.render import shorten_page

@@ -57,3 +57,14 @@ def latest_commits(log: DataFrame) -> DataFrame:
 def with_commits(files: DataFrame, log: DataFrame) -> DataFrame:
     """files(filepath, ...) with its commit's columns, null where there is none."""
     return files.join(latest_commits(log).withColumnRenamed("path", "filepath"), "filepath", "left")
+
+
+def history_text(path: str, latest: DataFrame) -> str:
+    """The last commit of a file, as latest_commits() has it, as markdown."""
+    row = latest.filter(F.col("path") == path).first()
+    if row is None:
+        return f"No git history found for: {path}\n(File may be untracked or has no commits.)"
+    return (
+        f"# Git History: {path.rsplit('/', 1)[-1]}\n- **Commit**: `{row.commit_hash}`\n- **Author**: {row.commit_author} <{row.commit_email}>\n"
+        f"- **Date**: {row.commit_date}\n- **Subject**: {row.commit_subject}\n"
+    )

@@ -320,6 +320,27 @@ def test_web_search(spark):
     del web.SEARCH_BACKENDS["duckduckgo"]
 
 
+def test_scout(spark):
+    pages = spark.createDataFrame([("u", "# A\nb\n# C\nd"), ("v", "w"), ("e", "")], "url string, markdown string")
+    text = lambda *a, **k: {r.url: r.text for r in web.scout(pages, *a, **k).collect()}
+    assert text(["u", "v", "e"], 0) == {"u": "# A\nb\n# C\nd"} and text(["u", "v", "e"], 50)["v"] == "w"
+    assert text(["u"], mode="toc")["u"].startswith("## Table of Contents: u")
+    found = text(["u", "v"], mode="sections", wanted={"u": ["c"]})
+    assert "### C  (H1" in found["u"] and found["v"] == "No sections requested."
+
+
+def test_rendering(spark):
+    hits = spark.createDataFrame([("p", None, "x", "go", 0, 0.123), ("q", "a.py", "y", "python", 1, 0.9)], "point_id string, filepath string, content string, language string, chunk_index int, score double")
+    assert render.search_results(hits, "c") == "# Semantic Search Results (Collection: c)\n\n### a.py (Score: 0.90)\n```python\ny\n```\n\n### Unknown File (Score: 0.12)\n```go\nx\n```\n"
+    assert render.search_results(hits.filter("false"), "c") == "No relevant code found in collection 'c'."
+    assert hits.filter("point_id = 'q'").select(render.hit_json().alias("j")).first().j == '{"id":"q","score":0.9,"payload":{"filepath":"a.py","content":"y","language":"python","chunk_index":1}}'
+    found = spark.createDataFrame([(5, "T", "u", "s"), (2, "S", "v", "t")], "rank int, title string, url string, snippet string")
+    assert render.web_text(found, "q") == "# Web Search Results for: q\n\n## 1. S\n- **URL**: v\n- **Snippet**: t\n\n## 2. T\n- **URL**: u\n- **Snippet**: s\n"
+    latest = spark.createDataFrame([("/r/a.py", "h", "A", "e", "d", "s")], "path string, commit_hash string, commit_author string, commit_email string, commit_date string, commit_subject string")
+    assert "- **Author**: A <e>" in versions.history_text("/r/a.py", latest) and versions.history_text("/r/b", latest).startswith("No git history found for: /r/b")
+    assert rag.answer_text("a", "s") == "## Answer\n\na\n\n## Sources\n\ns"
+
+
 # ---------------------------------------------------------------- answers and settings
 
 
