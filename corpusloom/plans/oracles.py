@@ -70,7 +70,7 @@ PAYLOAD = f"payload AS (SELECT doc_id AS vec_id, filepath, content, {LANGUAGE} A
 
 def hybrid(k: int) -> str:
     return f"""{DENSE}, {DOC}, {ITEM}, {terms("doc", "p")}, {terms("item", "q")},
-sparse AS (SELECT p.key AS vec_id, sum(p.val * q.val) AS score FROM p JOIN q USING (idx) GROUP BY 1),
+sparse AS (SELECT p.key AS vec_id, round(sum(p.val * q.val), 12) AS score FROM p JOIN q USING (idx) GROUP BY 1),
 parts AS (
   SELECT vec_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, vec_id)) AS part FROM (SELECT * FROM dense ORDER BY score DESC, vec_id LIMIT {2 * k})
   UNION ALL
@@ -117,9 +117,9 @@ ORACLES: dict[str, str] = {
     "sparse_tf": f"WITH {DOC}, {terms('doc', 'p')} SELECT key AS doc_id, idx, tf FROM p_tf",
     "sparse_norms": f"WITH {DOC}, {terms('doc', 'p')} SELECT key AS doc_id, round(sum(val * val), 6) AS norm2, count(*) AS n_terms FROM p GROUP BY 1",
     "sparse_search": f"""WITH {KEYED}, {by_lines('keyed')}, pts AS (SELECT key || '_' || chunk_index AS key, content FROM chunks), {ITEM}, {terms('pts', 'p')}, {terms('item', 'q')}
-        SELECT point_id, round(score, 6) AS score FROM (SELECT p.key AS point_id, sum(p.val * q.val) AS score FROM p JOIN q USING (idx) GROUP BY 1 ORDER BY score DESC, point_id LIMIT 10)""",
+        SELECT point_id, round(score, 6) AS score FROM (SELECT p.key AS point_id, round(sum(p.val * q.val), 12) AS score FROM p JOIN q USING (idx) GROUP BY 1 ORDER BY score DESC, point_id LIMIT 10)""",
     "sparse_batch_search": f"""WITH {DOC}, items AS (SELECT item_id AS key, text AS content FROM benchmark), {terms('doc', 'p')}, {terms('items', 'q')},
-        hits AS (SELECT q.key AS query_id, p.key AS doc_id, sum(p.val * q.val) AS score FROM p JOIN q USING (idx) GROUP BY 1, 2),
+        hits AS (SELECT q.key AS query_id, p.key AS doc_id, round(sum(p.val * q.val), 12) AS score FROM p JOIN q USING (idx) GROUP BY 1, 2),
         top AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3)
         SELECT query_id, round(sum(score), 5) AS total, round(max(score), 5) AS best, count(*) AS n FROM top GROUP BY 1""",
     "dense_topk": f"WITH {DENSE} SELECT vec_id, round(score, 6) AS score FROM dense ORDER BY dense.score DESC, vec_id LIMIT 10",
