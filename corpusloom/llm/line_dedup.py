@@ -102,7 +102,8 @@ def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     right = ranks.withColumnsRenamed({"rank": "r2", "pos": "from"})
     runs = tests.join(left, ["k", *PLACE]).withColumn("from", F.col("pos") + F.col("n") - F.expr("shiftleft(1, k)")).join(right, ["k", "d", "t", "from"])
     runs = staged(runs.select(*PLACE, "n", "r1", "r2"), "lines-runs")
-    first = runs.groupBy("n", "r1", "r2").agg(F.min(F.struct(*PLACE)).alias("first"))
+    # Written, so that Spark can split a hot run's rows in the join.
+    first = staged(runs.groupBy("n", "r1", "r2").agg(F.min(F.struct(*PLACE)).alias("first")), "lines-first")
     later = runs.join(first, ["n", "r1", "r2"]).filter(F.struct(*PLACE) > F.col("first"))
     return later.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
@@ -124,19 +125,19 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         rows = []
         for text, own in zip(texts, places, strict=True):
-            if text is None:
-                rows.append((None, 0, 0))
-            elif own is None or not len(own):
-                rows.append((text, text.count("\n") + 1, 0))
-            else:
-                lines = text.split("\n")
-                gone = np.zeros(len(lines) + 1, np.int64)
-                np.add.at(gone, [r["pos"] for r in own], 1)
-                np.add.at(gone, [r["pos"] + r["n"] for r in own], -1)
-                kept = [x for x, g in zip(lines, np.cumsum(gone[:-1]), strict=True) if not g]
-                rows.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+            lines = text.split("\n")
+            gone = np.zeros(len(lines) + 1, np.int64)
+            np.add.at(gone, [r["pos"] for r in own], 1)
+            np.add.at(gone, [r["pos"] + r["n"] for r in own], -1)
+            kept = [x for x, g in zip(lines, np.cumsum(gone[:-1]), strict=True) if not g]
+            rows.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    keyed = docs.withColumn(d, _id()).withColumn(t, F.xxhash64("text")).join(found, [d, t], "left")
-    keyed = keyed.withColumn(out, cut("text", runs))
-    return keyed.select(*[F.col(f"{out}.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], f"{out}.n_lines", f"{out}.n_removed")
+    # Merge joins at every size, over one shuffle: what is to be deleted grows with the input, so it is never
+    # broadcast. Only documents that lose lines pass through Python.
+    keyed = docs.withColumn(d, _id()).withColumn(t, F.xxhash64("text"))
+    cut_rows = keyed.join(found.hint("merge"), [d, t]).withColumn(out, cut("text", runs))
+    cut_rows = cut_rows.select(*[F.col(f"{out}.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], f"{out}.n_lines", f"{out}.n_removed")
+    whole = keyed.join(found.select(d, t).hint("merge"), [d, t], "left_anti")
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    return cut_rows.unionByName(whole.select(*docs.columns, n_lines.alias("n_lines"), F.lit(0).alias("n_removed")))
