@@ -31,7 +31,8 @@ def index_changes(changes: DataFrame, collection: Collection, state: DataFrame,
     from corpusloom.sources.versions import with_commits
 
     gone = changes.filter("change = 'delete'").select(F.col("path").alias("filepath"))
-    files = changes.filter("change <> 'delete'").withColumn("sha256", F.sha2("content", 256))
+    same = state.select("path", F.col("last_modified").alias("mtime"))
+    files = changes.filter("change <> 'delete'").join(same, ["path", "mtime"], "left_anti").withColumn("sha256", F.sha2("content", 256))
     todo = staged(should_reindex(files, state).filter("reindex").drop("reindex"), "todo")
     text = todo.select(F.col("path").alias("filepath"), extracted().alias("content")).filter(F.col("content").isNotNull())
     text = text if log is None else with_commits(text, log)
