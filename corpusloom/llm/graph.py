@@ -17,15 +17,15 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
 
     Alternating stars: every node hands its larger neighbours, then its smaller ones, to the smallest it knows,
     until nothing changes. A round is a minimum per node and a join back, so that no node's neighbours meet in
-    one group; its result is written to the shared folder. Links to itself and null ends are ignored.
+    one group; minima and results are written to the shared folder, which lets Spark split a hub's rows in the join. Links to itself and null ends are ignored.
     """
     edges = staged(links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), tag)
+        large = staged(both.filter("b > a").join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), tag)
+        lowest = staged(large.groupBy("a").agg(F.min("b").alias("m")), tag)
         small = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
         edges = staged(small, tag)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

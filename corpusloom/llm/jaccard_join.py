@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh, staged
+from corpusloom.llm.common import fresh, release_memos, staged
 from corpusloom.llm.graph import components, fixed_width, whole_groups
 
 #: MinHash tokens of a set. Depth of paths: a bucket is split at most DEPTH - 1 times.
@@ -72,6 +72,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, text_hash, set_id (16 bytes, equal for equal sets; null for a text without words), n_shingles, tokens (bytes) per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memos()
         shingles = Shingles(n)
         for batch in batches:
             ids, sizes, tokens = [], [], []
@@ -101,7 +102,7 @@ def meetings(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     rows = staged(sets.select("set_id", roots.alias("node")), "join-level")
     found: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "join-sizes")
         sized = staged(rows.join(sizes, "node"), "join-sized")
         found.append(_brute_force(sized.filter(F.col("size") <= SMALL).join(sets, "set_id"), threshold))
         large = sized.filter(F.col("size") > SMALL)
@@ -139,7 +140,7 @@ def _brute_force(members: DataFrame, threshold: float) -> DataFrame:
             for start, end in zip(begins, ends, strict=True):
                 if end - start > 2:
                     t, s = tokens[start:end], sizes[start:end]
-                    for i, j in forest(lambda i, t=t, s=s: ((t[i + 1 :] == t[i]).sum(1) >= least) & (np.minimum(s[i + 1 :], s[i]) >= threshold * np.maximum(s[i + 1 :], s[i])), end - start):
+                    for i, j in forest(lambda i, t=t, s=s: ((t[i + 1 :] == t[i]).sum(1) >= least) & (np.minimum(s[i + 1 :], s[i]) >= threshold * np.maximum(s[i + 1 :], s[i])), end - start)[0]:
                         a.append(ids[start + i])
                         b.append(ids[start + j])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -148,15 +149,15 @@ def _brute_force(members: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def forest(later, n: int) -> list[tuple[int, int]]:
-    """Links that connect what the linked pairs of 0..n-1 connect. later(i): which of i+1.. are linked to i."""
+def forest(later, n: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect what the linked pairs of 0..n-1 connect, and each one's root. later(i): which of i+1.. are linked to i."""
     root, out = np.arange(n), []
     for i in range(n - 1):
         for j in np.flatnonzero(later(i)) + i + 1:
             if root[i] != root[j]:
                 out.append((i, int(j)))
                 root[root == root[j]] = root[i]
-    return out
+    return out, root
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -184,18 +185,19 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(rows: DataFrame, threshold: float) -> DataFrame:
-    """Exact comparison of rows (pair, low, high, block, set_id, copies, shingles), a group per pair of blocks of a component.
+    """Exact comparison of rows (pair, component, n_blocks, low, high, block, set_id, copies, shingles), a group per pair of blocks of a component.
 
-    Returns links (a, b) that connect what is linked, and (a, null, links): how many documents a's set is linked to there.
+    Returns links (a, b) that connect what is linked, and (a, null, links): how many documents a's set is linked to
+    there. A component of one block is settled: its rows (a, b, settled) name the smallest set linked with a, near or far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, "pair"):
-            a, b, n = [], [], []
+            a, b, n, settled = [], [], [], []
             for start, end in zip(bounds, np.append(bounds[1:], table.num_rows), strict=True):
                 part = table.slice(start, end - start)
                 # Pairs of blocks that share a hash are told apart here.
-                where = np.stack([part.column(c).to_numpy() for c in ("component", "low", "high", "block")], 1)
+                where = np.stack([part.column(c).to_numpy() for c in ("component", "low", "high", "block", "n_blocks")], 1)
                 for key in np.unique(where[:, :3], axis=0):
                     own = np.flatnonzero((where[:, :3] == key).all(1))
                     ids = [part.column("set_id")[int(i)].as_py() for i in own]
@@ -216,18 +218,23 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
                     whole = np.zeros((len(own), len(own)), bool)
                     whole[np.ix_(left, right)] = linked
                     whole |= whole.T
-                    for i, j in forest(lambda i, w=whole: w[i, i + 1 :], len(own)):
-                        a.append(ids[i])
-                        b.append(ids[j])
-                        n.append(None)
-                    for i in np.flatnonzero(counts):
-                        a.append(ids[i])
-                        b.append(None)
-                        n.append(int(counts[i]))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "links": pa.array(n, pa.int64())})
+                    edges, root = forest(lambda i, w=whole: w[i, i + 1 :], len(own))
+                    if where[own[0], 4] == 1:
+                        first = {}
+                        for i, r in enumerate(root):
+                            first[r] = min(first.get(r, ids[i]), ids[i])
+                        edges = [(i, first[r]) for i, r in enumerate(root)]
+                    else:
+                        edges = [(i, ids[j]) for i, j in edges]
+                    found = np.flatnonzero(counts)
+                    a += [ids[i] for i, _ in edges] + [ids[i] for i in found]
+                    b += [x for _, x in edges] + [None] * len(found)
+                    n += [None] * len(edges) + counts[found].tolist()
+                    settled += [bool(where[own[0], 4] == 1)] * (len(edges) + len(found))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "links": pa.array(n, pa.int64()), "settled": pa.array(settled, pa.bool_())})
 
     rows = rows.repartition("pair").sortWithinPartitions("pair")
-    return rows.mapInArrow(run, "a binary, b binary, links long")
+    return rows.mapInArrow(run, "a binary, b binary, links long, settled boolean")
 
 
 def classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:
@@ -259,13 +266,17 @@ def classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: floa
     # One row's text per set: the document itself, found by id and text, not by id alone.
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
     wanted = placed.select("set_id", "copies", F.xxhash64("group").alias("component"), "n_blocks", "block", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
-    with_text = texts.join(wanted, (texts["text_hash"] == wanted["one_hash"]) & texts["doc_id"].eqNullSafe(wanted["one_id"]))
+    # A merge join at every size: what is compared grows with the input, so it is never broadcast.
+    with_text = texts.join(wanted.hint("merge"), (texts["text_hash"] == wanted["one_hash"]) & texts["doc_id"].eqNullSafe(wanted["one_id"]))
     built = with_text.select("set_id", "copies", "component", "n_blocks", "block", "text").mapInPandas(build, "set_id binary, copies long, component long, n_blocks int, block int, shingles binary")
     built = staged(built.dropDuplicates(["set_id"]), "join-shingles")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     pairs = built.withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("pair", F.xxhash64("component", "low", "high"))
-    compared = staged(_compare(pairs.select("pair", "component", "low", "high", "block", "set_id", "copies", "shingles"), threshold), "join-compared")
-    linked = components(compared.filter("b IS NOT NULL").select("a", "b"), "join-linked").select(F.col("node").alias("set_id"), "root")
+    compared = staged(_compare(pairs.select("pair", "component", "n_blocks", "low", "high", "block", "set_id", "copies", "shingles"), threshold), "join-compared")
+    linked = compared.filter("b IS NOT NULL AND settled").select(F.col("a").alias("set_id"), F.col("b").alias("root"))
+    far = compared.filter("b IS NOT NULL AND NOT settled").select("a", "b")
+    if not far.isEmpty():
+        linked = linked.unionByName(components(far, "join-linked").select(F.col("node").alias("set_id"), "root"))
     counts = compared.filter("links IS NOT NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
     named = sets.select("set_id", "copies", "one").join(linked, "set_id", "left").join(counts, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = named.groupBy("root").agg(F.min("one").alias("first"))
