@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.staging import shared_folder, staged
+
+__all__ = ["WORD", "WordScores", "crc_of_id", "fresh", "hashed_subwords", "in_slices", "memo", "release_memos", "shared_folder", "smallest_by_hash", "staged", "table", "trained"]
+
 #: What separates words: the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,24 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session, as in tests, may leave it unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, fixes random partitionings."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names starting with those given that clash with no column of df (Spark's names ignore case)."""
     taken = {c.lower() for c in df.columns}
@@ -67,10 +51,27 @@ def smallest_by_hash(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame
     return hashed.filter(F.col(name) <= F.lit(top if top is not None else -(2**63))).drop(name)
 
 
+_MEMOS: dict[object, object] = {}
+
+
+def memo(key: object, make: Callable[[], object]) -> object:
+    """What make() makes, kept in this Python worker from task to task; at most one such thing is kept."""
+    if key not in _MEMOS:
+        release_memos()
+        _MEMOS[key] = make()
+    return _MEMOS[key]
+
+
+def release_memos() -> None:
+    """Tasks that need room of their own call this first: workers outlive the operators that filled them."""
+    _MEMOS.clear()
+
+
 def trained(sample: DataFrame, learn: Callable[[pd.DataFrame], object]) -> object:
     """What learn() makes of a sample of bounded size, in one task of an executor rather than in the driver; the model comes back pickled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memos()
         parts = list(batches)
         if parts:
             yield pd.DataFrame({"model": [pickle.dumps(learn(pd.concat(parts, ignore_index=True)))]})
@@ -132,15 +133,16 @@ class WordScores:
         if len(self.place) + len(new) > self.remember and self.place:
             self.forget()
             new = list(words)
-        owner, ids = hashed_subwords(new, len(self.table))
-        sums = [np.bincount(owner, self.table[ids, k], len(new)) for k in range(self.table.shape[1])]
-        start = len(self.place)
-        if start + len(new) > len(self.values):
-            grown = np.zeros((max(2 * len(self.values), start + len(new)), self.values.shape[1]), np.float32)
-            grown[:start] = self.values[:start]
+        if len(self.place) + len(new) > len(self.values):
+            grown = np.zeros((max(2 * len(self.values), len(self.place) + len(new)), self.values.shape[1]), np.float32)
+            grown[: len(self.place)] = self.values[: len(self.place)]
             self.values = grown
-        self.values[start : start + len(new)] = np.stack([*sums, np.bincount(owner, minlength=len(new))], 1)
-        self.place.update(zip(new, range(start, start + len(new)), strict=True))
+        for a in range(0, len(new), 50_000):
+            part, start = new[a : a + 50_000], len(self.place)
+            owner, ids = hashed_subwords(part, len(self.table))
+            sums = [np.bincount(owner, self.table[ids, k], len(part)) for k in range(self.table.shape[1])]
+            self.values[start : start + len(part)] = np.stack([*sums, np.bincount(owner, minlength=len(part))], 1)
+            self.place.update(zip(part, range(start, start + len(part)), strict=True))
 
     def rows(self, words: list[str]) -> np.ndarray:
         return self.values[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordScores, crc_of_id, hashed_subwords, in_slices, smallest_by_hash, trained
+from corpusloom.llm.common import WordScores, crc_of_id, hashed_subwords, in_slices, release_memos, smallest_by_hash, trained
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -43,7 +43,8 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 2**17, dim: int
     Without a text that has letters, the model has no labels and predicts `und` only.
     """
     rng, labels = np.random.default_rng(seed), sorted(set(langs))
-    pairs = [(w, labels.index(y)) for t, y in zip(texts, langs, strict=True) if (w := words_of(t))]
+    spelled: dict[str, str] = {}  # one string per word
+    pairs = [([spelled.setdefault(x, x) for x in w], labels.index(y)) for t, y in zip(texts, langs, strict=True) if (w := words_of(t))]
     k = len(labels) if pairs else 0
     if not k:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -120,6 +121,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     columns = docs.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memos()
         model = sent.value
         scores = WordScores(model.table)
         for batch in batches:

@@ -8,6 +8,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.common import memo
+
 #: The pattern by which byte-level BPE of this kind cuts a text before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts are cut into pieces of about so many characters, between a word and a space, where no pattern crosses.
@@ -60,19 +62,18 @@ class PieceCounts(dict):
         return sum(sum(map(self.__getitem__, PIECES.findall(part))) for part in self.slices(text))
 
 
-_COUNTERS: dict[str, PieceCounts] = {}
-
-
 def counter(path: str) -> PieceCounts:
-    """The process's counter for a vocabulary file, without truncation or padding."""
-    if path not in _COUNTERS:
+    """This worker's counter for a vocabulary file, without truncation or padding."""
+
+    def make() -> PieceCounts:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _COUNTERS[path] = PieceCounts(tokenizer)
-    return _COUNTERS[path]
+        return PieceCounts(tokenizer)
+
+    return memo(("pieces", path), make)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
