@@ -8,21 +8,26 @@ shard before the block), n_ids, payload (codes, high bits first, in big-endian 3
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import add, is_
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import shared_dir
+from corpusloom.llm.common import memo, release_memos, shared_folder, staged
 
 #: Ids between two checkpoints; ids after which a block ends with its current document.
-STRIDE, BLOCK = 512, 262_144
+STRIDE, BLOCK = 512, 1_048_576
 #: Codes are at least allowed this many bits, and two more than a fixed-length code needs.
 LEAST_LIMIT = 16
 BLOCKS = "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>, first long, n_ids long, payload binary, checkpoints binary"
@@ -33,55 +38,104 @@ BLOCKS = "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>, f
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+# Punctuation that stands alone after a word, and words (a line each) whose normal form is their lower case.
+_ENDINGS = ".,;:!?"
+_PLAIN = re.compile(f"^(([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([{_ENDINGS}]?))$", re.MULTILINE)
+
+
+# Beyond these, letters may change in number or kind when composed or in lower case.
+_BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
+
+
 class WordIds(dict):
     """White-space separated word to its ids as little-endian 32-bit integers, remembered up to a bound.
 
-    For a vocabulary whose normalizer folds white space and whose pre-tokenizer never joins what white space
-    parts, the ids of a text are those of its words one after the other; texts with characters on which the
-    library and Python disagree go to the library whole.
+    For a vocabulary whose normalizer folds white space and case and whose pre-tokenizer never joins what white
+    space parts, the ids of a text are those of its words one after the other; texts with characters on which the
+    library and Python disagree go to the library whole. New words of plain letters, with or without one mark
+    after them, go to it many at a time in lower case and without the mark: each is one pre-token, whose last id,
+    and no other, ends a word. When the bound is met, the words of the texts at hand are kept.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, remember: int = 350_000, remember_cores: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.remember, self.remember_cores, self.cores = remember, remember_cores, {}
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.bare):
+            t.no_truncation()
+            t.no_padding()
+        # The same model for what is normal already.
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip(_ENDINGS, self.encode(list(_ENDINGS)), strict=True)) | {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.remember:
-            self.clear()
-            new = list(words)
-        self.update(zip(new, self.encode(new), strict=True))
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_cores(self, cores: list[str]) -> None:
+        groups = [cores[a : a + 500] for a in range(0, len(cores), 500)]
+        for part, found in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                raw, stops = ids.tobytes(), (stops * 4).tolist()
+                self.cores.update(zip(part, [raw[x:y] for x, y in zip([0, *stops], stops)], strict=True))
+            else:
+                self.cores.update(zip(part, self.encode(part), strict=True))
+
+    def learn(self, new: set[str]) -> None:
+        words, cores, marks = [], [], []
+        joined = "\n".join(new)
+        if not _BEYOND.search(joined):
+            for w, low in zip(joined.split("\n"), joined.lower().split("\n"), strict=True):
+                core = low.rstrip(_ENDINGS)
+                if len(low) - len(core) < 2 and core.isalpha():
+                    words.append(w)
+                    cores.append(core)
+                    marks.append(low[len(core) :])
+        elif plain := _PLAIN.findall(joined):
+            words, cores, marks = zip(*plain, strict=True)
+            cores = "\n".join(cores).lower().split("\n")
+        if len(self.cores) > self.remember_cores:
+            self.cores = {c: self.cores[c] for c in cores if c in self.cores}
+        self.encode_cores(list(set(cores).difference(self.cores)))
+        self.update(zip(words, map(add, map(self.cores.__getitem__, cores), map(self.marks.__getitem__, marks)), strict=True))
+        others = list(new.difference(words))
+        self.update(zip(others, self.encode(others), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in slices of bounded size."""
-        out, start = [], 0
+        out, start, known = [], 0, self.get
         while start < len(texts):
             end, size = start, 0
-            while end < len(texts) and size < 4_000_000:
+            while end < len(texts) and size < 2_000_000:
                 size, end = size + len(texts[end]), end + 1
             split = [t.split() for t in texts[start:end]]
-            self.learn(set().union(*split))
-            for text, words in zip(texts[start:end], split, strict=True):
-                out.append(self.encode([text])[0] if _ODD_SPACE.search(text) else b"".join(map(self.__getitem__, words)))
+            if len(self) > self.remember:
+                kept = {w: self[w] for w in set().union(*split) if w in self}
+                self.clear()
+                self.update(kept)
+            found = [list(map(known, words)) for words in split]
+            gaps = [list(compress(range(len(ids)), map(is_, ids, repeat(None)))) for ids in found]
+            if new := {words[k] for words, gap in zip(split, gaps, strict=True) for k in gap}:
+                self.learn(new)
+            for text, words, ids, gap in zip(texts[start:end], split, found, gaps, strict=True):
+                for k in gap:
+                    ids[k] = self[words[k]]
+                out.append(self.encode([text])[0] if _ODD_SPACE.search(text) else b"".join(ids))
             start = end
         return out
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """The process's ids for a vocabulary file."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    """This worker's ids for a vocabulary file."""
+    return memo(("words", path), lambda: WordIds(path))
 
 
 # ---------------------------------------------------------------- the code
@@ -169,46 +223,74 @@ class Decoder:
 # ---------------------------------------------------------------- Spark
 
 
-def token_totals(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
-    """token, n over all documents. A task sends one row per token of the vocabulary at most."""
+def token_ids(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
+    """doc_id, tie (hash of the text), ids (compressed little-endian 32-bit integers), of every whole text; end_id, if any, comes last.
+
+    Each task adds a row of its own, whose `counts` (64-bit, by token) are those of all ids it has written.
+    """
+    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = word_ids(vocabulary), np.zeros(0, np.int64)
+        words, pack, total = word_ids(vocabulary), zstandard.ZstdCompressor(level=1), np.zeros(0, np.int64)
+        gc.freeze()  # what is remembered holds no cycles, and is large
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for i in range(0, len(texts), 512):
-                found = np.bincount(np.frombuffer(b"".join(words.ids(texts[i : i + 512])), "<u4"))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+            for a in range(0, len(texts), 1000):
+                ids = [i + end for i in words.ids(texts[a : a + 1000])]
+                found = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+                total = np.concatenate([total, np.zeros(max(0, len(found) - len(total)), np.int64)])
+                total[: len(found)] += found
+                yield batch.iloc[a : a + 1000][["doc_id", "tie"]].assign(ids=[pack.compress(_narrow(i)) for i in ids], counts=None)
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "tie": pd.array([None], "Int64"), "ids": [None], "counts": [total.astype("<i8").tobytes()]})
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInPandas(run, "doc_id long, tie long, ids binary, counts binary")
+
+
+def _narrow(ids: bytes) -> bytes:
+    """Ids by bytes of equal weight, which compresses them better."""
+    return np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _wide(ids: bytes) -> bytes:
+    return np.frombuffer(ids, np.uint8).reshape(4, -1).T.tobytes()
+
+
+def token_totals(ids: DataFrame) -> DataFrame:
+    """token, n over all rows of token_ids(), from its tasks' counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for counts in batch["counts"]:
+                found = np.frombuffer(counts, "<i8")
+                total = np.concatenate([total, np.zeros(max(0, len(found) - len(total)), np.int64)])
                 total[: len(found)] += found
-            if end_id is not None:
-                total = np.concatenate([total, np.zeros(max(0, end_id + 1 - len(total)), np.int64)])
-                total[end_id] += len(texts)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"token": used, "n": total[used]})
 
-    return docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return ids.select("counts").filter("counts IS NOT NULL").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_token_file(docs: DataFrame, path: str, vocabulary: str, *, end_id: int | None = 2) -> None:
     """Encode every whole text and write the ids, documents in ascending doc_id order (null first, ties by text).
 
     vocabulary: a file of the tokenizers library, present on executors. end_id is appended to each document;
-    None appends nothing. A null text is empty. Rows with one doc_id stay apart. Texts are tokenized twice,
-    first for the counts: that costs less than keeping all ids on disk in between. Only the counts, a row per
-    token of the vocabulary, reach the driver.
+    None appends nothing. A null text is empty. Rows with one doc_id stay apart. Texts are tokenized once; the
+    compressed ids wait in the shared folder for the code. Only the counts, a row per token of the vocabulary,
+    reach the driver.
     """
     spark = docs.sparkSession
-    totals = token_totals(docs, vocabulary, end_id).orderBy("token").toPandas()
+    ids = staged(token_ids(docs, vocabulary, end_id), "token-ids")
+    totals = token_totals(ids).orderBy("token").toPandas()
     limit = max(LEAST_LIMIT, int(max(len(totals) - 1, 1)).bit_length() + 2)
     lengths = code_lengths(totals["n"].to_numpy(), limit)
     book = Codebook(totals["token"].to_numpy(), lengths)
     spark.createDataFrame(pd.DataFrame({"token": book.tokens, "length": book.lengths}), "token long, length int").coalesce(1).write.parquet(f"{path}/codebook")
     sent = spark.sparkContext.broadcast(book)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, book, shard = word_ids(vocabulary), sent.value, TaskContext.get().partitionId()
+        release_memos()
+        unpack, book, shard = zstandard.ZstdDecompressor(), sent.value, TaskContext.get().partitionId()
         block, first, filled, doc_ids, sizes, held = 0, 0, 0, [], [], []
 
         def close() -> pd.DataFrame:
@@ -217,21 +299,19 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, *, end_id: int
             return pd.DataFrame([row], columns=["shard", "block", "doc_ids", "n_tokens", "first", "n_ids", "payload", "checkpoints"])
 
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             keys = [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
-            for i in range(0, len(texts), 256):
-                for key, ids in zip(keys[i : i + 256], words.ids(texts[i : i + 256]), strict=True):
-                    doc_ids.append(key)
-                    held.append(ids + end)
-                    sizes.append(len(held[-1]) // 4)
-                    filled += sizes[-1]
-                    if filled >= BLOCK:
-                        yield close()
-                        block, first, filled, doc_ids, sizes, held = block + 1, first + filled, 0, [], [], []
+            for key, packed in zip(keys, batch["ids"], strict=True):
+                doc_ids.append(key)
+                held.append(_wide(unpack.decompress(packed)))
+                sizes.append(len(held[-1]) // 4)
+                filled += sizes[-1]
+                if filled >= BLOCK:
+                    yield close()
+                    block, first, filled, doc_ids, sizes, held = block + 1, first + filled, 0, [], [], []
         if doc_ids:
             yield close()
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    rows = ids.filter("ids IS NOT NULL").drop("counts").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
     rows.mapInPandas(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
@@ -264,6 +344,6 @@ def digest(rows: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str, *, end_id: int | None = 2) -> DataFrame:
     """Write docs to a token file in the shared folder and return the digest of what is read back."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_token_file(docs, path, vocabulary, end_id=end_id)
     return digest(read_token_file(docs.sparkSession, path))
