@@ -2,7 +2,8 @@
 
 Quantisation errors along a vector change its inner products with the queries that matter more than errors
 across it, so codebooks and codes minimise a loss that weighs the parallel part of the residual more. Codes have
-four bits a subspace; a query scans them through lookup tables, and the best of each block are ranked exactly.
+four bits a subspace; a query scans them through lookup tables. The length of a row's error bounds how far its
+inner product can lie above the scanned one, and every row that can be among the nearest is ranked exactly.
 """
 
 from __future__ import annotations
@@ -53,6 +54,12 @@ class Codebooks:
                 total = rest + along[rows, j, codes[:, j]]
         return codes.astype(np.uint8)
 
+    def decode(self, packed: np.ndarray, dim: int) -> np.ndarray:
+        """The vectors that packed codes stand for."""
+        m = len(self.centres)
+        codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, :m]
+        return self.centres[np.arange(m), codes].reshape(len(packed), -1)[:, :dim]
+
 
 def pack(codes: np.ndarray) -> np.ndarray:
     """Two four-bit codes a byte."""
@@ -134,10 +141,10 @@ def search(index: DataFrame, book: Codebooks | None, queries: DataFrame, *, k: i
     """query_id, rank (from 1), vec_id, score: each query's k nearest of the index by inner product, but for itself.
 
     queries(query_id, embedding). Index and queries are hashed into blocks of about `block` rows; a task scans
-    one pair of blocks and ranks the `rerank` best codes exactly, in double precision on the original vectors;
-    equal codes give way to the smaller vec_id. So candidates grow with the number of blocks, and a vector with
-    many copies takes no more room than others. Ties in score go to the smaller vec_id; rows that repeat a
-    vec_id are candidates of their own. An empty index gives no rows.
+    one pair of blocks and ranks the `rerank` best codes exactly, in double precision on the original vectors.
+    Then it ranks all other rows whose code's score, and the most its error can add, reach the k-th score so far:
+    the result is exact, whatever the codes, the blocks or the cluster. Ties in score go to the smaller vec_id;
+    rows that repeat a vec_id are candidates of their own. An empty index gives no rows.
     """
     if book is None:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -155,6 +162,9 @@ def search(index: DataFrame, book: Codebooks | None, queries: DataFrame, *, k: i
         book, mine = sent.value, mine.sort_values("vec_id", kind="stable")
         ids, vectors = mine["vec_id"].to_numpy(), np.array(mine["embedding"].tolist(), np.float64)
         codes = np.frombuffer(b"".join(mine["codes"]), np.uint8).reshape(len(mine), -1)
+        decoded, sizes = book.decode(codes, vectors.shape[1]), np.linalg.norm(vectors, axis=1)
+        # What a row's error, and single precision in the scan, can add to an inner product for each unit of the query.
+        slack = np.linalg.norm(vectors - decoded, axis=1) * (1 + 1e-9) + (codes.shape[1] + 8) * 2.0**-22 * (np.linalg.norm(decoded, axis=1) + sizes)
         found = []
         for a in range(0, len(theirs), 256):
             part = theirs.iloc[a : a + 256]
@@ -164,14 +174,26 @@ def search(index: DataFrame, book: Codebooks | None, queries: DataFrame, *, k: i
                 small = np.concatenate([small, np.zeros((len(asked), 1, CENTRES))], 1)
             tables = (small[:, ::2, :, None] + small[:, 1::2, None, :]).reshape(len(asked), -1, 256).astype(np.float32)
             rough = scan(tables, codes)
+            rough[~np.isfinite(rough)] = np.inf  # beyond single precision: ranked exactly
             rough[own[:, None] == ids] = -np.inf
             take = min(rerank, len(ids))
-            edge = np.partition(rough, len(ids) - take, axis=1)[:, len(ids) - take]
+            first = np.argpartition(rough, len(ids) - take, axis=1)[:, len(ids) - take :]
+            lengths = np.linalg.norm(asked, axis=1)
+            ranked, least = [], np.full(len(asked), -np.inf)
             for i in range(len(asked)):
-                over = np.flatnonzero(rough[i] > edge[i])
-                best = np.concatenate([over, np.flatnonzero(rough[i] == edge[i])[: take - len(over)]])
-                best = best[ids[best] != own[i]]
+                best = first[i][ids[first[i]] != own[i]]
                 exact = (vectors[best] * asked[i]).sum(1)
+                ranked.append((best, exact))
+                if len(exact) >= k:
+                    least[i] = np.partition(exact, len(exact) - k)[len(exact) - k]
+            able = (rough + lengths[:, None] * slack >= least[:, None]) & (own[:, None] != ids)
+            np.put_along_axis(able, first, False, 1)
+            # One product sieves what is left, with room for its rounding.
+            some = np.flatnonzero(able.any(0))
+            able[:, some] &= asked @ vectors[some].T >= least[:, None] - 1e-9 * lengths[:, None] * sizes[some]
+            for i, (best, exact) in enumerate(ranked):
+                rest = np.flatnonzero(able[i])
+                best, exact = np.concatenate([best, rest]), np.concatenate([exact, (vectors[rest] * asked[i]).sum(1)])
                 top = np.lexsort((ids[best], -exact))[:k]
                 found.append((np.full(len(top), own[i]), ids[best][top], exact[top]))
         return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
