@@ -148,10 +148,9 @@ def search(index: DataFrame, book: Codebooks | None, queries: DataFrame, *, k: i
     """
     if book is None:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # Blocks as even as hashing makes them, and enough of them to use the cluster's cores.
-    lanes = index.sparkSession.sparkContext.defaultParallelism * 3
+    # Blocks as even as hashing makes them, of one size on every cluster.
     n, q = index.count(), queries.count()
-    c_blocks, q_blocks = max(-(-n // block), min(lanes, -(-n // 256)), 1), max(-(-q // block), 1)
+    c_blocks, q_blocks = max(-(-n // block), 1), max(-(-q // block), 1)
     rows = index.select("vec_id", "embedding", "codes", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(c_blocks)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
     asked = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
     sent = index.sparkSession.sparkContext.broadcast(book)

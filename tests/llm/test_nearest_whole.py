@@ -34,3 +34,17 @@ def test_a_group_of_near_copies_is_ranked_whole(spark, noise):
     queries = index.filter("vec_id % 60 = 0").selectExpr("vec_id AS query_id", "embedding")
     found = ann.search(index, book, queries, rerank=25)
     assert found_and_recall(found, x, list(range(0, 3000, 60)))[1] == 1
+
+
+@pytest.mark.parametrize("shape", ["spread", "clusters"])
+def test_recall_on_full_blocks(spark, shape):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8192, 64))
+    if shape == "clusters":
+        x = 3 * x[rng.integers(0, 10, len(x))] + 0.1 * rng.normal(size=x.shape)
+    index, book = ann.build_index(table(spark, x))
+    queries = index.filter("vec_id % 128 = 0").selectExpr("vec_id AS query_id", "embedding")
+    got, recall = found_and_recall(ann.search(index, book, queries, block=4096, rerank=25), x, list(range(0, 8192, 128)))
+    print(shape, "recall", recall)
+    assert recall == 1
+    assert found_and_recall(ann.search(index, book, queries, block=1000), x, list(range(0, 8192, 128)))[0] == got
