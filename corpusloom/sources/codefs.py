@@ -1,8 +1,8 @@
 """`codefs`: files below a directory as a batch or streaming source.
 
 Unlike Spark's file source it returns names that begin with an underscore, empty files, and files that changed
-since the last batch; hidden and excluded directories are pruned before they are entered. A batch read has a
-partition per group of files; contents are read in the tasks.
+since the last batch; hidden and excluded directories are pruned before they are entered. A read, of a batch or of
+a stream's changes, has a partition per group of files; contents are read in the tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from corpusloom.functions.paths import DOCUMENT_SUFFIXES, EXCLUDED_DIRS, NAMES, TEXT_SUFFIXES
 
@@ -80,7 +80,7 @@ def _row(path: str, mtime_ns: int | None, change: str) -> tuple:
 
 
 class _Files(InputPartition):
-    def __init__(self, files: list[tuple[str, int]]):
+    def __init__(self, files: list[tuple]):
         self.files = files
 
 
@@ -98,36 +98,33 @@ class _Reader(DataSourceReader):
             yield _row(path, mtime, "upsert")
 
 
-class _Changes(SimpleDataSourceStreamReader):
-    """Offsets are snapshots of {path: mtime}; a batch has the files that differ, at most maxFiles of them."""
+class _Changes(DataSourceStreamReader):
+    """Offsets are snapshots of {path: mtime}; a batch has all files that differ. Only paths and times pass the driver."""
 
     def __init__(self, options):
-        self.root, self.most = os.path.abspath(options["path"]), int(options.get("maxFiles", 10_000))
+        self.root, self.group = os.path.abspath(options["path"]), int(options.get("filesPerPartition", 256))
         self.gitignore = options.get("gitignore", "true").lower() == "true"
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
+    def latestOffset(self) -> dict:
+        return {"files": json.dumps({p: s.st_mtime_ns for p, s in walk(self.root, self.gitignore)}, sort_keys=True)}
+
     def _difference(self, old: dict[str, int], new: dict[str, int]) -> list[tuple[str, int | None, str]]:
         changed = [(p, m, "upsert") for p, m in sorted(new.items()) if old.get(p) != m]
         return changed + [(p, None, "delete") for p in sorted(old) if p not in new]
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        old = json.loads(start["files"])
-        changes = self._difference(old, {p: s.st_mtime_ns for p, s in walk(self.root, self.gitignore)})[: self.most]
-        for path, mtime, change in changes:
-            if change == "delete":
-                old.pop(path)
-            else:
-                old[path] = mtime
-        return iter([_row(*c) for c in changes]), {"files": json.dumps(old, sort_keys=True)}
+    def partitions(self, start: dict, end: dict) -> list[_Files]:
+        changes = self._difference(json.loads(start["files"]), json.loads(end["files"]))
+        return [_Files(changes[i : i + self.group]) for i in range(0, len(changes), self.group)] or [_Files([])]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([_row(*c) for c in self._difference(json.loads(start["files"]), json.loads(end["files"]))])
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        return (_row(*c) for c in partition.files)
 
 
 class CodeFiles(DataSource):
-    """Options: path; gitignore (true); filesPerPartition for batches, maxFiles for streams."""
+    """Options: path; gitignore (true); filesPerPartition (256)."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,7 +136,7 @@ class CodeFiles(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> _Changes:
+    def streamReader(self, schema) -> _Changes:
         return _Changes(self.options)
 
 
