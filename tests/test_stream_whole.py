@@ -1,9 +1,10 @@
-"""One run of a stream without watch sees a whole tree."""
+"""One run of a stream without watch sees a whole tree, and reads it in tasks."""
 
 import os
 
 from corpusloom.operators.collection import Collection
 from corpusloom.operators.vectors import HashingEmbedder
+from corpusloom.sources import codefs
 from corpusloom.streaming.incremental import StateTable, index_stream
 
 
@@ -21,3 +22,16 @@ def test_one_run_indexes_more_files_than_a_batch_had(spark, tmp_path):
         os.remove(root / "d0" / f"{f}.txt")
     run()
     assert table.read().count() == 10_000
+
+
+def test_contents_of_a_stream_are_read_in_groups_by_tasks(spark, tmp_path):
+    for i in range(7):
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    reader = codefs.CodeFiles({"path": str(tmp_path), "filesPerPartition": "3"}).streamReader(None)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    (tmp_path / "6.txt").write_text("later")  # after the offset: contents are not in it
+    parts = reader.partitions(start, end)
+    assert [len(p.files) for p in parts] == [3, 3, 1] and not any(isinstance(x, bytes) for p in parts for f in p.files for x in f)
+    assert [r[5] for p in parts for r in reader.read(p)] == [b"0", b"1", b"2", b"3", b"4", b"5", b"later"]
+    os.remove(tmp_path / "0.txt")
+    assert [f[2] for p in reader.partitions(end, reader.latestOffset()) for f in p.files].count("delete") == 1
