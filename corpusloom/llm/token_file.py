@@ -8,16 +8,14 @@ shard before the block), n_ids, payload (codes, high bits first, in big-endian 3
 
 from __future__ import annotations
 
-import gc
 import os
-import re
 import uuid
-from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import add, is_
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,20 +33,65 @@ BLOCKS = "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>, f
 # ---------------------------------------------------------------- tokenizing
 
 # Where the library's and Python's notion of white space differ.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = "[\\x1c-\\x1f]"
+# Punctuation that stands alone after a word, and words whose normal form is their lower case.
+_ENDINGS = ".,;:!?"
+_PLAIN = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[{_ENDINGS}]?$"
 
 
-# Punctuation that stands alone after a word, and words (a line each) whose normal form is their lower case.
-_ENDINGS = ".,;:!?"
-_PLAIN = re.compile(f"^(([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([{_ENDINGS}]?))$", re.MULTILINE)
+def runs_of(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... for lengths[0] numbers, then the same for the others."""
+    return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def laid_out(parts: list[tuple[np.ndarray, np.ndarray]], begins: list[np.ndarray]) -> np.ndarray:
+    """One array of several lists of runs (values, lengths), each run at its beginning."""
+    out = np.empty(sum(len(values) for values, _ in parts), np.uint32)
+    for (values, lengths), begin in zip(parts, begins, strict=True):
+        out[runs_of(begin, lengths)] = values
+    return out
+
+
+class Known:
+    """Strings and the ids of each, in columns: many strings are looked up at a time."""
 
+    def __init__(self):
+        self.strings, self.ids, self.begins, self.lengths = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-# Beyond these, letters may change in number or kind when composed or in lower case.
-_BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
+    def __len__(self) -> int:
+        return len(self.strings)
 
+    def add(self, strings: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Strings that aren't known yet, and their ids one after the other."""
+        self.strings = pa.concat_arrays([self.strings, strings])
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
 
-class WordIds(dict):
-    """White-space separated word to its ids as little-endian 32-bit integers, remembered up to a bound.
+    def places(self, strings: pa.Array, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], remember: int) -> np.ndarray:
+        """The place of each string; learn() tells ids of those that aren't known. Beyond the bound, only strings at hand are kept."""
+        at = np.array(pc.fill_null(pc.index_in(strings, value_set=self.strings), -1))
+        if len(self) > remember:
+            kept, at = np.unique(at, return_inverse=True)
+            if kept[0] < 0:
+                kept, at = kept[1:], at - 1
+            words, (ids, lengths) = self.strings.take(pa.array(kept)), self.of(kept)
+            self.__init__()
+            self.add(words, ids, lengths)
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            new = strings.take(pa.array(gaps)).dictionary_encode()
+            at[gaps] = len(self) + new.indices.to_numpy()
+            self.add(new.dictionary, *learn(new.dictionary))
+        return at
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places, one after the other, and how many each has."""
+        lengths = self.lengths[places]
+        return self.ids[runs_of(self.begins[places], lengths)], lengths
+
+
+class WordIds:
+    """Ids of texts, by the ids of their white-space separated words, which are remembered up to a bound.
 
     For a vocabulary whose normalizer folds white space and case and whose pre-tokenizer never joins what white
     space parts, the ids of a text are those of its words one after the other; texts with characters on which the
@@ -57,12 +100,12 @@ class WordIds(dict):
     and no other, ends a word. When the bound is met, the words of the texts at hand are kept.
     """
 
-    def __init__(self, path: str, remember: int = 350_000, remember_cores: int = 300_000):
+    def __init__(self, path: str, remember: int = 700_000, characters: int = 8_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
-        self.remember, self.remember_cores, self.cores = remember, remember_cores, {}
+        self.remember, self.characters = remember, characters
+        self.words, self.cores, self.marks = Known(), Known(), Known()
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         for t in (self.tokenizer, self.bare):
             t.no_truncation()
@@ -73,63 +116,68 @@ class WordIds(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = dict(zip(_ENDINGS, self.encode(list(_ENDINGS)), strict=True)) | {"": b""}
+        marks = ["", *_ENDINGS]
+        self.marks.add(pa.array(marks), *self.encode(marks))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts by the library, and how many each has."""
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
 
-    def encode_cores(self, cores: list[str]) -> None:
+    def encode_cores(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cores, ids, lengths = new.to_pylist(), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         groups = [cores[a : a + 500] for a in range(0, len(cores), 500)]
         for part, found in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                raw, stops = ids.tobytes(), (stops * 4).tolist()
-                self.cores.update(zip(part, [raw[x:y] for x, y in zip([0, *stops], stops)], strict=True))
+            own = np.array(found.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[own]) + 1
+            if len(stops) == len(part) and stops[-1] == len(own):
+                n = np.diff(stops, prepend=0)
             else:
-                self.cores.update(zip(part, self.encode(part), strict=True))
-
-    def learn(self, new: set[str]) -> None:
-        words, cores, marks = [], [], []
-        joined = "\n".join(new)
-        if not _BEYOND.search(joined):
-            for w, low in zip(joined.split("\n"), joined.lower().split("\n"), strict=True):
-                core = low.rstrip(_ENDINGS)
-                if len(low) - len(core) < 2 and core.isalpha():
-                    words.append(w)
-                    cores.append(core)
-                    marks.append(low[len(core) :])
-        elif plain := _PLAIN.findall(joined):
-            words, cores, marks = zip(*plain, strict=True)
-            cores = "\n".join(cores).lower().split("\n")
-        if len(self.cores) > self.remember_cores:
-            self.cores = {c: self.cores[c] for c in cores if c in self.cores}
-        self.encode_cores(list(set(cores).difference(self.cores)))
-        self.update(zip(words, map(add, map(self.cores.__getitem__, cores), map(self.marks.__getitem__, marks)), strict=True))
-        others = list(new.difference(words))
-        self.update(zip(others, self.encode(others), strict=True))
+                own, n = self.encode(part)
+            ids.append(own)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def encode_words(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        is_plain = pc.match_substring_regex(new, _PLAIN)
+        plain, other = np.flatnonzero(is_plain), np.flatnonzero(pc.invert(is_plain))
+        low = pc.utf8_lower(new.filter(is_plain))
+        core = pc.utf8_rtrim(low, _ENDINGS)
+        mark = pc.if_else(pc.equal(low, core), "", pc.utf8_slice_codeunits(low, -1))
+        cores = self.cores.of(self.cores.places(core, self.encode_cores, self.remember))
+        marks = self.marks.of(self.marks.places(mark, self.encode_words, len(self.marks)))
+        others = self.encode(new.take(pa.array(other)).to_pylist())
+        lengths = np.zeros(len(new), np.int64)
+        lengths[plain], lengths[other] = cores[1] + marks[1], others[1]
+        begins = np.cumsum(lengths) - lengths
+        return laid_out([cores, marks, others], [begins[plain], begins[plain] + cores[1], begins[other]]), lengths
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        split = pc.utf8_split_whitespace(texts)
+        ids, n = self.words.of(self.words.places(split.flatten(), self.encode_words, self.remember))
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(pc.list_value_length(split).to_numpy())]
+        lengths = np.diff(ends, prepend=0)
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD_SPACE))
+        if len(odd):
+            parts = np.split(ids, ends[:-1])
+            for i in odd:
+                parts[i] = self.encode([texts[int(i)].as_py()])[0]
+            ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, lengths
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, int]]:
+        """Runs of texts with about so many bytes each."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(size // self.characters)) + 1, [len(texts)]]))
+        return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, in slices of bounded size."""
-        out, start, known = [], 0, self.get
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and size < 2_000_000:
-                size, end = size + len(texts[end]), end + 1
-            split = [t.split() for t in texts[start:end]]
-            if len(self) > self.remember:
-                kept = {w: self[w] for w in set().union(*split) if w in self}
-                self.clear()
-                self.update(kept)
-            found = [list(map(known, words)) for words in split]
-            gaps = [list(compress(range(len(ids)), map(is_, ids, repeat(None)))) for ids in found]
-            if new := {words[k] for words, gap in zip(split, gaps, strict=True) for k in gap}:
-                self.learn(new)
-            for text, words, ids, gap in zip(texts[start:end], split, found, gaps, strict=True):
-                for k in gap:
-                    ids[k] = self[words[k]]
-                out.append(self.encode([text])[0] if _ODD_SPACE.search(text) else b"".join(ids))
-            start = end
+        """The ids of each text as little-endian 32-bit integers."""
+        column, out = pa.array(texts, pa.string()), []
+        for a, b in self.slices(column):
+            ids, n = self.flat(column.slice(a, b - a))
+            out += [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
         return out
 
 
@@ -228,31 +276,34 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame
 
     Each task adds a row of its own, whose `counts` (64-bit, by token) are those of all ids it has written.
     """
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], np.uint32)
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pack, total = word_ids(vocabulary), zstandard.ZstdCompressor(level=1), np.zeros(0, np.int64)
-        gc.freeze()  # what is remembered holds no cycles, and is large
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for a in range(0, len(texts), 1000):
-                ids = [i + end for i in words.ids(texts[a : a + 1000])]
-                found = np.bincount(np.frombuffer(b"".join(ids), "<u4"))
+            texts = pc.fill_null(batch.column("text"), "")
+            for a, b in words.slices(texts):
+                ids, n = words.flat(texts.slice(a, b - a))
+                found = np.bincount(np.append(ids, np.repeat(end, b - a)))
                 total = np.concatenate([total, np.zeros(max(0, len(found) - len(total)), np.int64)])
                 total[: len(found)] += found
-                yield batch.iloc[a : a + 1000][["doc_id", "tie"]].assign(ids=[pack.compress(_narrow(i)) for i in ids], counts=None)
-        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "tie": pd.array([None], "Int64"), "ids": [None], "counts": [total.astype("<i8").tobytes()]})
+                packed = [pack.compress(_narrow(np.append(x, end))) for x in np.split(ids, np.cumsum(n)[:-1])]
+                rest = pa.nulls(b - a, pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("tie").slice(a, b - a), pa.array(packed, pa.binary()), rest], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"counts": total.astype("<i8").tobytes()}], schema=schema)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInPandas(run, "doc_id long, tie long, ids binary, counts binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return rows.mapInArrow(run, "doc_id long, tie long, ids binary, counts binary")
 
 
-def _narrow(ids: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """Ids by bytes of equal weight, which compresses them better."""
-    return np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _wide(ids: bytes) -> bytes:
-    return np.frombuffer(ids, np.uint8).reshape(4, -1).T.tobytes()
+def _wide(ids: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(ids, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def token_totals(ids: DataFrame) -> DataFrame:
@@ -288,22 +339,22 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, *, end_id: int
     spark.createDataFrame(pd.DataFrame({"token": book.tokens, "length": book.lengths}), "token long, length int").coalesce(1).write.parquet(f"{path}/codebook")
     sent = spark.sparkContext.broadcast(book)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("first", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("checkpoints", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memos()
         unpack, book, shard = zstandard.ZstdDecompressor(), sent.value, TaskContext.get().partitionId()
         block, first, filled, doc_ids, sizes, held = 0, 0, 0, [], [], []
 
-        def close() -> pd.DataFrame:
-            payload, checkpoints = book.encode(np.frombuffer(b"".join(held), "<u4"))
-            row = (shard, block, list(doc_ids), list(sizes), first, filled, payload, checkpoints)
-            return pd.DataFrame([row], columns=["shard", "block", "doc_ids", "n_tokens", "first", "n_ids", "payload", "checkpoints"])
+        def close() -> pa.RecordBatch:
+            payload, checkpoints = book.encode(np.concatenate(held))
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (shard, block, doc_ids, sizes, first, filled, payload, checkpoints), strict=True))], schema=schema)
 
         for batch in batches:
-            keys = [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
-            for key, packed in zip(keys, batch["ids"], strict=True):
+            for key, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 doc_ids.append(key)
-                held.append(_wide(unpack.decompress(packed)))
-                sizes.append(len(held[-1]) // 4)
+                held.append(_wide(unpack.decompress(packed.as_buffer())))
+                sizes.append(len(held[-1]))
                 filled += sizes[-1]
                 if filled >= BLOCK:
                     yield close()
@@ -312,7 +363,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, *, end_id: int
             yield close()
 
     rows = ids.filter("ids IS NOT NULL").drop("counts").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
-    rows.mapInPandas(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    rows.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -324,17 +375,18 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = shards.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(sent.value)
         for batch in batches:
-            for row in batch.itertuples():
-                ids = decoder.decode(row.payload, row.checkpoints, row.n_ids).astype("<u4")
-                ends = np.cumsum(np.array(row.n_tokens, np.int64))
-                starts = ends - np.array(row.n_tokens, np.int64)
-                keys = pd.array([None if pd.isna(k) else int(k) for k in row.doc_ids], "Int64")
-                yield pd.DataFrame({"doc_id": keys, "start": starts + row.first + row.before, "ids": [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
-
-    return blocks.join(F.broadcast(shards), "shard").mapInPandas(run, "doc_id long, start long, ids binary")
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in ("doc_ids", "n_tokens", "first", "before", "n_ids", "payload", "checkpoints")}
+                ids = decoder.decode(row["payload"].as_buffer(), row["checkpoints"].as_buffer(), row["n_ids"].as_py()).astype("<u4")
+                sizes = row["n_tokens"].values.to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes)
+                starts = pa.array(ends - sizes + (row["first"].as_py() + row["before"].as_py()))
+                yield pa.RecordBatch.from_pydict({"doc_id": row["doc_ids"].values, "start": starts, "ids": pa.array([x.tobytes() for x in np.split(ids, ends[:-1])], pa.binary())})
+
+    return blocks.join(F.broadcast(shards), "shard").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def digest(rows: DataFrame) -> DataFrame:
