@@ -57,11 +57,12 @@ def md5_bucket(text: Column, buckets: int) -> Column:
 
 
 def digest_bucket(digest: Column, buckets: int) -> Column:
-    """A hexadecimal digest of 128 bits modulo buckets, folded word by word."""
-    out = F.lit(0).cast("long")
-    for i in range(4):
-        word = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
-        out = (out * F.lit(2**32 % buckets) + word) % buckets
+    """A hexadecimal digest of 128 bits modulo buckets, folded 60 bits at a time."""
+    out = None
+    for start, size in ((1, 15), (16, 15), (31, 2)):
+        part = F.conv(F.substring(digest, start, size), 16, 10).cast("long")
+        out = part if out is None else (out * F.lit(16**size % buckets) + part)
+        out = out % buckets
     return out.cast("int")
 
 

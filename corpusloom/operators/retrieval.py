@@ -6,13 +6,13 @@ fix, are compared to twelve places, so that equal texts tie; other scores are co
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,68 +40,136 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_topk(rows: DataFrame, query: list[float], k: int, id_column: str = "point_id", vector: str = "dense") -> DataFrame:
     """id, score: the k rows most similar to one query. Each task keeps its k best; nothing else moves."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.select(id_column, cosine(F.col(vector), q).alias("score")).filter(F.col("score").isNotNull()).orderBy(F.desc("score"), id_column).limit(k)
+    return _largest(rows.select(id_column, cosine(F.col(vector), q).alias("score")), k, id_column)
 
 
-def dense_batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "point_id", vector: str = "dense", query_block: int = 4096) -> DataFrame:
-    """query_id, id, score, rank for queries(query_id, dense), exactly.
+def _best(found: pa.Table, k: int, id_column: str) -> pa.Table:
+    """Each query's k best rows of found(query, score, id)."""
+    found = found.sort_by([("query", "ascending"), ("score", "descending"), (id_column, "ascending")])
+    query = found.column("query").to_numpy()
+    return found.take(np.flatnonzero(np.arange(len(query)) - np.searchsorted(query, query) < k)).combine_chunks()
+
+
+def _batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str, vector: str, query_block: int, prepare: Callable, scores: Callable) -> DataFrame:
+    """query_id, id, score, rank: queries go through in blocks of bounded size, and every task keeps k rows for each.
 
-    Queries go through in blocks of bounded size; for each, a task multiplies its rows' vectors with the block's
-    matrix batch by batch and keeps k per query, so that what is shuffled is tasks x queries x k at most.
+    prepare(vectors) makes of a block's vectors what tasks get. scores(block, batch) yields, for slices of a batch of
+    rows, (first row, scores of rows by queries), NaN where a row takes no part. What is shuffled is tasks x queries x k.
     """
     spark = rows.sparkSession
     n = max(1, -(-queries.count() // query_block))
-    id_type = rows.schema[id_column].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
+    id_type, query_type = rows.schema[id_column].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     parts = []
-    for block in range(n):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).select("query_id", "dense").orderBy("query_id").collect()
+    for number in range(n):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number).filter(F.col(vector).isNotNull()).select("query_id", vector).orderBy("query_id").collect()
         if not own:
             continue
-        matrix = np.array([r.dense for r in own], np.float64)
-        sent = spark.sparkContext.broadcast(([r.query_id for r in own], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+        sent = spark.sparkContext.broadcast(prepare([r[vector] for r in own]))
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            best: list[list[tuple]] = [[] for _ in ids]
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            held, kept = [], 0
             for batch in batches:
-                batch = batch[batch[vector].map(lambda v: v is not None and len(v) == matrix.shape[1])]
-                for a in range(0, len(batch), 4096):
-                    part = batch.iloc[a : a + 4096]
-                    x = np.array(part[vector].tolist(), np.float64)
-                    norm = np.linalg.norm(x, axis=1)
-                    keys = part[id_column].to_numpy()
-                    scores = matrix @ (x / np.where(norm > 0, norm, np.nan)[:, None]).T
-                    for q, own in enumerate(scores):
-                        edge = np.partition(-own, min(k, len(own)) - 1)[min(k, len(own)) - 1]
-                        top = np.flatnonzero(-own <= edge) if edge == edge else np.flatnonzero(own == own)
-                        best[q] = heapq.nsmallest(k, best[q] + [(-own[j], keys[j]) for j in top])
-            rows = [(ids[q], key, -s) for q, found in enumerate(best) for s, key in found if s == s]
-            yield pd.DataFrame(rows, columns=["query_id", id_column, "score"])
-
-        parts.append(rows.select(id_column, vector).mapInPandas(run, f"query_id {query_type}, {id_column} {id_type}, score double"))
+                for start, s in scores(sent.value, batch.column(vector)):
+                    s = np.where(np.isnan(s), -np.inf, s)
+                    edge = np.partition(s, max(len(s) - k, 0), axis=0)[max(len(s) - k, 0)]
+                    row, query = np.nonzero((s >= edge) & (s > -np.inf))
+                    held.append(pa.table({"query": query, "score": s[row, query], id_column: batch.column(id_column).take(pa.array(row + start))}))
+                    if sum(map(len, held)) > max(1_000_000, 4 * kept):
+                        held = [_best(pa.concat_tables(held), k, id_column)]
+                        kept = len(held[0])
+            if held:
+                yield from _best(pa.concat_tables(held), k, id_column).to_batches()
+
+        ids = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(own)], f"query long, query_id {query_type}")  # a block's, so of bounded size
+        found = rows.select(id_column, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"query long, score double, {id_column} {id_type}")
+        parts.append(found.join(F.broadcast(ids), "query").select("query_id", id_column, "score"))
     if not parts:
         return spark.createDataFrame([], f"query_id {query_type}, {id_column} {id_type}, score double, rank int")
-    found = reduce(DataFrame.unionByName, parts)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_column))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def sparse_topk(postings: DataFrame, query: DataFrame, k: int, id_column: str = "point_id") -> DataFrame:
-    """id, score: the k rows whose sparse vectors have the largest product with one query's (idx, val).
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, np.nan)
 
-    Only rows that share a term take part. The join leaves the choice of strategy to Spark, which knows a query's size.
-    """
-    hits = postings.join(query.select("idx", F.col("val").alias("q")), "idx")
-    return hits.groupBy(id_column).agg(F.round(F.sum(F.col("val") * F.col("q")), 12).alias("score")).orderBy(F.desc("score"), id_column).limit(k)
 
+def _dense_scores(block: np.ndarray, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    width = block.shape[1]
+    fits = pc.equal(pc.list_value_length(column), width).to_numpy(zero_copy_only=False)
+    for a in range(0, len(column), 1024):
+        part, good = column.slice(a, 1024), np.flatnonzero(fits[a : a + 1024])
+        out = np.full((len(part), len(block)), np.nan)
+        if len(good):
+            x = part.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            out[good] = _unit(x) @ block.T
+        yield a, out
 
-def sparse_batch_topk(postings: DataFrame, queries: DataFrame, k: int, id_column: str = "point_id") -> DataFrame:
-    """query_id, id, score, rank for queries(query_id, idx, val)."""
-    hits = postings.join(queries.select("query_id", "idx", F.col("val").alias("q")), "idx")
-    scores = hits.groupBy("query_id", id_column).agg(F.round(F.sum(F.col("val") * F.col("q")), 12).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_column))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+def dense_batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "point_id", vector: str = "dense", query_block: int = 4096) -> DataFrame:
+    """query_id, id, score, rank for queries(query_id, dense), exactly: a task multiplies its rows' vectors with a block's matrix, slice by slice."""
+    queries = queries.withColumnRenamed("dense", vector)
+    return _batch_topk(rows, queries, k, id_column, vector, query_block, lambda vectors: np.nan_to_num(_unit(np.array(vectors, float))), _dense_scores)
+
+
+def sparse_topk(rows: DataFrame, query: Row, k: int, id_column: str = "point_id", vector: str = "sparse") -> DataFrame:
+    """id, score: the k rows whose sparse vectors have the largest product with one query's (indices, values).
+
+    Only rows that share a term take part. The product is made inside the row; only each task's k best move.
+    """
+    if not query["indices"]:
+        return rows.select(id_column, F.lit(0.0).alias("score")).limit(0)
+    asked = F.array(*[F.lit(int(i)) for i in query["indices"]])
+    weights = F.array(*[F.lit(float(v)) for v in query["values"]])
+    # Lambdas hold nothing of the row but their element, so that a vector made in the same query is made once.
+    terms = F.arrays_zip(F.col(f"{vector}.indices").alias("idx"), F.col(f"{vector}.values").alias("val"))
+    shared = F.filter(terms, lambda t: F.array_contains(asked, t["idx"]))
+    product = F.aggregate(shared, F.lit(None).cast("double"), lambda total, t: F.coalesce(total, F.lit(0.0)) + t["val"] * F.element_at(weights, F.array_position(asked, t["idx"]).cast("int")))
+    return _largest(rows.select(id_column, F.round(product, 12).alias("score")), k, id_column)
+
+
+def _largest(scored: DataFrame, k: int, id_column: str) -> DataFrame:
+    """The k rows with the largest scores. Those without a score go last and then away: a filter before the limit would make Spark score rows twice."""
+    return scored.orderBy(F.desc_nulls_last("score"), id_column).limit(k).filter(F.col("score").isNotNull())
+
+
+class _Terms:
+    """A block of sparse queries by term: the sorted terms, and for each the queries that have it, with their weights."""
+
+    def __init__(self, vectors: list[Row]):
+        idx = np.concatenate([np.zeros(0, np.int64), *[np.array(v["indices"], np.int64) for v in vectors]])
+        order = np.argsort(idx, kind="stable")
+        self.n = len(vectors)
+        self.query = np.repeat(np.arange(len(vectors)), [len(v["indices"]) for v in vectors])[order]
+        self.weight = np.concatenate([np.zeros(0), *[np.array(v["values"], float) for v in vectors]])[order]
+        self.terms, self.begins, self.sizes = np.unique(idx[order], return_index=True, return_counts=True)
+
+
+def _sparse_scores(block: _Terms, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Products by terms that rows share with queries, in slices of about two million products at most."""
+    if not len(block.terms):
+        return
+    lists, row_sizes = pc.struct_field(column, "indices"), pc.list_value_length(pc.struct_field(column, "indices")).to_numpy(zero_copy_only=False)
+    idx, val = lists.flatten().to_numpy(), pc.struct_field(column, "values").flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(column)), row_sizes)
+    at = np.minimum(np.searchsorted(block.terms, idx), len(block.terms) - 1)
+    known = block.terms[at] == idx
+    row, at, val = row[known], at[known], val[known]
+    made = np.cumsum(np.bincount(row, block.sizes[at], len(column))) // 2_000_000
+    cuts = np.unique(np.concatenate([np.arange(0, len(column), 1024), np.flatnonzero(np.diff(made)) + 1, [len(column)]]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low, high = np.searchsorted(row, [a, b])
+        n = block.sizes[at[low:high]]
+        pair = np.repeat(block.begins[at[low:high]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        cell = np.repeat(row[low:high] - a, n) * block.n + block.query[pair]
+        product = np.bincount(cell, np.repeat(val[low:high], n) * block.weight[pair], (b - a) * block.n)
+        product[np.bincount(cell, minlength=(b - a) * block.n) == 0] = np.nan
+        yield int(a), np.round(product, 12).reshape(-1, block.n)
+
+
+def sparse_batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "point_id", vector: str = "sparse", query_block: int = 1024) -> DataFrame:
+    """query_id, id, score, rank for queries(query_id, sparse), exactly; only rows that share a term take part."""
+    return _batch_topk(rows, queries.withColumnRenamed("sparse", vector), k, id_column, vector, query_block, _Terms, _sparse_scores)
 
 
 def fuse(branches: list[DataFrame], k: int, id_column: str = "point_id", constant: int = 60) -> DataFrame:
@@ -112,9 +180,9 @@ def fuse(branches: list[DataFrame], k: int, id_column: str = "point_id", constan
     return both.groupBy(id_column).agg(F.sum("part").alias("score")).orderBy(F.desc("score"), id_column).limit(k)
 
 
-def hybrid_topk(dense: DataFrame, postings: DataFrame, query: list[float], sparse_query: DataFrame, k: int, id_column: str = "point_id", vector: str = "dense", constant: int = 60) -> DataFrame:
-    """id, score: two branches of 2k, fused. Both inputs must have been filtered before."""
-    return fuse([dense_topk(dense, query, 2 * k, id_column, vector), sparse_topk(postings, sparse_query, 2 * k, id_column)], k, id_column, constant)
+def hybrid_topk(dense: DataFrame, sparse: DataFrame, query: list[float], sparse_query: Row, k: int, id_column: str = "point_id", vector: str = "dense", sparse_vector: str = "sparse", constant: int = 60) -> DataFrame:
+    """id, score: two branches of 2k, fused. Both inputs, which may be one table of points, must have been filtered before."""
+    return fuse([dense_topk(dense, query, 2 * k, id_column, vector), sparse_topk(sparse, sparse_query, 2 * k, id_column, sparse_vector)], k, id_column, constant)
 
 
 def post_filter(hits: DataFrame, payload: DataFrame, k: int, min_score: float = 0.0, min_content_length: int = 0, id_column: str = "point_id") -> DataFrame:

@@ -6,45 +6,55 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import digest_bucket, md5_bucket, tokens
+from corpusloom.functions.text import digest_bucket, tokens
 
 VOCABULARY = 50_000
 
 
-def term_counts(rows: DataFrame, keys: list[str], text: str = "content", vocabulary: int = VOCABULARY) -> DataFrame:
-    """keys, idx, tf: how often terms that hash to idx stand in each text. keys must tell rows apart.
+def _counted(rows: DataFrame, text: str, vocabulary: int) -> DataFrame:
+    """rows with _idx (ascending) and _tf: how often terms that hash to each idx stand in the row's text.
 
-    Counting comes before hashing: a row's repeated token is hashed once, and only keys and counts are shuffled.
+    Equal ids stand together once sorted, so that counting them takes one pass, inside the row. Each step is a column
+    of its own: inside a lambda, an expression would be evaluated again for every element.
     """
-    terms = rows.select(*keys, F.explode(tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
-    return terms.withColumn("idx", md5_bucket(F.col("token"), vocabulary)).groupBy(*keys, "idx").agg(F.sum("n").alias("tf"))
+    rows = rows.withColumn("_ids", F.array_sort(F.transform(tokens(F.col(text)), lambda t: digest_bucket(F.md5(t), vocabulary))))
+    n = F.size("_ids")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_first", F.filter(places, lambda i: (i == 1) | (F.element_at("_ids", i) != F.element_at("_ids", F.greatest(i - 1, F.lit(1))))))
+    rows = rows.withColumn("_tf", F.transform("_first", lambda i, k: F.coalesce(F.try_element_at("_first", k + 2), n + 1) - i))
+    return rows.withColumn("_idx", F.transform("_first", lambda i: F.element_at("_ids", i))).drop("_ids", "_first")
+
+
+def term_counts(rows: DataFrame, keys: list[str], text: str = "content", vocabulary: int = VOCABULARY) -> DataFrame:
+    """keys, idx, tf: how often terms that hash to idx stand in each text. No shuffle: a row counts its own terms."""
+    counted = _counted(rows.select(*keys, text), text, vocabulary)
+    return counted.select(*keys, F.inline(F.arrays_zip("_idx", "_tf")).alias("idx", "tf")).withColumn("tf", F.col("tf").cast("long"))
 
 
 def postings(rows: DataFrame, keys: list[str], text: str = "content", vocabulary: int = VOCABULARY) -> DataFrame:
     """keys, idx, val: sparse vectors of unit length in long form. Texts without terms have no rows."""
-    counts = term_counts(rows, keys, text, vocabulary)
-    norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    return counts.join(norms, keys).select(*keys, "idx", (F.col("tf") / F.col("norm")).alias("val"))
+    return postings_of(with_sparse(rows.select(*keys, text), text, vocabulary, "_sparse"), keys, "_sparse")
+
+
+def postings_of(rows: DataFrame, keys: list[str], column: str = "sparse") -> DataFrame:
+    """keys, idx, val of sparse vectors that rows, such as a collection's points, hold."""
+    zipped = F.arrays_zip(F.col(f"{column}.indices").alias("idx"), F.col(f"{column}.values").alias("val"))
+    return rows.select(*keys, F.inline(zipped).alias("idx", "val"))
 
 
 def with_sparse(rows: DataFrame, text: str = "content", vocabulary: int = VOCABULARY, column: str = "sparse") -> DataFrame:
-    """rows with a text's sparse vector as struct(indices ascending, values), inside the row; empty arrays for no terms.
+    """rows with a text's sparse vector as struct(indices ascending, values), inside the row; empty arrays for no terms."""
+    rows = _counted(rows, text, vocabulary).withColumn("_norm", F.sqrt(F.aggregate("_tf", F.lit(0.0), lambda a, c: a + c * c)))
+    vector = F.struct(F.col("_idx").alias("indices"), F.transform("_tf", lambda c: c / F.col("_norm")).alias("values"))
+    return rows.withColumn(column, vector).drop("_idx", "_tf", "_norm")
 
-    Equal ids stand together once sorted, so that counting them takes one pass. Each step is a column of its
-    own: inside a lambda, an expression would be evaluated again for every element.
-    """
-    digests = F.transform(tokens(F.col(text)), lambda t: F.md5(t))
-    rows = rows.withColumn("_ids", F.array_sort(F.transform(digests, lambda d: digest_bucket(d, vocabulary))))
-    n = F.size("_ids")
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_first", F.filter(places, lambda i: (i == 1) | (F.element_at("_ids", i) != F.element_at("_ids", F.greatest(i - 1, F.lit(1))))))
-    rows = rows.withColumn("_tf", F.transform("_first", lambda i, k: (F.coalesce(F.try_element_at("_first", k + 2), n + 1) - i).cast("double")))
-    rows = rows.withColumn("_norm", F.sqrt(F.aggregate("_tf", F.lit(0.0), lambda a, c: a + c * c)))
-    vector = F.struct(F.transform("_first", lambda i: F.element_at("_ids", i)).alias("indices"), F.transform("_tf", lambda c: c / F.col("_norm")).alias("values"))
-    return rows.withColumn(column, vector).drop("_ids", "_first", "_tf", "_norm")
+
+def sparse_of(spark: SparkSession, text: str, vocabulary: int = VOCABULARY) -> Row:
+    """One text's sparse vector: indices and values."""
+    return with_sparse(spark.createDataFrame([(text,)], "content string"), vocabulary=vocabulary).first().sparse
 
 
 def vectors_of(postings_df: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,24 +115,23 @@ def sparse_norms(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.round(F.sum(F.col("val") * F.col("val")), 6).alias("norm2"), F.count("*").alias("n_terms"))
 
 
-def _chunk_postings(spark, sf_dir) -> DataFrame:
-    chunks = chunking.by_lines(files(spark, sf_dir)).select("doc_id", "chunk_index", "content")
-    return vectors.postings(chunks.withColumn("point_id", F.concat_ws("_", "doc_id", "chunk_index")), ["point_id"])
+def _item(spark, sf_dir) -> Row:
+    """The first test item's sparse vector."""
+    return vectors.with_sparse(table(spark, sf_dir, "benchmark").filter("item_id = 0"), "text").first().sparse
 
 
 @query
 def sparse_search(spark, sf_dir):
     """Top ten of the first test item over chunks of lines."""
-    item = table(spark, sf_dir, "benchmark").filter("item_id = 0")
-    asked = vectors.postings(item, ["item_id"], "text")
-    return retrieval.sparse_topk(_chunk_postings(spark, sf_dir), asked, 10).withColumn("score", F.round("score", 6))
+    chunks = chunking.by_lines(files(spark, sf_dir)).select(F.concat_ws("_", "doc_id", "chunk_index").alias("point_id"), "content")
+    return retrieval.sparse_topk(vectors.with_sparse(chunks), _item(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
 @query
 def sparse_batch_search(spark, sf_dir):
     """Top three documents of every test item."""
-    asked = vectors.postings(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), ["query_id"], "text")
-    found = retrieval.sparse_batch_topk(vectors.postings(table(spark, sf_dir, "documents"), ["doc_id"], "text"), asked, 3, "doc_id")
+    asked = vectors.with_sparse(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "text")
+    found = retrieval.sparse_batch_topk(vectors.with_sparse(table(spark, sf_dir, "documents"), "text"), asked, 3, "doc_id")
     return found.groupBy("query_id").agg(F.round(F.sum("score"), 5).alias("total"), F.round(F.max("score"), 5).alias("best"), F.count("*").alias("n"))
 
 
@@ -167,9 +166,8 @@ def dense_batch_topk(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir, k: int) -> DataFrame:
-    item = table(spark, sf_dir, "benchmark").filter("item_id = 0")
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "vec_id")
-    return retrieval.hybrid_topk(table(spark, sf_dir, "embeddings"), vectors.postings(docs, ["vec_id"], "text"), _query_vector(spark, sf_dir), vectors.postings(item, ["item_id"], "text"), k, "vec_id", "embedding")
+    return retrieval.hybrid_topk(table(spark, sf_dir, "embeddings"), vectors.with_sparse(docs, "text"), _query_vector(spark, sf_dir), _item(spark, sf_dir), k, "vec_id", "embedding")
 
 
 @query

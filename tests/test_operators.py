@@ -347,8 +347,6 @@ def test_rendering(spark):
 def test_ask(spark):
     provider = vectors.HashingEmbedder(16)
     points = to_points(files(spark, [("auth.py", "def login(user): check the password of the user"), ("x.md", "# nothing\nabout cooking of vegetables"), ("t.py", "x")]), provider, strategy="by_lines")
-    points = points.select("point_id", "filepath", "content", "language", "line_start", "line_end", "dense")
-    question = spark.createDataFrame([(0, "login password")], "q int, content string")
     seen = {}
 
     class Chat(rag.EchoProvider):
@@ -356,12 +354,12 @@ def test_ask(spark):
             seen.update(options, system=messages[0]["content"])
             return super().complete(messages)
 
-    answer, sources = rag.ask(points, vectors.postings(points, ["point_id"]), "login password", Chat(), provider, vectors.postings(question, ["q"]), context="be kind")
-    assert seen["temperature"] == 0.3 and seen["system"].endswith("Additional context from the user: be kind")
-    assert answer.startswith("## Question\nlogin password\n\n## Relevant Code Snippets\n### [1] auth.py (lines 1-1)\n```python\n") and "x\n```" not in answer
+    answer, sources = rag.ask(points, "login password", Chat(), provider, context="be kind")
+    assert seen["temperature"] == 0.3 and seen["system"].endswith("What the user adds:\nbe kind")
+    assert answer.startswith("# Question\n\nlogin password\n\n# Excerpts\n\n### [1] auth.py (lines 1-1)\n```python\n") and "x\n```" not in answer
     assert sources.startswith("- [`auth.py`](auth.py:1) (score: 0.0")
     with pytest.raises(ValueError):
-        rag.ask(points.filter("false"), vectors.postings(points, ["point_id"]), "q", Chat(), provider, vectors.postings(question, ["q"]))
+        rag.ask(points.filter("false"), "q", Chat(), provider)
 
 
 def test_blueprints():
