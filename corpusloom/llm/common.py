@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.staging import shared_folder, staged
 
-__all__ = ["WORD", "WordScores", "crc_of_id", "fresh", "hashed_subwords", "in_slices", "memo", "release_memos", "shared_folder", "smallest_by_hash", "staged", "table", "trained"]
+__all__ = ["WORD", "WordScores", "crc_of_id", "fresh", "hashed_subwords", "in_slices", "memo", "of_texts", "one_per_id", "release_memos", "shared_folder", "smallest_by_hash", "staged", "table", "trained"]
 
 #: What separates words: the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,6 +51,31 @@ def smallest_by_hash(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame
     return hashed.filter(F.col(name) <= F.lit(top if top is not None else -(2**63))).drop(name)
 
 
+def one_per_id(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row for each value of key, the least by columns, so that repeated ids can't change from run to run what is learned from."""
+    return df.groupBy(key).agg(F.min(F.struct(*columns)).alias("_least")).select(key, "_least.*")
+
+
+def of_texts(schema: str, start: Callable[[], Callable[[list[str | None]], object]], text: str = "text") -> Column:
+    """A column of what a task's function, made by start(), gives for the texts of a batch; all other columns stay in the JVM.
+
+    The function returns a row per text: a DataFrame for a struct, a list or array otherwise.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[object]:
+        work = start()
+        for texts in batches:
+            yield work([t if isinstance(t, str) else None for t in texts])
+
+    def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+
+    def values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from map(pd.Series, run(batches))
+
+    return F.pandas_udf(rows if "," in schema and "<" not in schema else values, schema)(text)
+
+
 _MEMOS: dict[object, object] = {}
 
 
@@ -148,11 +173,11 @@ class WordScores:
         return self.values[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
 
-def in_slices(texts: list[str], characters: int = 4_000_000):
+def in_slices(texts: list[str | None], characters: int = 4_000_000):
     """Runs of a batch's rows with about so many characters each, so that a worker's lists of words stay small."""
     start, size = 0, 0
     for i, text in enumerate(texts):
-        size += len(text)
+        size += len(text or "")
         if size >= characters:
             yield start, i + 1
             start, size = i + 1, 0

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh, release_memos, staged
+from corpusloom.llm.common import fresh, of_texts, release_memos, staged
 from corpusloom.llm.graph import components, fixed_width, whole_groups
 
 #: MinHash tokens of a set. Depth of paths: a bucket is split at most DEPTH - 1 times.
@@ -71,20 +71,24 @@ def min_hash(shingles: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, text_hash, set_id (16 bytes, equal for equal sets; null for a text without words), n_shingles, tokens (bytes) per row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         release_memos()
         shingles = Shingles(n)
-        for batch in batches:
+
+        def work(texts: list[str | None]) -> pd.DataFrame:
             ids, sizes, tokens = [], [], []
-            for text in batch["text"]:
+            for text in texts:
                 s = shingles(text)
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sizes.append(len(s))
                 tokens.append(min_hash(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "set_id": ids, "n_shingles": sizes, "tokens": tokens})
+            return pd.DataFrame({"set_id": ids, "n_shingles": sizes, "tokens": tokens})
+
+        return work
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInPandas(run, "doc_id long, text_hash long, set_id binary, n_shingles int, tokens binary")
+    made = of_texts("set_id binary, n_shingles int, tokens binary", start)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), made.alias("made"))
+    return rows.select("doc_id", "text_hash", "made.*")
 
 
 def _token(at) -> F.Column:

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordScores, crc_of_id, hashed_subwords, in_slices, release_memos, smallest_by_hash, trained
+from corpusloom.llm.common import WordScores, crc_of_id, fresh, hashed_subwords, in_slices, of_texts, one_per_id, release_memos, smallest_by_hash, trained
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -99,7 +98,7 @@ def _logits(bags: list[list[str]], scores: WordScores, model: LanguageModel) ->
 def fit(docs: DataFrame, *, fit_rows: int = 6000, seed: int = 5) -> LanguageModel:
     """Learn from at most fit_rows documents with a lang whose crc32(doc_id) mod 3 is not 1, chosen by a seeded hash.
 
-    Rows with a null doc_id, lang or text aren't learned from.
+    Rows with a null doc_id, lang or text aren't learned from; of rows that share an id, one is.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_of_id() % 3 != 1))
 
@@ -107,37 +106,45 @@ def fit(docs: DataFrame, *, fit_rows: int = 6000, seed: int = 5) -> LanguageMode
         rows = rows.sort_values(["doc_id", "lang", "text"])
         return train(list(rows["text"]), list(rows["lang"]), seed=seed)
 
-    return trained(smallest_by_hash(usable, "doc_id", fit_rows, seed).limit(fit_rows), learn)
+    sample = smallest_by_hash(usable.withColumn("order", F.xxhash64("lang", "text")), "doc_id", fit_rows, seed)
+    return trained(one_per_id(sample, "doc_id", "order", "text", "lang"), learn)
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred, score and rejected, from the whole text alone. No shuffle.
-
-    score is the calibrated probability of lang_pred. A text that is null or without letters gets `und`, 0
-    and rejected; with one learned lang every other text gets it. Clashing columns of docs are replaced.
-    """
+def _language(docs: DataFrame, model: LanguageModel) -> Column:
+    """A struct column lang_pred, score, rejected of the texts of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "rejected")
-    columns = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         release_memos()
         model = sent.value
         scores = WordScores(model.table)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+
+        def work(texts: list[str | None]) -> pd.DataFrame:
+            pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             for a, b in in_slices(texts):
                 bags = [words_of(t) for t in texts[a:b]]
                 full = [i for i, x in enumerate(bags) if x] if model.labels else []
-                pred, score = np.full(b - a, UNKNOWN, object), np.zeros(b - a)
                 if full:
                     p = softmax(_logits([bags[i] for i in full], scores, model) / model.temperature)
-                    pred[full] = np.array(model.labels, object)[p.argmax(1)]
-                    score[full] = p.max(1)
-                yield batch.iloc[a:b].assign(lang_pred=pred, score=score, rejected=(pred == UNKNOWN) | (score < model.reject_below))[[*columns, "lang_pred", "score", "rejected"]]
+                    at = [a + i for i in full]
+                    pred[at], score[at] = np.array(model.labels, object)[p.argmax(1)], p.max(1)
+            return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": (pred == UNKNOWN) | (score < model.reject_below)})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string", "score double", "rejected boolean"])
-    return docs.mapInPandas(run, schema)
+        return work
+
+    return of_texts("lang_pred string, score double, rejected boolean", start)
+
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs with lang_pred, score and rejected, from the whole text alone. No shuffle.
+
+    score is the calibrated probability of lang_pred. A text that is null or without letters gets `und`, 0
+    and rejected; with one learned lang every other text gets it. Columns of docs with these names, in any case,
+    are replaced. Equal texts get equal results, however long they are.
+    """
+    docs = docs.drop("lang_pred", "score", "rejected")
+    (out,) = fresh(docs, "_language")
+    return docs.withColumn(out, _language(docs, model)).select(*docs.columns, f"{out}.*")
 
 
 def identify(docs: DataFrame, *, fit_rows: int = 6000) -> DataFrame:
@@ -149,8 +156,5 @@ def identify(docs: DataFrame, *, fit_rows: int = 6000) -> DataFrame:
 
 def keep_identified(docs: DataFrame, *, fit_rows: int = 6000) -> DataFrame:
     """The documents whose language is identified, with their columns unchanged: rejected ones go."""
-    model = fit(docs, fit_rows=fit_rows)
-    # Columns named like the prediction's would be replaced: they wait under other names.
-    parked = {c: f"_own_{c}" for c in ("lang_pred", "score", "rejected") if c in docs.columns}
-    kept = predict(docs.withColumnsRenamed(parked), model).filter(~F.col("rejected")).drop("lang_pred", "score", "rejected")
-    return kept.withColumnsRenamed({b: a for a, b in parked.items()}).select(*docs.columns)
+    (out,) = fresh(docs, "_language")
+    return docs.withColumn(out, _language(docs, fit(docs, fit_rows=fit_rows))).filter(~F.col(f"{out}.rejected")).drop(out)

@@ -6,16 +6,15 @@ features; a score is the sum of the looked-up values under a logistic curve.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_of_id, smallest_by_hash
+from corpusloom.llm.common import crc_of_id, of_texts, one_per_id, smallest_by_hash, trained
 
 FEATURES = (
     "log_chars", "log_words", "log_lines", "mean_word", "longest_word", "letters", "uppercase", "digits", "marks", "symbols",
@@ -176,35 +175,43 @@ def train(x: np.ndarray, y: np.ndarray, *, bins: int = 48, coarse: int = 8, roun
 def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 8000, seed: int = 10) -> QualityModel:
     """Learn labels.quality from at most fit_rows labels, up to half of them 0, whose crc32(doc_id) mod 5 is not 0.
 
-    Labels that are null, or whose document is missing or null, aren't learned from.
+    Labels that are null, or whose document is missing or null, aren't learned from. An id with several labels
+    has the smallest, one with several texts is learned from by one of them.
     """
-    usable = labels.select("doc_id", "quality").filter(F.col("quality").isin(0, 1) & (crc_of_id() % 5 != 0))
+    usable = one_per_id(labels.select("doc_id", "quality").filter(F.col("quality").isin(0, 1) & (crc_of_id() % 5 != 0)), "doc_id", "quality")
     chosen = [smallest_by_hash(usable.filter(F.col("quality") == v), "doc_id", fit_rows // 2, seed).limit(fit_rows // 2) for v in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # bounded by fit_rows, so it may be broadcast
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = one_per_id(rows.withColumn("order", F.xxhash64("text")), "doc_id", "order", "text", "quality")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [[float(v) for v in features(t)] for t in batch["text"]]})
+    def learn(rows: pd.DataFrame) -> QualityModel:
+        rows = rows.sort_values("doc_id", kind="stable")
+        return train(np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["quality"].to_numpy().astype(float))
 
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").limit(2 * fit_rows)
-    sample = rows.mapInPandas(run, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    return train(np.array(sample["x"].tolist()).reshape(-1, len(FEATURES)), sample["quality"].to_numpy().astype(float))
+    return trained(rows.select("doc_id", "quality", _features().alias("x")), learn)
+
+
+def _features() -> Column:
+    return of_texts("array<double>", lambda: lambda texts: [features(t) for t in texts])
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (score >= threshold) of every whole text. No shuffle.
 
-    A null text is scored as an empty one. Rows stay as they are, repeated ones and null ids too.
+    A null text is scored as an empty one. Rows stay as they are, repeated ones and null ids too: equal texts
+    score alike, however long. An empty table gives no rows. Other columns of docs are left out, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch["text"]]).reshape(-1, len(FEATURES))
-            s = 1 / (1 + np.exp(-np.clip(sent.value.logits(x), -40, 40)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": s, "predicted": (s >= threshold).astype("int32")})
+    def start():
+        def work(texts: list[str | None]) -> np.ndarray:
+            x = np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
+            return 1 / (1 + np.exp(-np.clip(sent.value.logits(x), -40, 40)))
+
+        return work
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of_texts("double", start).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 8000) -> DataFrame:

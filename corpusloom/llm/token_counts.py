@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusloom.llm.common import memo
+from corpusloom.llm.common import memo, of_texts
 
 #: The pattern by which byte-level BPE of this kind cuts a text before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -80,14 +80,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every whole text.
 
     path: a byte-level BPE vocabulary file of the tokenizers library, present on every executor. A null or
-    empty text has 0 bytes and 0 tokens; rows stay as they are, repeated ones and null ids too. No shuffle.
+    empty text has 0 bytes and 0 tokens; rows stay as they are, repeated ones and null ids too; other columns of
+    docs are left out, whatever their names. No shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         pieces = counter(path)
-        for batch in batches:
-            texts = [t if t is not None else "" for t in batch["text"]]
-            n = [pieces.count(t) for t in texts]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
+        return lambda texts: [pieces.count(t or "") for t in texts]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_bytes.alias("n_bytes"), of_texts("long", start).alias("n_tokens"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -7,7 +7,6 @@ training lets each toxic document teach by the windows that the model so far fin
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordScores, crc_of_id, hashed_subwords, in_slices, smallest_by_hash, trained
+from corpusloom.llm.common import WordScores, crc_of_id, hashed_subwords, in_slices, of_texts, one_per_id, smallest_by_hash, trained
 
 WORDS = re.compile(r"\w+")
 
@@ -150,13 +149,15 @@ def document_logits(bags: list[list[str]], scores: WordScores, model: ToxicModel
 def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 7000, seed: int = 3) -> ToxicModel:
     """Learn labels.toxic from at most fit_rows labels, up to 3/7 of them toxic, whose crc32(doc_id) mod 3 is not 1.
 
-    Labels that are null, or whose document is missing or null, aren't learned from.
+    Labels that are null, or whose document is missing or null, aren't learned from. An id with several labels
+    has the smallest, one with several texts is learned from by one of them.
     """
-    usable = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (crc_of_id() % 3 != 1))
+    usable = one_per_id(labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (crc_of_id() % 3 != 1)), "doc_id", "toxic")
     most = {1: fit_rows * 3 // 7, 0: fit_rows - fit_rows * 3 // 7}
     chosen = [smallest_by_hash(usable.filter(F.col("toxic") == v), "doc_id", n, seed).limit(n) for v, n in most.items()]
     chosen = chosen[0].unionByName(chosen[1])  # bounded by fit_rows, so it may be broadcast
-    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").limit(2 * fit_rows)
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    sample = one_per_id(rows.withColumn("order", F.xxhash64("text")), "doc_id", "order", "text", "toxic")
 
     def learn(rows: pd.DataFrame) -> ToxicModel:
         rows = rows.sort_values(["doc_id", "toxic", "text"])
@@ -168,24 +169,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 7000, seed: int =
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (score >= threshold) of every whole text. No shuffle.
 
-    A null text, or one without a word, scores 0. Rows stay as they are, repeated ones and null ids too.
+    A null text, or one without a word, scores 0. Rows stay as they are, repeated ones and null ids too: equal
+    texts score alike, however long. An empty table gives no rows. Other columns of docs are left out, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         model = sent.value
         scores = WordScores(model.table)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+
+        def work(texts: list[str | None]) -> np.ndarray:
+            out = np.zeros(len(texts))
             for a, b in in_slices(texts):
                 bags = [words_of(t) for t in texts[a:b]]
-                full, out = [i for i, x in enumerate(bags) if x], np.zeros(b - a)
+                full = [i for i, x in enumerate(bags) if x]
                 if full:
                     z = model.slope * document_logits([bags[i] for i in full], scores, model) + model.offset
-                    out[full] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b], "score": out, "predicted": (out >= threshold).astype("int32")})
+                    out[[a + i for i in full]] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            return out
+
+        return work
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of_texts("double", start).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 7000) -> DataFrame:
