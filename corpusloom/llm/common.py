@@ -140,16 +140,17 @@ def hashed_subwords(words: list[str], buckets: int, shortest: int = 3, longest:
 class WordScores:
     """Sums over each word's subwords of rows of a score table, remembered word by word up to a bound.
 
-    table: (buckets, k). For the words of a batch, rows() gives (words, k + 1): the k sums and the number of subwords.
+    table: (buckets, k). For the words of a batch, rows() gives (words, k + 1): the k sums and the number of subwords;
+    with `known`, a mark for each of a multiple of the table's buckets, also the number of marked ones.
     """
 
-    def __init__(self, table: np.ndarray, remember: int = 400_000, longest_kept: int = 64):
-        self.table, self.remember, self.longest = np.ascontiguousarray(table, np.float32), remember, longest_kept
+    def __init__(self, table: np.ndarray, remember: int = 400_000, known: np.ndarray | None = None):
+        self.table, self.remember, self.known = np.ascontiguousarray(table, np.float32), remember, known
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.values = np.zeros((0, self.table.shape[1] + 1), np.float32)
+        self.values = np.zeros((0, self.table.shape[1] + 1 + (self.known is not None)), np.float32)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
@@ -164,9 +165,13 @@ class WordScores:
             self.values = grown
         for a in range(0, len(new), 50_000):
             part, start = new[a : a + 50_000], len(self.place)
-            owner, ids = hashed_subwords(part, len(self.table))
+            owner, ids = hashed_subwords(part, len(self.table) if self.known is None else len(self.known))
+            counts = [np.bincount(owner, minlength=len(part))]
+            if self.known is not None:
+                counts.append(np.bincount(owner, self.known[ids], len(part)))
+                ids %= len(self.table)  # a bucket is the same hash by another modulus
             sums = [np.bincount(owner, self.table[ids, k], len(part)) for k in range(self.table.shape[1])]
-            self.values[start : start + len(part)] = np.stack([*sums, np.bincount(owner, minlength=len(part))], 1)
+            self.values[start : start + len(part)] = np.stack([*sums, *counts], 1)
             self.place.update(zip(part, range(start, start + len(part)), strict=True))
 
     def rows(self, words: list[str]) -> np.ndarray:

@@ -14,17 +14,27 @@ from corpusloom.llm.common import WordScores, crc_of_id, fresh, hashed_subwords,
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Marks of known subwords; subwords that a text is taken to know beforehand, so that few words prove little.
+KNOWN, PRIOR = 2**22, 60
 
 
 @dataclass
 class LanguageModel:
-    """labels in order; table: a row of logits per subword bucket (embeddings times weights); reject_below: calibrated score under which a prediction is rejected."""
+    """labels in order; table: a row of logits per subword bucket (embeddings times weights); known: packed marks of subwords met in training.
+
+    A prediction is rejected if its score is below reject_below, or the share of unknown subwords above most_unknown.
+    """
 
     labels: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    reject_below: float
+    known: np.ndarray
+    reject_below: float = 0.0
+    most_unknown: float = 1.0
+
+    def scores(self) -> WordScores:
+        return WordScores(self.table, known=np.unpackbits(self.known).astype(bool))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -39,6 +49,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def train(texts: list[str], langs: list[str], *, buckets: int = 2**17, dim: int = 16, epochs: int = 4, least_steps: int = 1000, window: int = 40, rate: float = 0.5, seed: int = 5) -> LanguageModel:
     """Fit on labelled texts. Each epoch draws a window of words from anywhere in each text; a fifth of the texts calibrates.
 
+    Calibration sets the temperature, and what is rejected: scores nearer to chance than half of what all but one in
+    a thousand right predictions reach, and texts with twice the unknown subwords that all but one in a thousand have.
     Without a text that has letters, the model has no labels and predicts `und` only.
     """
     rng, labels = np.random.default_rng(seed), sorted(set(langs))
@@ -46,7 +58,7 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 2**17, dim: int
     pairs = [([spelled.setdefault(x, x) for x in w], labels.index(y)) for t, y in zip(texts, langs, strict=True) if (w := words_of(t))]
     k = len(labels) if pairs else 0
     if not k:
-        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, np.zeros(KNOWN // 8, np.uint8))
     order = rng.permutation(len(pairs))
     held, fit = order[: len(pairs) // 5], order[len(pairs) // 5 :]
     fit = fit if len(fit) else held
@@ -73,26 +85,30 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 2**17, dim: int
             weights -= lr * mean.T @ wrong / len(bags)
             bias -= lr * wrong.mean(0)
             np.subtract.at(embed, ids, 4 * lr * back[owner])
-    model = LanguageModel(labels, (embed @ weights).astype(np.float32), bias, 1.0, 0.0)
+    met, known = list(set().union(*(pairs[i][0] for i in fit))), np.zeros(KNOWN, bool)
+    for a in range(0, len(met), 50_000):
+        known[hashed_subwords(met[a : a + 50_000], KNOWN)[1]] = True
+    model = LanguageModel(labels, (embed @ weights).astype(np.float32), bias, 1.0, np.packbits(known))
     if len(held):
         sizes = rng.integers(1, window + 1, len(held))
         bags = [pairs[i][0] if j % 2 else pairs[i][0][: sizes[j]] for j, i in enumerate(held)]
-        z, y = _logits(bags, WordScores(model.table), model), np.array([pairs[i][1] for i in held])
+        (z, strange), y = _logits(bags, model.scores(), model), np.array([pairs[i][1] for i in held])
         at = np.arange(len(held))
         model.temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(softmax(z / t)[at, y] + 1e-12).mean())
         p = softmax(z / model.temperature)
         right = p.argmax(1) == y
-        if right.any():  # rejection costs at most one right prediction in 1000, and spares texts in two languages
-            model.reject_below = float(min(0.35, np.quantile(p.max(1)[right], 0.001)))
+        if right.any():
+            model.reject_below = float(1 / k + (np.quantile(p.max(1)[right], 0.001) - 1 / k) / 2)
+        model.most_unknown = float(2 * np.quantile(strange, 0.999) + 2 / len(held))
     return model
 
 
-def _logits(bags: list[list[str]], scores: WordScores, model: LanguageModel) -> np.ndarray:
-    """Logits of bags that hold a word each."""
+def _logits(bags: list[list[str]], scores: WordScores, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """Logits, and shares of unknown subwords, of bags that hold a word each."""
     scores.learn(set().union(*bags))
     starts = np.cumsum([0, *map(len, bags[:-1])])
     sums = np.add.reduceat(scores.rows([w for b in bags for w in b]).astype(np.float64), starts)
-    return sums[:, :-1] / sums[:, -1:] + model.bias
+    return sums[:, :-2] / sums[:, -2:-1] + model.bias, (sums[:, -2] - sums[:, -1]) / (sums[:, -2] + PRIOR)
 
 
 def fit(docs: DataFrame, *, fit_rows: int = 6000, seed: int = 5) -> LanguageModel:
@@ -117,18 +133,19 @@ def _language(docs: DataFrame, model: LanguageModel) -> Column:
     def start():
         release_memos()
         model = sent.value
-        scores = WordScores(model.table)
+        scores = model.scores()
 
         def work(texts: list[str | None]) -> pd.DataFrame:
-            pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            pred, score, strange = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
             for a, b in in_slices(texts):
                 bags = [words_of(t) for t in texts[a:b]]
                 full = [i for i, x in enumerate(bags) if x] if model.labels else []
                 if full:
-                    p = softmax(_logits([bags[i] for i in full], scores, model) / model.temperature)
                     at = [a + i for i in full]
+                    z, strange[at] = _logits([bags[i] for i in full], scores, model)
+                    p = softmax(z / model.temperature)
                     pred[at], score[at] = np.array(model.labels, object)[p.argmax(1)], p.max(1)
-            return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": (pred == UNKNOWN) | (score < model.reject_below)})
+            return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": (pred == UNKNOWN) | (score < model.reject_below) | (strange > model.most_unknown)})
 
         return work
 
@@ -139,7 +156,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred, score and rejected, from the whole text alone. No shuffle.
 
     score is the calibrated probability of lang_pred. A text that is null or without letters gets `und`, 0
-    and rejected; with one learned lang every other text gets it. Columns of docs with these names, in any case,
+    and rejected; with one learned lang every other text gets it. Texts whose score is near chance, or with too many
+    subwords that no training text has, as in another language, keep their prediction but are rejected. Columns of docs with these names, in any case,
     are replaced. Equal texts get equal results, however long they are.
     """
     docs = docs.drop("lang_pred", "score", "rejected")

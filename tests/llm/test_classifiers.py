@@ -98,3 +98,18 @@ def test_quality_of_odd_rows(spark):
     found = quality.quality(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(found) == 4 and {r.score for r in found} == {0.5}
     assert quality.features(None) == quality.features("") and all(np.isfinite(quality.features("\ud800 x" * 5)))
+
+
+def test_languages_left_out_of_training_are_rejected(spark):
+    docs = read(spark, "documents")
+    texts = docs.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id < 4000").toPandas()
+    for learned, other in ((["de", "en", "es"], "fr"), (["en", "fr"], "de")):
+        fit, rest = texts.iloc[:2000], texts.iloc[2000:]
+        own = fit[fit.lang.isin(learned)]
+        model = language_id.train(list(own.text), list(own.lang))
+        rows = rest[rest.lang.isin([*learned, other])].reset_index(drop=True)
+        junk = ["".join(chr(97 + (i * 7 + j * j * 11 + i * j) % 26) + " " * (j % 6 == 5) for j in range(400)) for i in range(50)]
+        found = language_id.predict(spark.createDataFrame([(i, t) for i, t in enumerate([*rows.text, *junk])], "i int, text string"), model).orderBy("i").toPandas()
+        gone = found.rejected[: len(rows)].groupby(rows.lang.isin(learned)).mean()
+        print(learned, "rejected of", other, gone[False], "of learned ones", gone[True], "of junk", found.rejected[len(rows) :].mean())
+        assert gone[False] > 0.95 and gone[True] < 0.01 and found.rejected[len(rows) :].mean() > 0.95
