@@ -39,11 +39,23 @@ def by_lines(files: DataFrame, size: int = 50, overlap: int = 5) -> DataFrame:
 
 
 def by_size(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
-    """Windows of characters; lines are counted by newlines before and inside the window."""
-    step = check_window(size, overlap)
+    """Windows of characters; lines are counted by newlines before and inside the window.
+
+    A text is cut once into pieces of a step each; a window is a few pieces. Newlines are counted per piece and per
+    block of pieces, so that no window looks at the text before it again.
+    """
+    step, block = check_window(size, overlap), 512
     keep = _others(files)
-    rows = files.select("filepath", *keep, "content", F.posexplode(window_starts(F.length(F.coalesce("content", F.lit(""))), step)).alias("_index", "_start"))
-    rows = rows.select("filepath", *keep, F.substring(F.col("content"), F.col("_start") + 1, F.lit(size)).alias("_text"), "_index", (newlines(F.substring(F.col("content"), F.lit(1), F.col("_start"))) + 1).alias("line_start"))
+    rows = files.select("filepath", *keep, F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_pieces"))
+    rows = rows.withColumn("_counts", F.transform("_pieces", newlines))
+    total = lambda counts: F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+    starts = F.when(F.size("_counts") > 0, F.sequence(F.lit(1), F.size("_counts"), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_blocks", F.transform(starts, lambda i: total(F.slice("_counts", i, block))))
+    rows = rows.select("filepath", *keep, "_pieces", "_counts", "_blocks", F.posexplode("_pieces").alias("_index", "_piece"))
+    text = F.substring(F.array_join(F.slice("_pieces", F.col("_index") + 1, F.lit(-(-size // step))), ""), 1, size)
+    number = F.floor(F.col("_index") / block).cast("int")
+    before = total(F.slice("_blocks", F.lit(1), number)) + total(F.slice("_counts", number * block + 1, F.col("_index") - number * block))
+    rows = rows.select("filepath", *keep, text.alias("_text"), "_index", (before + 1).alias("line_start"))
     return rows.select("filepath", *keep, F.col("_text").alias("content"), F.col("_index").alias("chunk_index"), "line_start", (F.col("line_start") + newlines(F.col("_text"))).alias("line_end"), F.lit(None).cast("string").alias("type"), _no_symbols().alias("symbols"))
 
 
@@ -125,7 +137,10 @@ def register_chunker(name: str, chunker: Chunker) -> None:
 
 
 def chunk(files: DataFrame, strategy: str = "ast", **window: int) -> DataFrame:
-    """Chunks by the named strategy (an unknown one is by_size), but markdown by its headings in windows of 100 lines with 10 of overlap."""
+    """Chunks by the named strategy (an unknown one is by_size), but markdown by its headings in windows of 100 lines with 10 of overlap.
+
+    The two kinds are two branches over files: a content that is dear to make should have been written before, as index_changes() does.
+    """
     from corpusloom.functions.paths import is_markdown
 
     markdown = F.coalesce(is_markdown(F.col("filepath"), F.col("content")), F.lit(False))

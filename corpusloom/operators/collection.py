@@ -1,14 +1,21 @@
-"""Collections of points: versioned Parquet folders, partitioned by a hash of the file.
+"""Collections of points: Parquet that is only ever added to, and a log of versions.
 
-A collection's folder holds `meta` (dimension, vocabulary), versions `v=<n>` and `current`, a one-row table that names
-the version to read. Writers make a new version and then move `current`; readers never see half of one. Only the
-buckets of changed files are rewritten: unchanged buckets are carried over by name in the version's list of buckets.
+A collection's folder holds `meta` (dimension, vocabulary, buckets), `data`, `dropped` and `log`. A version adds one
+folder of points, by bucket, and one of marks: "points of this file (or this id) from before this version are gone".
+Both have a name of their own for each attempt, so that a write that broke stands in nobody's way. A version
+counts once its entry stands in the log, which names all folders that readers need; an entry is created only if no
+other writer has created it. What a batch writes is in proportion to what changed; compact() folds marks in.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions.paths import is_test, language, metadata_id, path_segments, point_id
 from corpusloom.plans.staging import staged
@@ -20,6 +27,8 @@ POINT = (
     "commit_date string, commit_subject string, dense array<float>, sparse struct<indices:array<int>,values:array<double>>, bucket int"
 )
 
+MARK = "filepath string, point_id string, v int"
+
 
 def points(chunks: DataFrame, root: str | None = None, buckets: int = 16) -> DataFrame:
     """Chunks as points, without vectors: ids, language, test flag, path segments, nullable commit columns. `type` is always code; the chunk's own is chunk_type."""
@@ -63,7 +72,7 @@ class Collection:
                 raise ValueError(f"the collection's vectors have {have.dim} dimensions, not {dim}")
             return self
         self.spark.createDataFrame([(dim, vocabulary, buckets)], "dim int, vocabulary int, buckets int").coalesce(1).write.parquet(f"{self.folder}/meta")
-        self._switch(0, {})
+        self._commit({"version": 0, "data": [], "dropped": []})
         return self
 
     def meta(self):
@@ -72,48 +81,120 @@ class Collection:
             raise FileNotFoundError(f"no collection in {self.folder}")
         return found.first()
 
-    def _state(self) -> tuple[int, dict[int, int]]:
-        """The current version, and for each bucket the version that holds it."""
-        log = self._read("log")
-        last = log.orderBy(F.desc("version")).first()
-        return last.version, dict(last.buckets or {})
+    # ------------------------------------------------------------ the log
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._path(folder)
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _state(self) -> dict:
+        """The last entry of the log: version, and the folders of points and marks that it needs."""
+        last = max(n for n in self._names("log") if n.endswith(".json"))
+        fs, path = self._path(f"log/{last}")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _commit(self, state: dict) -> None:
+        fs, path = self._path(f"log/{state['version']:012d}.json")
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            raise RuntimeError(f"version {state['version']} has been written by another; read again and repeat") from e
+        out.write(bytearray(json.dumps(state), "utf-8"))
+        out.close()
+
+    @property
+    def version(self) -> int:
+        return self._state()["version"]
 
-    def _switch(self, version: int, buckets: dict[int, int]) -> None:
-        # One small file, renamed into place by Spark's commit: readers take the highest version in the log.
-        self.spark.createDataFrame([(version, buckets)], "version int, buckets map<int,int>").coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
+    # ------------------------------------------------------------ reading and writing
 
     def read(self) -> DataFrame:
         """All points; a filter on bucket reads the bucket's files only."""
-        _, buckets = self._state()
-        paths = [f"{self.folder}/data/v={v}/bucket={b}" for b, v in sorted(buckets.items())]
-        if not paths:
-            return self.spark.createDataFrame([], POINT)
-        return self.spark.read.option("basePath", f"{self.folder}/data").schema(POINT + ", v int").parquet(*paths).drop("v")
+        return self._live(self._state()).drop("a", "v")
+
+    def _live(self, state: dict) -> DataFrame:
+        schema = f"{POINT}, a string, v int"
+        if not state["data"]:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.option("basePath", f"{self.folder}/data").schema(schema).parquet(*[f"{self.folder}/data/a={x}" for x in state["data"]])
+        if not state["dropped"]:
+            return rows
+        # Marks since the last compaction; Spark broadcasts them only while they are few.
+        marks = self.spark.read.schema(MARK).parquet(*[f"{self.folder}/dropped/{x}" for x in state["dropped"]])
+        for key in ("filepath", "point_id"):
+            last = marks.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("v").alias("_v"))
+            rows = rows.join(last, (F.col(key) == F.col("_key")) & (F.col("v") < F.col("_v")), "left_anti")
+        return rows
+
+    def apply(self, new: DataFrame | None = None, gone: DataFrame | None = None, mode: str = "replace") -> int:
+        """One version with new points, and without the points of the files gone(filepath); returns its number.
+
+        replace drops all old points of the files written, also those that a shorter file no longer has; compat only
+        those with the ids written. Where nothing changes there is no new version.
+        """
+        state, attempt = self._state(), uuid.uuid4().hex
+        version, marks, data = state["version"] + 1, [], list(state["data"])
+        if new is not None:
+            new = staged(new.select(*_fields()), "upsert")
+            if not new.isEmpty():
+                spread = F.pmod(F.xxhash64("filepath"), F.lit(4))  # a bucket's points in a few files, not in one from each task
+                new.withColumn("a", F.lit(attempt)).withColumn("v", F.lit(version)).repartition(F.col("bucket"), spread).write.partitionBy("a", "v", "bucket").mode("append").parquet(f"{self.folder}/data")
+                data.append(attempt)
+                marks.append(new.select("filepath", F.lit(None).cast("string").alias("point_id")) if mode == "replace" else new.select(F.lit(None).cast("string").alias("filepath"), "point_id"))
+        if gone is not None:
+            marks.append(gone.select("filepath", F.lit(None).cast("string").alias("point_id")))
+        if not marks:
+            return state["version"]
+        dropped = list(state["dropped"])
+        if state["data"]:
+            mark = staged(reduce(DataFrame.unionByName, marks).distinct().withColumn("v", F.lit(version)), "marks")
+            if mark.isEmpty() and data == state["data"]:
+                return state["version"]
+            mark.coalesce(8).write.parquet(f"{self.folder}/dropped/{attempt}")
+            dropped.append(attempt)
+        elif data == state["data"]:
+            return state["version"]
+        self._commit({"version": version, "data": data, "dropped": dropped})
+        return version
 
     def upsert(self, new: DataFrame, mode: str = "replace") -> int:
-        """Write points by id. replace drops all old points of the files written, also those that a shorter file no longer has; compat keeps them."""
-        key = {"replace": "filepath", "compat": "point_id"}[mode]
-        new = staged(new.select(*[f.split(" ")[0] for f in _fields()]), "upsert")
-        return self._rewrite(new.select("bucket").distinct(), lambda old: old.join(new.select(key).distinct(), key, "left_anti").unionByName(new))
+        """Write points by id; see apply()."""
+        return self.apply(new, mode=mode)
 
     def delete_files(self, paths: DataFrame) -> int:
         """Drop the points of files that are gone."""
-        gone = paths.select("filepath").distinct().withColumn("bucket", bucket_of(F.col("filepath"), self.meta().buckets))
-        return self._rewrite(gone.select("bucket").distinct(), lambda old: old.join(gone, ["filepath", "bucket"], "left_anti"))
-
-    def _rewrite(self, touched: DataFrame, change) -> int:
-        version, buckets = self._state()
-        numbers = sorted(r.bucket for r in touched.collect())  # as many as the collection has buckets, at most
-        if not numbers:
-            return version
-        old = self.read().filter(F.col("bucket").isin(numbers))
-        out = staged(change(old), "rewrite")
-        there = {r.bucket for r in out.select("bucket").distinct().collect()}
-        if there:
-            out.repartition(F.col("bucket"), F.pmod(F.xxhash64("point_id"), F.lit(4))).write.partitionBy("bucket").parquet(f"{self.folder}/data/v={version + 1}")
-        kept = {b: v for b, v in buckets.items() if b not in numbers} | {b: version + 1 for b in numbers if b in there}
-        self._switch(version + 1, kept)
-        return version + 1
+        return self.apply(gone=paths.select("filepath"))
+
+    def compact(self) -> int:
+        """Write the live points anew in one folder, without marks. Readers of older versions aren't disturbed."""
+        state, attempt = self._state(), uuid.uuid4().hex
+        if len(state["data"]) < 2 and not state["dropped"]:
+            return state["version"]
+        version = state["version"] + 1
+        rows = self._live(state).withColumn("a", F.lit(attempt)).withColumn("v", F.lit(version))
+        rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("filepath"), F.lit(4))).write.partitionBy("a", "v", "bucket").mode("append").parquet(f"{self.folder}/data")
+        there = f"a={attempt}" in self._names("data")
+        self._commit({"version": version, "data": [attempt] if there else [], "dropped": []})
+        return version
+
+    def vacuum(self) -> int:
+        """Delete folders and log entries that the last version doesn't need, those of broken writes too; not while others read or write."""
+        state, removed = self._state(), 0
+        wanted = {"data": {f"a={x}" for x in state["data"]}, "dropped": set(state["dropped"]), "log": {f"{state['version']:012d}.json"}}
+        for folder, keep in wanted.items():
+            for name in self._names(folder):
+                if name not in keep and not name.startswith(("_", ".")):
+                    fs, path = self._path(f"{folder}/{name}")
+                    removed += fs.delete(path, True)
+        return removed
 
     def count(self) -> int:
         """Points, 0 for no collection."""
@@ -138,18 +219,13 @@ class Collection:
 
     def drop(self) -> None:
         """Remove the collection's folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._path("")
+        fs.delete(path, True)
 
 
 def _fields() -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(POINT):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(POINT[start:i].strip())
-            start = i + 1
-    return [*out, POINT[start:].strip()]
+    """The names of POINT's columns."""
+    return StructType.fromDDL(POINT).names
 
 
 def stale_points(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -26,8 +26,11 @@ _OPENERS = {
         (r"type\s+(\w+)\s*(?:<[^=]*>)?\s*=", "type_alias_declaration"), (r"enum\s+(\w+)", "enum_declaration"), (r"var\s()", "variable_declaration"),
     ],
     "hcl": [(r"([A-Za-z_]\w*)(?:\s+\"[^\"]*\"|\s+\w+)*\s*\{", "block")],
-    "yaml": [],
 }
+_METHOD = re.compile(r"\s+(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set)\s+)*\*?([#\w$]+)\s*(?:<[^>(]*>)?\([^;]*\)\s*(?::[^=;]+)?\{\s*(?:.*\})?\s*$")
+_NOT_METHODS = {"if", "for", "while", "switch", "catch", "function", "return", "with", "super", "await"}
+_ARROW = re.compile(r"(?:(?<==)|(?<=[(,?])|(?<=return)|(?<=>)|^)\s*(?:async\s+)?(?:\([^()]*\)(?:\s*:\s*[\w<>\[\]|. ]+)?|([A-Za-z_$][\w$]*))\s*=>")
+_KEY = re.compile(r"(\s*(?:- +)*)(?:\"[^\"]*\"|'[^']*'|[^\s#'\"\[\]{},&*!|>%@`-][^#]*?|-[^\s#:][^#]*?)\s*:(?:\s|$)")
 _IMPORTS = {"go": r"import\b", "typescript": r"import\b"}
 
 
@@ -41,25 +44,55 @@ def _python(text: str) -> list[Definition]:
     return sorted(((kinds[type(n)], n.name, n.lineno, n.end_lineno, id(n) in top) for n in ast.walk(tree) if type(n) in kinds), key=lambda d: d[2])
 
 
+def _closing(lines: list[str], i: int, start: int = 0, needs_brace: bool = False) -> int:
+    """The line on which what opens on line i, from character start on, is closed again."""
+    depth, seen = 0, False
+    for j in range(i, len(lines)):
+        part = lines[j][start:] if j == i else lines[j]
+        depth += part.count("{") - part.count("}")
+        seen = seen or "{" in part
+        if depth <= 0 and (seen or not needs_brace or part.rstrip().endswith(";")):
+            return j
+    return len(lines) - 1
+
+
 def _braces(text: str, language: str) -> list[Definition]:
     lines, found = text.split("\n"), []
     for i, line in enumerate(lines):
         for pattern, kind in _OPENERS[language]:
             if m := re.match(rf"\s*(?:{pattern})", line):
-                depth, end, seen = 0, i, False
-                for j in range(i, len(lines)):
-                    depth += lines[j].count("{") - lines[j].count("}")
-                    seen = seen or "{" in lines[j]
-                    end = j
-                    if depth <= 0 and (seen or lines[j].rstrip().endswith(";") or "(" not in line):
-                        break
                 # In HCL, blocks stand below a body node, so none is at the top.
-                found.append((kind, m[1] or None, i + 1, end + 1, not line[:1].isspace() and language != "hcl"))
+                found.append((kind, m[1] or None, i + 1, _closing(lines, i, needs_brace="(" in line) + 1, not line[:1].isspace() and language != "hcl"))
                 break
+        else:
+            if language == "typescript" and (m := _METHOD.match(line)) and m[1] not in _NOT_METHODS:
+                found.append(("method_definition", None, i + 1, _closing(lines, i, needs_brace=True) + 1, False))
+        if language == "typescript":
+            # A function without parentheses is known by its parameter.
+            found += [("arrow_function", m[1], i + 1, _closing(lines, i, m.start()) + 1, False) for m in _ARROW.finditer(line)]
+    return found
+
+
+def _mappings(text: str) -> list[Definition]:
+    """The keys of YAML's block mappings, each with what is indented below it; none stands at the top of the syntax tree."""
+    lines = text.split("\n")
+    depth = [len(x) - len(x.lstrip(" ")) if x.strip() and not x.lstrip().startswith("#") else None for x in lines]
+    found = []
+    for i, line in enumerate(lines):
+        if depth[i] is None or not (m := _KEY.match(line)):
+            continue
+        end = i
+        for j in range(i + 1, len(lines)):
+            if depth[j] is not None:
+                # A list may stand as deep as its key.
+                if depth[j] < m.end(1) or depth[j] == m.end(1) and not (lines[j].lstrip().startswith("- ") and m.end(1) == depth[i]):
+                    break
+                end = j
+        found.append(("block_mapping_pair", None, i + 1, end + 1, False))
     return found
 
 
-SCANNERS: dict[str, Callable[[str], list[Definition]]] = {"python": _python} | {x: (lambda t, x=x: _braces(t, x)) for x in _OPENERS}
+SCANNERS: dict[str, Callable[[str], list[Definition]]] = {"python": _python, "yaml": _mappings} | {x: (lambda t, x=x: _braces(t, x)) for x in _OPENERS}
 
 
 def register_scanner(language: str, scan: Callable[[str], list[Definition]]) -> None:

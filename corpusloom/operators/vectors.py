@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,14 +75,13 @@ class HashingEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        import re
-        import zlib
-
-        out = np.zeros((len(texts), self.dim), np.float64)
+        out, places = np.zeros((len(texts), self.dim), np.float64), {}
         for i, text in enumerate(texts):
             for token in re.findall(r"\w+", text.lower()):
-                h = zlib.crc32(token.encode("utf-8", "surrogatepass"))
-                out[i, h % self.dim] += 1 - 2 * (h >> 31)
+                if token not in places:
+                    h = int.from_bytes(hashlib.md5(token.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+                    places[token] = h % self.dim, 1 - 2 * (h >> 31)
+                out[i, places[token][0]] += places[token][1]
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
@@ -102,15 +103,36 @@ def with_retries(call: Callable[[], np.ndarray], attempts: int = 5, first_wait:
     raise RuntimeError("no attempt was allowed")
 
 
-def embed(rows: DataFrame, provider, text: str = "content", batch: int = 100, column: str = "dense") -> DataFrame:
-    """rows with embeddings of a text column, by sub-batches of the provider's requests; a task that fails is run again by Spark."""
+def embed(rows: DataFrame, provider, text: str = "content", batch: int = 100, column: str = "dense", keep_going: bool = False) -> DataFrame:
+    """rows with embeddings of a text column, by sub-batches of the provider's requests; a task that fails is run again by Spark.
+
+    keep_going: where a sub-batch has failed for good, its texts are tried one by one, and those that fail get null.
+    Refused credentials end the task all the same.
+    """
+
+    def request(texts: list[str]) -> list:
+        try:
+            return list(np.asarray(with_retries(lambda: provider.embed(texts)), np.float32))
+        except PermissionError:
+            raise
+        except Exception:
+            if not keep_going:
+                raise
+        out = []
+        for t in texts:
+            try:
+                out.append(np.asarray(provider.embed([t])[0], np.float32))
+            except PermissionError:
+                raise
+            except Exception:
+                out.append(None)
+        return out
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = [t if t is not None else "" for t in texts]
-            parts = [with_retries(lambda a=a, v=values: provider.embed(v[a : a + batch])) for a in range(0, len(values), batch)]
-            yield pd.Series([v for p in parts for v in np.asarray(p, np.float32)])
+            yield pd.Series([v for a in range(0, len(values), batch) for v in request(values[a : a + batch])], dtype=object)
 
     return rows.withColumn(column, run(F.col(text)))
 

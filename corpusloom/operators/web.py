@@ -91,8 +91,8 @@ def _site(url: Column) -> Column:
 def crawl(seed: str, pages: DataFrame, *, max_pages: int = 50, max_depth: int = 3, stay_in_path: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """url, depth of the pages that a breadth-first crawl from seed reaches in a table of pages(url, html).
 
-    Only the seed's site; patterns of `include` (and the seed's path) are alternatives; `exclude` is ignored from
-    1000 URLs on. A level is a join of the frontier with links; max_pages bounds the whole crawl, first by depth, then by URL.
+    Only the seed's site; patterns of `include` (and the seed's path) are alternatives; URLs that match a pattern of
+    `exclude`, however many there are, are left out. A level is a join of the frontier with links; max_pages bounds the whole crawl, first by depth, then by URL.
     """
     spark = pages.sparkSession
     patterns = [*([f"*{seed.rstrip('/')}*"] if stay_in_path else []), *(include or [])]
@@ -101,9 +101,8 @@ def crawl(seed: str, pages: DataFrame, *, max_pages: int = 50, max_depth: int =
         wanted = F.lit(False)
         for p in patterns:
             wanted = wanted | F.col("url").rlike("(?s)^" + fnmatch.translate(p)[4:-3].replace("(?s:", "(?:") + "$")
-    if exclude and len(exclude) < 1000:
-        for p in exclude:
-            wanted = wanted & ~F.col("url").rlike("(?s)^" + fnmatch.translate(p)[4:-3] + "$")
+    if exclude:
+        wanted = wanted & ~F.col("url").rlike("(?s)^(?:" + "|".join(fnmatch.translate(p)[4:-3] for p in exclude) + ")$")
     edges = links(pages)
     seen = spark.createDataFrame([(seed, 0)], "url string, depth int").join(pages.select("url").distinct(), "url", "left_semi")
     frontier, seen = seen, staged(seen, "crawl")

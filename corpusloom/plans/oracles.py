@@ -1,4 +1,4 @@
-"""The registered queries as DuckDB SQL, written independently of the operators. Queries that parse syntax or call an embedder have none."""
+"""The registered queries as DuckDB SQL, written independently of the operators. Only the HTML converter has none."""
 
 from __future__ import annotations
 
@@ -97,7 +97,62 @@ fl AS (SELECT doc_id, doc_id::VARCHAR AS path, 1000000 + doc_id * 60 AS mtime, s
 ASKED_URL = "url || CASE WHEN page_id % 4 = 0 THEN '?q=' || page_id WHEN page_id % 4 = 1 THEN '/' ELSE '' END"
 URL = r"'^([A-Za-z][A-Za-z0-9+.-]*:)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?'"
 
+# Documents as source files: per language the first line, and text, lines, kind and symbols of the three kinds of blocks.
+BLOCKS = {
+    0: ("import os", [("def f%k(a):" + chr(10) + "    return '%s'", 2, "function_definition", "f%k"), ("class C%k:" + chr(10) + "    def m%k(self):" + chr(10) + "        return '%s'", 3, "class_definition", "C%k"), ("x%k = '%s'", 1, "general", "")]),
+    1: ('import "fmt"', [("func F%k(a int) string {" + chr(10) + chr(9) + 'return "%s"' + chr(10) + "}", 3, "function_declaration", "F%k"), ("type T%k struct {" + chr(10) + chr(9) + "A string // %s" + chr(10) + "}", 3, "type_declaration", ""), ("// %s", 1, "general", "")]),
+    2: ("import x from 'y'", [("function f%k(a) {" + chr(10) + "  return '%s';" + chr(10) + "}", 3, "function_declaration", "f%k"), ("class C%k {" + chr(10) + "  m%k(a) {" + chr(10) + "    return '%s';" + chr(10) + "  }" + chr(10) + "}", 5, "class_declaration", "C%k"), ("// %s", 1, "general", "")]),
+    3: ("kind: x", [("f%k: 1 # %s", 1, "general", ""), ("c%k:" + chr(10) + "  m%k: 2 # %s", 2, "general", ""), ("# %s", 1, "general", "")]),
+}
+
+
+def _case(pick) -> str:
+    """A CASE over language and kind of block; kind 0 is the first line."""
+    arms = []
+    for language, (first, kinds) in BLOCKS.items():
+        for kind, block in enumerate([(first, 1, "general", ""), *kinds]):
+            value = pick(block)
+            arms.append(f"WHEN lang = {language} AND kind = {kind} THEN " + (str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"))
+    return f"CASE {' '.join(arms)} END"
+
+
+def _filled(text: str) -> str:
+    return f"replace(replace({text}, '%k', k::VARCHAR), '%s', coalesce(line, ''))"
+
+
+CODE = f"""code_lines AS (SELECT doc_id, doc_id % 4 AS lang, list_transform(string_split(coalesce(text, ''), {NL}), lambda x: regexp_replace(x, '[^A-Za-z0-9 ]', '_', 'g')) AS ls FROM documents),
+numbered AS (SELECT doc_id, lang, unnest(range(len(ls) + 1)) AS k, ls FROM code_lines),
+kinds AS (SELECT doc_id, lang, k, CASE WHEN k = 0 THEN 0 ELSE (k - 1) % 3 + 1 END AS kind, CASE WHEN k > 0 THEN ls[k] END AS line FROM numbered),
+filled AS (SELECT doc_id, lang, k, kind, {_case(lambda b: b[1])} AS n, {_filled(_case(lambda b: b[0]))} AS block, {_case(lambda b: b[2])} AS type, {_filled(_case(lambda b: b[3]))} AS symbol FROM kinds),
+code AS (SELECT *, (coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1)::INT AS first FROM filled),
+code_text AS (SELECT doc_id AS key, string_agg(block, {NL} ORDER BY k) AS content, any_value(lang) AS lang, count(*) - 1 AS blocks FROM code GROUP BY doc_id)"""
+STRIP = r"""regexp_replace(regexp_replace({0}, '[A-Za-z0-9+/]{{100,}}=*', '[BASE64_DATA_STRIPPED]', 'g'), '"[^"]{{500,}}"|''[^'']{{500,}}''', '[LONG_STRING_STRIPPED]', 'g')"""
+
 ORACLES: dict[str, str] = {
+    # YAML has no definitions at the top, so such a file is one stretch, in windows.
+    "chunk_definitions": f"""WITH {CODE}, yaml AS (SELECT key, content FROM code_text WHERE lang = 3), {by_lines('yaml')}, n AS (SELECT key, max(line_end) AS n_lines FROM chunks GROUP BY key)
+        SELECT doc_id, k::INT AS chunk_index, first AS line_start, (first + n - 1)::INT AS line_end, type, symbol AS symbols, md5(CASE WHEN type = 'general' THEN block ELSE {STRIP.format('block')} END) AS content_md5 FROM code WHERE lang < 3
+        UNION ALL SELECT key, chunk_index, line_start, line_end, 'general', '', md5(content) FROM chunks JOIN n USING (key) WHERE chunk_index = 0 OR n_lines > 50""",
+    "chunk_hybrid": f"""WITH {CODE}, {by_lines('code_text')},
+        marks AS (SELECT doc_id AS key, first AS spot, symbol AS name, split_part(type, '_', 1) AS short FROM code WHERE symbol <> '' UNION ALL SELECT doc_id, first + 1, 'm' || k, 'function' FROM code WHERE lang = 0 AND kind = 2),
+        named AS (SELECT c.key, c.chunk_index, string_agg(m.name, ',' ORDER BY spot) AS symbols, string_agg(short || ':' || m.name, ', ' ORDER BY spot) AS hints FROM chunks c JOIN marks m ON c.key = m.key AND spot BETWEEN c.line_start AND c.line_end GROUP BY 1, 2)
+        SELECT c.key AS doc_id, c.chunk_index, c.line_start, c.line_end, coalesce(n.symbols, '') AS symbols, md5(c.content || CASE WHEN n.hints IS NULL THEN '' ELSE {NL} || {NL} || '/* Symbols: ' || n.hints || ' */' END) AS content_md5
+        FROM chunks c LEFT JOIN named n ON c.key = n.key AND c.chunk_index = n.chunk_index""",
+    # Nodes: those of Python's parser (a module; an import with a name; five in a function with an argument and a constant, six in a class around one, four in an assignment), words and marks elsewhere.
+    "complexity": rf"""WITH {CODE}, per AS (SELECT doc_id, lang, blocks, content, (SELECT count(*) FILTER (kind = 1) * 5 + count(*) FILTER (kind = 2) * 6 + count(*) FILTER (kind = 3) * 4 FROM code c WHERE c.doc_id = t.key) AS inner_nodes,
+          (SELECT count(*) FILTER (kind = 1) FROM code c WHERE c.doc_id = t.key) AS a, (SELECT count(*) FILTER (kind = 2) FROM code c WHERE c.doc_id = t.key) AS b, (SELECT sum(n) FROM code c WHERE c.doc_id = t.key) AS lines
+          FROM (SELECT key AS doc_id, * FROM code_text) t),
+        counts AS (SELECT doc_id || ['.py', '.go', '.ts', '.yaml'][lang + 1] AS filepath, ['python', 'go', 'typescript', 'yaml'][lang + 1] AS language, lines::INT AS line_count,
+          CASE lang WHEN 0 THEN CASE WHEN b > 0 THEN 4 ELSE 3 END WHEN 1 THEN 2 WHEN 2 THEN CASE WHEN b > 0 THEN 3 ELSE 2 END ELSE CASE WHEN b > 0 THEN 2 ELSE 1 END END AS max_depth,
+          CASE lang WHEN 0 THEN 3 + inner_nodes ELSE 1 + len(regexp_extract_all(content, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')) END::INT AS node_count,
+          CASE lang WHEN 3 THEN 1 + a + 2 * b WHEN 1 THEN a + b ELSE a + 2 * b END::INT AS def_count, CASE lang WHEN 3 THEN 0 ELSE 1 END AS import_count FROM per),
+        scored AS (SELECT *, round(0.4::DOUBLE * max_depth + 0.01::DOUBLE * node_count + 0.5::DOUBLE * def_count + 0.2::DOUBLE * import_count, 2) AS complexity_score FROM counts)
+        SELECT *, NULL::VARCHAR AS error, CASE WHEN complexity_score > 50 THEN 'Escalate to Flagship' END AS triage FROM scored""",
+    "embed_chunks": rf"""WITH {KEYED}, {by_lines('keyed')}, toks AS (SELECT key, chunk_index, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+')) AS t FROM chunks),
+        hashed AS (SELECT key, chunk_index, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM toks), sums AS (SELECT key, chunk_index, h % 32 AS d, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS c FROM hashed GROUP BY ALL),
+        cells AS (SELECT key, chunk_index, d, coalesce(c, 0) AS c, coalesce(min(CASE WHEN c <> 0 THEN abs(c) END) OVER (PARTITION BY key, chunk_index), 1) AS least
+          FROM (SELECT key, chunk_index, unnest(range(32)) AS d FROM chunks) LEFT JOIN sums USING (key, chunk_index, d))
+        SELECT key AS doc_id, chunk_index, md5(string_agg(round(c::DOUBLE / least, 2)::DECIMAL(12,2)::VARCHAR, ',' ORDER BY d)) AS vector_md5 FROM cells GROUP BY 1, 2""",
     "chunk_by_lines": f"WITH {KEYED}, {by_lines('keyed')} {LINE_CHUNKS}",
     "chunk_by_size": f"WITH {BY_SIZE} SELECT doc_id, chunk_index, line_start, (line_start + length(piece) - length(replace(piece, {NL}, '')))::INT AS line_end, md5(piece) AS content_md5 FROM pieces",
     "chunk_counts": f"SELECT source, sum(ceil(n / 45.0))::BIGINT AS n_chunks, count(*) FILTER (n > 0) AS n_files FROM (SELECT source, len({split('text')}) AS n FROM documents) GROUP BY source HAVING sum(n) > 0",

@@ -76,15 +76,44 @@ def chunk_routed(spark, sf_dir):
     return _chunk_columns(chunking.chunk(files(spark, sf_dir), "by_lines"))
 
 
+#: Per language: suffix, first line, and what every first, second and third line of a text becomes (%k its number, %s the line).
+CODE = (
+    (".py", "import os", "def f%k(a):\n    return '%s'", "class C%k:\n    def m%k(self):\n        return '%s'", "x%k = '%s'"),
+    (".go", 'import "fmt"', 'func F%k(a int) string {\n\treturn "%s"\n}', "type T%k struct {\n\tA string // %s\n}", "// %s"),
+    (".ts", "import x from 'y'", "function f%k(a) {\n  return '%s';\n}", "class C%k {\n  m%k(a) {\n    return '%s';\n  }\n}", "// %s"),
+    (".yaml", "kind: x", "f%k: 1 # %s", "c%k:\n  m%k: 2 # %s", "# %s"),
+)
+
+
+def code_files(spark, sf_dir) -> DataFrame:
+    """Documents as source files in four languages: each line becomes a definition, a nested one or a plain statement that holds it."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, "[^A-Za-z0-9 ]", "_"))
+
+    def code(first, *kinds):
+        block = lambda x, i: F.element_at(F.array(*map(F.lit, kinds)), i % 3 + 1)
+        made = F.transform(lines, lambda x, i: F.replace(F.replace(block(x, i), F.lit("%k"), (i + 1).cast("string")), F.lit("%s"), x))
+        return F.array_join(F.concat(F.array(F.lit(first)), made), "\n")
+
+    which = F.col("doc_id") % len(CODE)
+    content = F.when(which == 0, code(*CODE[0][1:]))
+    for i, (_, *parts) in enumerate(CODE[1:], 1):
+        content = content.when(which == i, code(*parts))
+    suffix = F.element_at(F.array(*[F.lit(c[0]) for c in CODE]), which.cast("int") + 1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), suffix).alias("filepath"), content.alias("content"))
+
+
 @query
 def chunk_definitions(spark, sf_dir):
-    """Chunks by definition of documents wrapped as Python: text cannot be parsed, so it is one general stretch in windows."""
-    return _chunk_columns(chunking.by_definition(files(spark, sf_dir)))
+    """Chunks by definition of documents as source files."""
+    chunks = chunking.by_definition(code_files(spark, sf_dir))
+    return chunks.select("doc_id", "chunk_index", "line_start", "line_end", "type", F.array_join("symbols", ",").alias("symbols"), F.md5("content").alias("content_md5"))
 
 
 @query
 def chunk_hybrid(spark, sf_dir):
-    return _chunk_columns(chunking.hybrid(files(spark, sf_dir)))
+    """Windows of lines of documents as source files, with the symbols defined in them."""
+    chunks = chunking.hybrid(code_files(spark, sf_dir))
+    return chunks.select("doc_id", "chunk_index", "line_start", "line_end", F.array_join("symbols", ",").alias("symbols"), F.md5("content").alias("content_md5"))
 
 
 @query
@@ -353,7 +382,8 @@ def complexity_score(spark, sf_dir):
 
 @query
 def complexity(spark, sf_dir):
-    return syntax.complexity(files(spark, sf_dir)).drop("triage")
+    """Counts and scores of documents as source files."""
+    return syntax.complexity(code_files(spark, sf_dir))
 
 
 @query
@@ -390,10 +420,12 @@ def stripped_lengths(spark, sf_dir):
 
 @query
 def embed_chunks(spark, sf_dir):
-    """Chunks of documents embedded with the default provider: lengths of the vectors."""
+    """Chunks of documents embedded with the default provider: a hash of each vector, in units of its smallest component."""
     rows = vectors.embed(chunking.by_lines(files(spark, sf_dir)), vectors.HashingEmbedder(32))
-    norm = F.sqrt(F.aggregate("dense", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return rows.select("doc_id", "chunk_index", F.round(norm, 4).alias("norm"))
+    least = F.array_min(F.filter(F.transform("dense", lambda x: F.abs(x)), lambda x: x > 0))
+    rows = rows.withColumn("least", F.coalesce(least, F.lit(1.0)))
+    shares = F.transform("dense", lambda x: F.round(x / F.col("least"), 2).cast("decimal(12,2)").cast("string"))
+    return rows.select("doc_id", "chunk_index", F.md5(F.array_join(shares, ",")).alias("vector_md5"))
 
 
 @query

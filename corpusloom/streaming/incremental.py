@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.operators import state as states
 from corpusloom.operators.collection import Collection
 from corpusloom.plans.indexing import index_changes
+from corpusloom.sources import versions
 from corpusloom.sources.codefs import register
 
 
 class StateTable:
-    """file_state kept beside a collection, a folder per version; the highest complete one counts."""
+    """file_state kept beside a collection, a folder per write; the one that its log names last counts."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -20,26 +24,47 @@ class StateTable:
         from pyspark.errors import AnalysisException
 
         try:
-            last = self.spark.read.parquet(f"{self.folder}/log").agg({"version": "max"}).first()[0]
+            log = self.spark.read.parquet(f"{self.folder}/log")
         except AnalysisException:
             return states.empty(self.spark)
-        return self.spark.read.schema(states.SCHEMA).parquet(f"{self.folder}/v={last}")
+        last = log.orderBy(F.desc("written")).first()
+        return self.spark.read.schema(states.SCHEMA).parquet(f"{self.folder}/{last.name}")
+
+    def write(self, state: DataFrame) -> None:
+        """What counts from now on; a batch that runs again writes the same once more."""
+        name = f"state-{uuid.uuid4().hex}"
+        state.select(*[f.name for f in states.empty(self.spark).schema]).write.parquet(f"{self.folder}/{name}")
+        self.spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("written")).write.mode("append").parquet(f"{self.folder}/log")
+
+
+def _history(spark: SparkSession, root: str, git: bool, only_tracked: bool) -> dict:
+    return {"log": versions.commit_log(spark, root) if git else None, "tracked": versions.tracked_files(spark, root) if only_tracked else None}
 
-    def write(self, state: DataFrame, version: int) -> None:
-        """Idempotent by version: a batch that runs again writes the same folder again."""
-        state.select(*[f.name for f in states.empty(self.spark).schema]).write.mode("overwrite").parquet(f"{self.folder}/v={version}")
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
 
+def index_stream(spark: SparkSession, root: str, collection: Collection, state: StateTable, provider, checkpoint: str, *, watch: bool = False, strategy: str = "ast", seconds: int = 5, git: bool = False, only_tracked: bool = False, compact_every: int = 100, **window: int):
+    """A streaming query that indexes root; without `watch` it ends when all files have been seen. stop() ends it.
 
-def index_stream(spark: SparkSession, root: str, collection: Collection, state: StateTable, provider, checkpoint: str, *, watch: bool = False, strategy: str = "ast", seconds: int = 5, **window: int):
-    """A streaming query that indexes root; without `watch` it ends when all files have been seen. stop() ends it."""
+    git fills the commit columns; only_tracked leaves out files that version control doesn't know. The collection is
+    compacted after every compact_every batches.
+    """
     register(spark)
     changes = spark.readStream.format("codefs").option("path", root).load()
 
     def batch(rows: DataFrame, number: int) -> None:
-        old = state.read()
-        state.write(index_changes(rows.persist(), collection, old, provider, root=root, strategy=strategy, **window), number)
+        old, rows = state.read(), rows.persist()
+        state.write(index_changes(rows, collection, old, provider, root=root, strategy=strategy, **_history(spark, root, git, only_tracked), **window))
         rows.unpersist()
+        if number % compact_every == compact_every - 1:
+            collection.compact()
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if watch else writer.trigger(availableNow=True)).start()
+
+
+def index_due(spark: SparkSession, root: str, collection: Collection, state: StateTable, provider, *, strategy: str = "ast", git: bool = False, only_tracked: bool = False, **window: int) -> None:
+    """Try files again that could not be embedded and have waited long enough; a stream sees a file only when it changes."""
+    register(spark)
+    old = state.read()
+    due = old.filter("embed_retries > 0 AND NOT coalesce(failed, false)").select("path")
+    files = spark.read.format("codefs").option("path", root).load().join(due, "path", "left_semi")
+    state.write(index_changes(files, collection, old, provider, root=root, strategy=strategy, **_history(spark, root, git, only_tracked), **window))

@@ -12,7 +12,7 @@ from corpusloom.operators import chunking, rag, retrieval, state, syntax, vector
 from corpusloom.operators.collection import Collection, stale_points
 from corpusloom.plans.indexing import index_changes, to_points
 from corpusloom.sources import codefs, readers, versions
-from corpusloom.streaming.incremental import StateTable, index_stream
+from corpusloom.streaming.incremental import StateTable, index_due, index_stream
 
 PYTHON = "import os\nfrom sys import path\n\ndef first(a):\n    return a\n\n@deco\ndef second():\n    def inner():\n        pass\n\nclass Third:\n    def method(self):\n        pass\n"
 
@@ -76,10 +76,16 @@ def test_other_languages():
     go = "package a\n\nimport \"x\"\n\nfunc F(a int) int {\n\treturn a\n}\n\nfunc (s S) M() {\n}\n\ntype T struct {\n\tA int\n}\n"
     assert [d[:4] for d in syntax.definitions("a.go", go)] == [("function_declaration", "F", 5, 7), ("method_declaration", "M", 9, 10), ("type_declaration", None, 12, 14)]
     ts = "import x from 'y'\nclass A {\n  m() {}\n}\ninterface I { a: string }\nfunction f() {\n}\nenum E { X }\n"
-    assert [d[1] for d in syntax.definitions("a.ts", ts)] == ["A", "I", "f", "E"]
+    assert [d[1] for d in syntax.definitions("a.ts", ts)] == ["A", None, "I", "f", "E"]
+    ts = "class A {\n  private async go(a: number): Promise<void> {\n    if (a) {\n      return;\n    }\n  }\n}\ninterface I { cb: (a: string) => void }\nconst g = (a, b) => {\n  return xs.map(x => x + 1);\n};\n"
+    assert [d[:4] for d in syntax.definitions("b.ts", ts)] == [
+        ("class_declaration", "A", 1, 7), ("method_definition", None, 2, 6), ("interface_declaration", "I", 8, 8), ("arrow_function", None, 9, 11), ("arrow_function", "x", 10, 10),
+    ]
+    y = "apiVersion: v1\nmetadata:\n  name: my-config\n  # c: d\nlist:\n- a: 1\n  b: 2\n- c\nurl: http://x.y\nend: |\n  text\n"
+    assert [d[2:] for d in syntax.definitions("x.yaml", y)] == [(a, b, False) for a, b in [(1, 1), (2, 3), (3, 3), (5, 8), (6, 6), (7, 7), (9, 9), (10, 11)]]
     tf = 'resource "a" "b" {\n  nested {\n  }\n}\n'
     assert [(d[0], d[1], d[4]) for d in syntax.definitions("m.tf", tf)] == [("block", "resource", False), ("block", "nested", False)]
-    assert syntax.definitions("x.yaml", "a: 1") == [] and syntax.definitions("x.txt", "a") is None
+    assert syntax.definitions("x.txt", "a") is None
 
 
 def test_complexity(spark):
@@ -126,6 +132,76 @@ def test_collection_versions(spark, tmp_path):
     assert not c.exists()
 
 
+def test_a_broken_write_stands_in_nobodys_way(spark, tmp_path, monkeypatch):
+    c = Collection(spark, str(tmp_path / "c")).create(8, buckets=4)
+    make = lambda rows: to_points(files(spark, rows), vectors.HashingEmbedder(8), strategy="by_lines", buckets=4)
+    c.upsert(make([("a.py", "1"), ("b.py", "2"), ("c.py", "3")]))
+    state = lambda: {(r.filepath, r.content) for r in c.read().collect()}
+    with monkeypatch.context() as m:
+        m.setattr(c, "_commit", lambda s: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            c.upsert(make([("a.py", "9")]))
+    assert c.version == 1 and ("a.py", "1") in state()
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "c").rglob("*.parquet")}
+    assert c.apply(make([("a.py", "9")]), spark.createDataFrame([("b.py",)], "filepath string")) == 2
+    assert state() == {("a.py", "9"), ("c.py", "3")} and all(os.stat(p).st_mtime_ns == t for p, t in before.items())
+    with pytest.raises(RuntimeError):  # another writer has been here
+        c._commit({"version": 2, "data": [], "dropped": []})
+    c.upsert(make([("b.py", "again")]))
+    assert state() == {("a.py", "9"), ("b.py", "again"), ("c.py", "3")}
+    assert c.compact() == 4 and c._state()["dropped"] == [] and len(c._state()["data"]) == 1 and c.vacuum() > 0
+    assert state() == {("a.py", "9"), ("b.py", "again"), ("c.py", "3")} and c.compact() == 4
+    # Stored vectors can be searched as they are.
+    long = vectors.postings_of(c.read(), ["point_id"])
+    assert long.count() == 1 and [r.score for r in retrieval.sparse_topk(c.read(), vectors.sparse_of(spark, "Again"), 5).collect()] == [1.0]
+
+
+def test_a_refused_file_leaves_the_others_indexed(spark, tmp_path):
+    for name, text in (("a.py", "fine"), ("b.py", "poison"), ("c.py", "fine too")):
+        (tmp_path / name).write_text(text)
+
+    class Picky(vectors.HashingEmbedder):
+        def embed(self, texts):
+            if any("poison" in t for t in texts):
+                raise OSError("refused")
+            return super().embed(texts)
+
+    codefs.register(spark)
+    c = Collection(spark, str(tmp_path / "x" / "c")).create(8, buckets=4)
+    scan = spark.read.format("codefs").option("path", str(tmp_path)).load().filter("path NOT LIKE '%/x/c/%'")
+    monkey = vectors.with_retries.__defaults__
+    vectors.with_retries.__defaults__ = (1, 0, 0)
+    try:
+        found = index_changes(scan, c, state.empty(spark), Picky(8), root=str(tmp_path), strategy="by_lines").collect()
+    finally:
+        vectors.with_retries.__defaults__ = monkey
+    rows = {os.path.basename(r.path): (r.embed_retries, r.failed, r.chunk_count) for r in found}
+    assert rows == {"a.py": (None, None, 1), "b.py": (1, None, None), "c.py": (None, None, 1)}
+    assert {os.path.basename(r.filepath) for r in c.read().collect()} == {"a.py", "c.py"}
+
+
+def test_commits_and_tracked_files_in_the_index(spark, tmp_path):
+    import subprocess
+
+    root = tmp_path / "w"
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=N", "-c", "user.email=e@x", "-C", str(root), *a], check=True, capture_output=True)
+    (root / "a.py").write_text("x")
+    (root / "b.py").write_text("y")
+    git("init", "-q")
+    git("add", "a.py")
+    git("commit", "-qm", "first")
+    c, table, provider = Collection(spark, str(tmp_path / "c")).create(8, buckets=2), StateTable(spark, str(tmp_path / "s")), vectors.HashingEmbedder(8)
+    index_stream(spark, str(root), c, table, provider, str(tmp_path / "cp"), strategy="by_lines", git=True, only_tracked=True).awaitTermination(120)
+    assert [(os.path.basename(r.filepath), r.commit_author, r.commit_subject) for r in c.read().collect()] == [("a.py", "N", "first")]
+    # A file that has waited long enough is tried again, though it has not changed.
+    waiting = table.read().withColumn("checksum", F.lit(None).cast("string")).withColumn("last_modified", F.lit(None).cast("timestamp")).withColumn("embed_retries", F.lit(1)).withColumn("last_embed_attempt", F.lit(0.0))
+    table.write(waiting)
+    index_due(spark, str(root), c, table, provider, strategy="by_lines")
+    row = table.read().first()
+    assert (row.embed_retries, row.chunk_count) == (None, 1) and c.count() == 1 and c.version == 2
+
+
 def test_reindex_truth_table(spark):
     t0, t1 = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 2)
     known = [
@@ -241,9 +317,9 @@ def test_unchanged_files_are_left_alone(spark, tmp_path):
     c = Collection(spark, str(tmp_path / "c" / "d")).create(8, buckets=4)
     scan = spark.read.format("codefs").option("path", str(tmp_path)).load().filter("path NOT LIKE '%/c/d/%'")
     first = index_changes(scan, c, state.empty(spark), vectors.HashingEmbedder(8), root=str(tmp_path), strategy="by_size")
-    version = c._state()[0]
+    version = c.version
     second = index_changes(scan, c, first, vectors.HashingEmbedder(8), root=str(tmp_path), strategy="by_size")
-    assert c._state()[0] == version and sorted(map(tuple, first.drop("indexed_at").collect()), key=str) == sorted(map(tuple, second.drop("indexed_at").collect()), key=str)
+    assert c.version == version and sorted(map(tuple, first.drop("indexed_at").collect()), key=str) == sorted(map(tuple, second.drop("indexed_at").collect()), key=str)
 
 
 # ---------------------------------------------------------------- web
