@@ -1,8 +1,9 @@
 """Line dedup: a suffix array over sequences of line ids, by distributed prefix doubling, finds repeated runs of lines.
 
-Round k ranks, in order, the runs of 2^k lines that occur more than once; runs that occur once are settled, and
-no later round looks at them. Two ranks of the last round that fits, one from each end, name a run of any length:
-the places that share them are an interval of the suffix array with a common prefix of that many lines.
+Suffixes begin at the lines that occur more than once; a run that repeats holds no others. Round k ranks them by
+their first 2^k lines: a suffix whose continuation is no such line, or a text's end, is settled and ordered by its place.
+Neighbours in the array share a common prefix, found by the rounds from the last to the first; the suffixes with a
+run of n lines in common are an interval of the array between prefixes shorter than n, and its first place is the copy that stays.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fresh, staged
 
 #: A line's place: document id (smallest long for null), hash of the text, number of the line from 0.
 PLACE = ["d", "t", "pos"]
+#: Suffixes that a task reads the array by.
+BLOCK = 65_536
 
 
 def _reach(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,80 +36,152 @@ def _reach(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(end <= n, end - np.arange(n), 0), np.where(total[1:] >= least, np.arange(n) - start + 1, 0)
 
 
-def line_places(docs: DataFrame, min_words: int) -> DataFrame:
-    """d, t, pos, h1, h2 (128-bit hash of the line), ahead and back (lengths of the shortest runs from and up to the line with min_words words)."""
+def _depths(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, n): the shortest runs from each line on, and up to each line, that hold `least` words, by their first line.
+
+    Of all runs with so many words it is enough to look at these: together they cover every line of every longer
+    repeated run, and no other.
+    """
+    ahead, back = _reach(words, least)
+    at = np.arange(len(words))
+    pairs = np.concatenate([np.stack([at, ahead], 1)[ahead > 0], np.stack([at - back + 1, back], 1)[back > 0]])
+    pairs = np.unique(pairs, axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def line_places(docs: DataFrame, min_words: int) -> DataFrame:
+    """d, t, pos, h1, h2 (128-bit hash of the line), depths (lengths of the runs to look at that begin with the line)."""
+    schema = pa.schema([*((c, pa.int64()) for c in (*PLACE, "h1", "h2")), ("depths", pa.list_(pa.int32()))])
+
+    def one(d: int, t: int, text: str) -> pa.RecordBatch | None:
+        lines = text.split("\n")
+        first, n = _depths(np.fromiter((len(x.split()) for x in lines), np.int64, len(lines)), min_words)
+        if not len(first):
+            return None
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), ">i8").reshape(-1, 2).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(first, minlength=len(lines)))])
+        depths = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(n, pa.int32()))
+        k = len(lines)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, d)), pa.array(np.full(k, t)), pa.array(np.arange(k)), pa.array(h[:, 0]), pa.array(h[:, 1]), depths], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.iloc[a : a + 500]
-                parts: list[tuple] = []
-                for d, t, text in zip(part["d"], part["t"], part["text"], strict=True):
-                    lines = text.split("\n")
-                    ahead, back = _reach(np.fromiter((len(x.split()) for x in lines), np.int64, len(lines)), min_words)
-                    if not ahead.any():
-                        continue
-                    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), ">i8").reshape(-1, 2).astype(np.int64)
-                    parts.append((np.full(len(lines), d), np.full(len(lines), t), np.arange(len(lines)), h[:, 0], h[:, 1], ahead, back))
-                if parts:
-                    yield pd.DataFrame(dict(zip([*PLACE, "h1", "h2", "ahead", "back"], map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+            held, size = [], 0
+            for d, t, text in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), batch.column("text"), strict=True):
+                if (found := one(d, t, text.as_py())) is not None:
+                    held.append(found)
+                    size += found.num_rows
+                if size > 50_000:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     rows = docs.filter(F.col("text").isNotNull()).select(_id(), F.xxhash64("text").alias("t"), "text")
-    return rows.mapInPandas(run, "d long, t long, pos long, h1 long, h2 long, ahead long, back long")
+    return rows.mapInArrow(run, "d long, t long, pos long, h1 long, h2 long, depths array<int>")
 
 
 def _id() -> F.Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d")
 
 
-def _ranked(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """keys and rank, in the order of the keys, of the keys that more than one row has.
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """d, t, pos, id, rank, alone of rows in order of keys, then place: id ascends, rank is the first id with the same keys.
 
-    Ranks are the partition and place of each key in a table sorted by ranges, so no task sees all keys.
+    Rows with a null key are alone, whatever the others hold. The order is that of a sort by ranges, so no task sees all rows, and equal keys may spread over tasks.
     """
-    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return staged(repeated.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), tag)
+    order = staged(rows.repartitionByRange(*keys, *PLACE).sortWithinPartitions(*keys, *PLACE).select(*PLACE, *keys, F.monotonically_increasing_id().alias("id")), "lines-order")
+    groups = staged(order.dropna(subset=keys).groupBy(*keys).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "lines-groups")
+    return staged(order.join(groups, keys, "left").select(*PLACE, "id", F.coalesce("first", "id").alias("rank"), F.col("first").isNull().alias("alone")), "lines-rank")
 
 
-def rank_rounds(places: DataFrame, longest: int) -> list[DataFrame]:
-    """Per round k: d, t, pos, rank of the runs of 2^k lines that occur more than once, for 2^k up to `longest`."""
-    ids = _ranked(places, ["h1", "h2"], "lines-ids")
-    rounds = [staged(places.join(ids, ["h1", "h2"]).select(*PLACE, "rank"), "lines-rank")]
-    while 2 ** len(rounds) <= longest:
+def rank_rounds(lines: DataFrame, depth: int) -> list[DataFrame]:
+    """Of lines(d, t, pos, h1, h2): per round k, d, t, pos, id, rank, alone by the first 2^k lines, until 2^k reaches depth or all are alone."""
+    rounds = [_ranked(lines, ["h1", "h2"])]
+    while 2 ** (len(rounds) - 1) < depth:
         last, step = rounds[-1], 2 ** (len(rounds) - 1)
-        ahead = last.select("d", "t", (F.col("pos") - step).alias("pos"), F.col("rank").alias("rank2"))
-        pairs = staged(last.join(ahead, PLACE), "lines-pairs")
-        names = _ranked(pairs.select(F.col("rank").alias("r1"), F.col("rank2").alias("r2")), ["r1", "r2"], "lines-names")
-        named = pairs.join(names.withColumnsRenamed({"rank": "name"}), (F.col("rank") == F.col("r1")) & (F.col("rank2") == F.col("r2")))
-        rounds.append(staged(named.select(*PLACE, F.col("name").alias("rank")), "lines-rank"))
-        if rounds[-1].isEmpty():
-            rounds.pop()
+        open_ = last.filter("NOT alone")
+        if open_.isEmpty():
             break
+        ahead = last.select("d", "t", (F.col("pos") - step).alias("pos"), F.col("rank").alias("rank2"))
+        both = open_.select(*PLACE, "rank").join(ahead, PLACE, "left")
+        settled = last.filter("alone").select(*PLACE, "rank", F.lit(None).cast("long").alias("rank2"))
+        rounds.append(_ranked(both.unionByName(settled), ["rank", "rank2"]))
     return rounds
 
 
-def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
-    """d, t, runs: the runs (first line, lines) of each document that begin with the same lines, min_words words or more, as an earlier place does.
+def suffix_array(rounds: list[DataFrame]) -> DataFrame:
+    """i (from 0), d, t, pos, lcp: the suffixes in order, each with the number of lines that it has in common with the one before it.
 
-    Of all runs with so many words it is enough to test the shortest from each line and the shortest up to each
-    line: together they cover every line of every longer repeated run, and no other.
+    Orders and prefixes are exact up to the depth that the rounds were made for.
+    """
+    last = rounds[-1].select("id", *PLACE)
+    # A row per task of the sort: how many ids stand before it.
+    parts = last.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count("*").alias("n"))
+    parts = parts.select("part", (F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.shiftleft("part", 33)).alias("shift"))
+    rows = last.join(F.broadcast(parts), F.shiftright("id", 33) == F.col("part")).select((F.col("id") + F.col("shift")).alias("i"), *PLACE)
+    # The last suffix of a block is also the first neighbour of the next block.
+    block = F.floor(F.col("i") / BLOCK)
+    both = F.when(F.col("i") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))
+    near = rows.withColumn("block", F.explode(both)).withColumn("near", F.lag(F.struct(*PLACE)).over(W.partitionBy("block").orderBy("i")))
+    pairs = near.filter(F.col("block") == block).select("i", *PLACE, *[F.col(f"near.{c}").alias(f"near_{c}") for c in PLACE], F.lit(0).cast("long").alias("lcp"))
+    for k in reversed(range(len(rounds))):
+        known = rounds[k].filter("NOT alone").select(*PLACE, "rank")
+        for side, name in (("", "own"), ("near_", "other")):
+            there = known.select(F.col("d").alias(f"{side}d"), F.col("t").alias(f"{side}t"), F.col("pos").alias("at"), F.col("rank").alias(name))
+            pairs = pairs.withColumn("at", F.col(f"{side}pos") + F.col("lcp")).join(there, [f"{side}d", f"{side}t", "at"], "left").drop("at")
+        pairs = pairs.withColumn("lcp", F.col("lcp") + F.when(F.col("own") == F.col("other"), 2**k).otherwise(0)).drop("own", "other")
+    return staged(pairs.select("i", *PLACE, "lcp"), "lines-array")
+
+
+def intervals(array: DataFrame, depth: int) -> DataFrame:
+    """n, left, d, t, pos: for each suffix of array(i, d, t, pos, lcp, depths) and each of its depths n, where the interval of suffixes with the same n lines begins.
+
+    depth: the largest of all.
     """
+    schema = "n int, i long, left long, block long, d long, t long, pos long"
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        i, lcp = table.column("i").to_numpy(), table.column("lcp").to_numpy()
+        lists = table.column("depths").combine_chunks()
+        sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        row, n = np.repeat(np.arange(len(i)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
+        left = np.full(len(row), -1, np.int64)
+        for m in np.unique(n):
+            edges, own = np.flatnonzero(lcp < m), np.flatnonzero(n == m)
+            k = np.searchsorted(edges, row[own], "right") - 1
+            left[own[k >= 0]] = i[edges[k[k >= 0]]]
+        # For later blocks: the last place at which an interval of each depth can begin.
+        ends = np.array([np.flatnonzero(lcp < m)[-1] if (lcp < m).any() else -1 for m in range(1, depth + 1)])
+        known = np.flatnonzero(ends >= 0)
+        block = i[0] // BLOCK
+        none = np.full(len(known), -1, np.int64)
+        place = [np.concatenate([table.column(c).to_numpy()[row], none]) for c in PLACE]
+        values = [np.concatenate([n, known + 1]).astype(np.int32), np.concatenate([i[row], none]), np.concatenate([left, i[ends[known]]]), np.full(len(row) + len(known), block), *place]
+        return pa.table(dict(zip(("n", "i", "left", "block", *PLACE), values, strict=True)))
+
+    found = staged(array.withColumn("block", F.floor(F.col("i") / BLOCK)).groupBy("block").applyInArrow(scan, schema), "lines-intervals")
+    tests = found.filter("i >= 0")
+    inside, across = tests.filter("left >= 0"), tests.filter("left < 0").drop("left")
+    # A row per block and depth, so a 65,536th of the array for each depth: where intervals begin that reach into a block.
+    ends = found.filter("i < 0").select("n", "block", "left").unionByName(across.select("n", "block", F.lit(None).cast("long").alias("left")).distinct())
+    before = F.last("left", True).over(W.partitionBy("n").orderBy("block").rangeBetween(W.unboundedPreceding, -1))
+    begins = ends.withColumn("begin", before).filter("left IS NULL").select("n", "block", F.col("begin").alias("left"))
+    return inside.select("n", "left", *PLACE).unionByName(across.join(begins, ["n", "block"]).select("n", "left", *PLACE))
+
+
+def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
+    """d, t, runs: the runs (first line, lines) of each document that begin with the same lines, min_words words or more, as an earlier place does."""
     places = staged(line_places(docs, min_words).distinct(), "lines-places")
-    longest = places.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
-    rounds = rank_rounds(places, longest)
-    ranks = rounds[0].withColumn("k", F.lit(0))
-    for k, more in enumerate(rounds[1:], 1):
-        ranks = ranks.unionByName(more.withColumn("k", F.lit(k)))
-    ahead = places.filter("ahead > 0").select("d", "t", "pos", F.col("ahead").alias("n"))
-    back = places.filter("back > 0").select("d", "t", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("n"))
-    tests = ahead.unionByName(back).distinct().withColumn("k", F.floor(F.log2(F.col("n").cast("double") + 0.5)).cast("int"))
-    left = ranks.withColumnsRenamed({"rank": "r1"})
-    right = ranks.withColumnsRenamed({"rank": "r2", "pos": "from"})
-    runs = tests.join(left, ["k", *PLACE]).withColumn("from", F.col("pos") + F.col("n") - F.expr("shiftleft(1, k)")).join(right, ["k", "d", "t", "from"])
-    runs = staged(runs.select(*PLACE, "n", "r1", "r2"), "lines-runs")
+    repeated = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    lines = staged(places.join(repeated, ["h1", "h2"]), "lines-repeated")
+    depth = lines.agg(F.max(F.array_max("depths"))).first()[0] or 1
+    array = suffix_array(rank_rounds(lines.drop("depths"), depth))
+    runs = staged(intervals(array.join(lines.select(*PLACE, "depths"), PLACE), depth), "lines-runs")
     # Written, so that Spark can split a hot run's rows in the join.
-    first = staged(runs.groupBy("n", "r1", "r2").agg(F.min(F.struct(*PLACE)).alias("first")), "lines-first")
-    later = runs.join(first, ["n", "r1", "r2"]).filter(F.struct(*PLACE) > F.col("first"))
+    first = staged(runs.groupBy("n", "left").agg(F.min(F.struct(*PLACE)).alias("first")), "lines-first")
+    later = runs.join(first, ["n", "left"]).filter(F.struct(*PLACE) > F.col("first"))
     return later.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
 

@@ -112,15 +112,15 @@ def taken_words(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share:
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 17) -> DataFrame:
     """The documents of the mix, with the columns of docs: a row for each repetition.
 
-    Choices as in taken_words(). A repetition in part holds the text's first words (for a source's last
+    Choices as in taken_words(), for very long texts too; an empty table gives no rows. A repetition in part holds the text's first words (for a source's last
     document only); documents without words follow their source's whole repetitions.
     """
-    size, sk, key, times, part = fresh(docs, "_mix_size", "_mix_sk", "_mix_key", "_mix_times", "_mix_part")
+    size, sk, key, times, part, limit = fresh(docs, "_mix_size", "_mix_sk", "_mix_key", "_mix_times", "_mix_part", "_mix_limit")
     rows = docs.withColumn(size, word_count(F.col("text"))).withColumn(sk, _source_key(F.col("source"))).withColumn(key, _key(F.col("doc_id"), seed))
     sized = staged(rows.select("source", F.col(size).alias("size"), F.col(sk).alias("sk"), F.col(key).alias("key")), "mix-sizes")
-    limits = source_limits(sized, weights, share, max_epochs).select("sk", F.struct("whole", "edge_key", "edge_part", "key_size").alias("_mix_limit"))
+    limits = source_limits(sized, weights, share, max_epochs).select("sk", F.struct("whole", "edge_key", "edge_part", "key_size").alias(limit))
     joined = _with_limits(rows, limits, sk, key)
-    lim = lambda c: F.col(f"_mix_limit.{c}")
+    lim = lambda c: F.col(f"{limit}.{c}")
     extra = F.when(lim("edge_key").isNull() | (F.col(key) > lim("edge_key")), F.lit(0)).when(F.col(key) < lim("edge_key"), F.col(size)).otherwise(F.floor(lim("edge_part") * F.col(size) / lim("key_size"))).cast("long")
     joined = joined.withColumn(part, extra)
     # A repetition is the number of words it keeps; -1 keeps the text as it is.

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from corpusloom.llm import ann, decontamination, graph, jaccard_join, line_dedup
 from tests.llm.test_common import documents
@@ -244,3 +245,47 @@ def test_odd_lines(spark):
     found = line_dedup.dedup_lines(docs.withColumnRenamed("n_chars", "n_lines")).collect()
     assert sorted((str(r.doc_id), r.text == long, r.n_removed) for r in found) == [("1", False, 3), ("1", False, 3), ("2", False, 3), ("3", False, 0), ("None", True, 0)]
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 65_536])
+def test_suffix_array_and_prefixes_equal_a_naive_sort(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    seqs = [[rng.choice("aaabbcd") if rng.random() < 0.9 else f"u{i}-{j}" for j in range(rng.randrange(1, 30))] for i in range(12)]
+    seqs += [seqs[0], seqs[1][3:], seqs[0] + seqs[1]]
+    depths = lambda d, j: [n for n in (1, 2, 3, 5, 9) if j + n <= len(seqs[d])]
+    all_lines = [x for q in seqs for x in q]
+    places = [(d, 0, j) for d, q in enumerate(seqs) for j, x in enumerate(q) if all_lines.count(x) > 1]
+    order = {x: i for i, x in enumerate(sorted(set(all_lines)))}
+    rows = spark.createDataFrame([(*p, order[seqs[p[0]][p[2]]], 0, depths(p[0], p[2])) for p in places], "d long, t long, pos long, h1 long, h2 long, depths array<int>")
+    rounds = line_dedup.rank_rounds(rows.drop("depths"), 9)
+    array = line_dedup.suffix_array(rounds)
+    found = [(r.d, r.t, r.pos, r.lcp) for r in array.orderBy("i").collect()]
+    assert [r.i for r in array.orderBy("i").collect()] == list(range(len(places))) and sorted(f[:3] for f in found) == sorted(places)
+
+    def common(p, q):
+        a, b = seqs[p[0]][p[2] :], seqs[q[0]][q[2] :]
+        return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    # What the rounds don't rank, a line that occurs once or an end, is ordered by the suffix's place; so are prefixes beyond the depth.
+    longest = 2 ** len(rounds) - 1
+    assert all(min(f[3], longest) == min(common(f, g), longest) or f[3] >= 9 <= common(f, g) for g, f in zip(found, found[1:], strict=False))
+
+    def key(p):
+        out = []
+        for x in seqs[p[0]][p[2] : p[2] + 2 ** (len(rounds) - 1)]:
+            if all_lines.count(x) < 2:
+                break
+            out.append(order[x])
+        return out
+
+    keys = [key(f) for f in found]
+    assert keys == sorted(keys)
+    # The interval of each suffix and depth: all suffixes with the same lines, and no other.
+    left = {(r.n, r.d, r.pos): r.left for r in line_dedup.intervals(array.join(rows.select("d", "t", "pos", "depths"), ["d", "t", "pos"]), 9).collect()}
+    index = {f[:3]: i for i, f in enumerate(found)}
+    for p in places:
+        for n in depths(p[0], p[2]):
+            same = [index[q] for q in places if seqs[q[0]][q[2] : q[2] + n] == seqs[p[0]][p[2] : p[2] + n]]
+            if len(same) > 1:
+                assert left[n, p[0], p[2]] == min(same) and max(same) - min(same) == len(same) - 1
