@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import smallest_by_hash, staged
+from corpusloom.llm.common import one_per_id, smallest_by_hash, staged, trained
 
 CENTRES = 16
 
@@ -112,12 +112,16 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, *, fit_rows: int = 4000, seed: int = 2) -> tuple[DataFrame, Codebooks | None]:
-    """vec_id, embedding, codes (bytes) of every usable vector, written to the shared folder; codebooks fit on fit_rows of them, chosen by a seeded hash."""
+    """vec_id, embedding, codes (bytes) of every usable vector, written to the shared folder; codebooks fit in one task on fit_rows of them at most, chosen by a seeded hash; of rows that share a vec_id, the least."""
     good = usable(vectors)
-    sample = smallest_by_hash(good, "vec_id", fit_rows, seed).limit(fit_rows).toPandas().sort_values("vec_id", kind="stable")
-    if not len(sample):
+
+    def learn(rows: pd.DataFrame) -> Codebooks | None:
+        rows = rows.sort_values("vec_id", kind="stable")
+        return train(np.array(rows["embedding"].tolist(), np.float64), seed=seed) if len(rows) else None
+
+    book = trained(one_per_id(smallest_by_hash(good, "vec_id", fit_rows, seed), "vec_id", "embedding"), learn)
+    if book is None:
         return good.select("vec_id", "embedding", F.lit(b"").alias("codes")), None
-    book = train(np.array(sample["embedding"].tolist(), np.float64), seed=seed)
     sent = vectors.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

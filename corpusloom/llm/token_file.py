@@ -362,7 +362,9 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, *, end_id: int
         if doc_ids:
             yield close()
 
-    rows = ids.filter("ids IS NOT NULL").drop("counts").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    # The place in the written table parts rows that repeat both id and text, so that many of them don't meet in one task.
+    rows = ids.filter("ids IS NOT NULL").select("doc_id", "tie", "ids", F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
     rows.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 

@@ -48,3 +48,27 @@ def test_recall_on_full_blocks(spark, shape):
     print(shape, "recall", recall)
     assert recall == 1
     assert found_and_recall(ann.search(index, book, queries, block=1000), x, list(range(0, 8192, 128)))[0] == got
+
+
+def test_many_rows_in_any_partitioning(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50_000, 32)) + rng.normal(size=(50, 32))[rng.integers(0, 50, 50_000)]
+    rows, queries, found = table(spark, x), list(range(0, 50_000, 1000)), []
+    for n in (2, 16):
+        index, book = ann.build_index(rows.repartition(n))
+        asked = index.filter("vec_id % 1000 = 0").selectExpr("vec_id AS query_id", "embedding")
+        got, recall = found_and_recall(ann.search(index, book, asked, rerank=50), x, queries)
+        found.append(got)
+        print("50,000 rows in", n, "partitions: recall", recall)
+        assert recall >= 0.9
+    assert found[0] == found[1]
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(i % 30, [float(i), 1.0], i, 0.5, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id int, score double, codes string")
+    found = ann.nearest(df, every=20, k=3).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(by) == {0, 20} and all({rank for rank, _ in v} == {1, 2, 3} for v in by.values()) and by[0][0] == (1, 29)
