@@ -116,6 +116,28 @@ def crawl(seed: str, pages: DataFrame, *, max_pages: int = 50, max_depth: int =
     return seen.orderBy("depth", "url").limit(max_pages)
 
 
+def crawl_run(urls: DataFrame, pages: DataFrame, saved: DataFrame | None = None, *, recursive: bool = False, **limits) -> DataFrame:
+    """url, path, content of the files that a run adds: urls are expanded, filtered, less those saved before, fetched and written as markdown.
+
+    urls(url); pages(url, html) stand for the net; saved(content) are files of earlier runs. A recursive run follows the
+    links of each URL given, as crawl() does with these limits. A page that several lead to is saved once, for the first of them.
+    """
+    before = None if saved is None else crawled_urls(saved).distinct()
+    todo = to_crawl(urls.select("url"), before, recursive).distinct()
+    found = todo.withColumn("seed_url", F.lit(None).cast("string"))
+    if recursive:
+        seeds = [r.url for r in todo.orderBy("url").collect()]  # as many as the caller has listed
+        found = None
+        for seed in seeds:
+            part = crawl(seed, pages, **limits).select("url", F.lit(seed).alias("seed_url"))
+            found = part if found is None else found.unionByName(part)
+        found = todo.withColumn("seed_url", F.lit(None).cast("string")) if found is None else found
+        found = found if before is None else found.join(before, "url", "left_anti")
+    found = found.groupBy("url").agg(F.min("seed_url").alias("seed_url"))
+    fetched = found.join(pages.groupBy("url").agg(F.min("html").alias("html")), "url")
+    return saved_pages(fetched.select("url", "seed_url", html_to_markdown(F.col("html")).alias("markdown")))
+
+
 SearchBackend = Callable[[str, int, list[str] | None], list[dict[str, str]]]
 SEARCH_BACKENDS: dict[str, SearchBackend] = {}
 

@@ -373,6 +373,15 @@ def crawled_pages(spark, sf_dir):
     return web.crawled_urls(saved)
 
 
+@query
+def crawl_run(spark, sf_dir):
+    """Every page with an even id is asked for; each third has been saved before: what a run adds, by its front matter."""
+    pages = table(spark, sf_dir, "pages")
+    saved = web.saved_pages(markdown_pages(spark, sf_dir).filter("page_id % 3 = 0").withColumn("seed_url", F.lit(None).cast("string")))
+    added = web.crawl_run(pages.filter("page_id % 2 = 0"), pages, saved)
+    return added.select("url", F.element_at(F.split("content", "\n\n"), 1).alias("front"))
+
+
 @query
 def complexity_score(spark, sf_dir):
     """The score's arithmetic over counts of a document's lines and words."""

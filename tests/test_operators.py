@@ -380,6 +380,18 @@ def test_crawl(spark):
     assert depths(max_pages=2) == {"/": 0, "a": 1} and depths(include=["*a", "*c"]) == {"/": 0, "a": 1, "c": 2} and depths(exclude=["*/c"]) == {"/": 0, "a": 1, "b": 1}
 
 
+def test_crawl_runs(spark):
+    link = lambda *t: "<p>text</p>" + "".join(f'<a href="{x}">l</a>' for x in t)
+    site = [("https://s.org/", link("https://s.org/a", "https://s.org/b")), ("https://s.org/a", link("https://s.org/c")), ("https://s.org/b", ""), ("https://s.org/c", link()), ("https://s.org/1", link()), ("https://s.org/2", link())]
+    pages = spark.createDataFrame(site, "url string, html string")
+    urls = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    first = web.crawl_run(urls("https://s.org/{1..2}", "https://s.org/a", "https://s.org/a", "https://s.org/none"), pages)
+    assert {r.url for r in first.collect()} == {"https://s.org/1", "https://s.org/2", "https://s.org/a"}
+    more = web.crawl_run(urls("https://s.org/", "ftp://s.org/"), pages, first, recursive=True).collect()
+    assert {r.url for r in more} == {"https://s.org/", "https://s.org/c"} and all("seed_url: https://s.org/\n" in r.content for r in more)
+    assert web.crawl_run(urls("https://s.org/a"), pages, first, recursive=True).count() == 0
+
+
 def test_web_search(spark):
     with pytest.raises(ValueError):
         web.search_web(spark, "q", backend="brave")
