@@ -163,8 +163,8 @@ class WordScores:
             grown = np.zeros((max(2 * len(self.values), len(self.place) + len(new)), self.values.shape[1]), np.float32)
             grown[: len(self.place)] = self.values[: len(self.place)]
             self.values = grown
-        for a in range(0, len(new), 50_000):
-            part, start = new[a : a + 50_000], len(self.place)
+        for a in range(0, len(new), 20_000):
+            part, start = new[a : a + 20_000], len(self.place)
             owner, ids = hashed_subwords(part, len(self.table) if self.known is None else len(self.known))
             counts = [np.bincount(owner, minlength=len(part))]
             if self.known is not None:

@@ -49,8 +49,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def train(texts: list[str], langs: list[str], *, buckets: int = 2**17, dim: int = 16, epochs: int = 4, least_steps: int = 1000, window: int = 40, rate: float = 0.5, seed: int = 5) -> LanguageModel:
     """Fit on labelled texts. Each epoch draws a window of words from anywhere in each text; a fifth of the texts calibrates.
 
-    Calibration sets the temperature, and what is rejected: scores nearer to chance than half of what all but one in
-    a thousand right predictions reach, and texts with twice the unknown subwords that all but one in a thousand have.
+    Calibration sets the temperature, and what is rejected: scores nearer to chance than a quarter of what all but one in
+    a thousand right predictions reach, which spares texts in two languages, and texts with twice the unknown subwords that all but one in a thousand have.
     Without a text that has letters, the model has no labels and predicts `und` only.
     """
     rng, labels = np.random.default_rng(seed), sorted(set(langs))
@@ -86,8 +86,8 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 2**17, dim: int
             bias -= lr * wrong.mean(0)
             np.subtract.at(embed, ids, 4 * lr * back[owner])
     met, known = list(set().union(*(pairs[i][0] for i in fit))), np.zeros(KNOWN, bool)
-    for a in range(0, len(met), 50_000):
-        known[hashed_subwords(met[a : a + 50_000], KNOWN)[1]] = True
+    for a in range(0, len(met), 20_000):
+        known[hashed_subwords(met[a : a + 20_000], KNOWN)[1]] = True
     model = LanguageModel(labels, (embed @ weights).astype(np.float32), bias, 1.0, np.packbits(known))
     if len(held):
         sizes = rng.integers(1, window + 1, len(held))
@@ -98,7 +98,7 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 2**17, dim: int
         p = softmax(z / model.temperature)
         right = p.argmax(1) == y
         if right.any():
-            model.reject_below = float(1 / k + (np.quantile(p.max(1)[right], 0.001) - 1 / k) / 2)
+            model.reject_below = float(1 / k + (np.quantile(p.max(1)[right], 0.001) - 1 / k) / 4)
         model.most_unknown = float(2 * np.quantile(strange, 0.999) + 2 / len(held))
     return model
 

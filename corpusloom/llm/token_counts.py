@@ -16,18 +16,25 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 SLICE = 1_000_000
 
 
+def specials(tokenizer) -> list[str]:
+    return sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
+
+
+def whole_tokens(tokenizer) -> list[str]:
+    """The vocabulary strings that the library itself, given them alone, returns as one token. The proof is made once, before any text is read."""
+    strings = [s for s in (tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())) if s and "�" not in s]
+    special = set(specials(tokenizer))
+    return [s for s, e in zip(strings, tokenizer.encode_batch(strings, add_special_tokens=False), strict=True) if len(e.ids) == 1 and s not in special]
+
+
 class PieceCounts(dict):
     """Pre-token to its number of tokens. It starts with what is proven to be one token; others are merged by the library when first met.
 
-    The proof is made once per process: of all vocabulary strings, those count as whole that the library itself,
-    given them alone, returns as one token. At most `remember` others are kept.
+    At most `remember` others are kept.
     """
 
-    def __init__(self, tokenizer, remember: int = 400_000):
-        self.tokenizer, self.remember = tokenizer, remember
-        strings = [s for s in (tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())) if s and "�" not in s]
-        self.specials = sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
-        self.whole = {s: 1 for s, e in zip(strings, tokenizer.encode_batch(strings, add_special_tokens=False), strict=True) if len(e.ids) == 1 and s not in self.specials}
+    def __init__(self, tokenizer, whole: list[str], remember: int = 400_000):
+        self.tokenizer, self.remember, self.whole, self.specials = tokenizer, remember, dict.fromkeys(whole, 1), specials(tokenizer)
         super().__init__(self.whole)
 
     def __missing__(self, piece: str) -> int:
@@ -62,30 +69,33 @@ class PieceCounts(dict):
         return sum(sum(map(self.__getitem__, PIECES.findall(part))) for part in self.slices(text))
 
 
-def counter(path: str) -> PieceCounts:
-    """This worker's counter for a vocabulary file, without truncation or padding."""
+def load(path: str):
+    """The tokenizer of a vocabulary file, without truncation or padding."""
+    from tokenizers import Tokenizer
 
-    def make() -> PieceCounts:
-        from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        return PieceCounts(tokenizer)
 
-    return memo(("pieces", path), make)
+def counter(path: str, whole: list[str]) -> PieceCounts:
+    """This worker's counter for a vocabulary file."""
+    return memo(("pieces", path), lambda: PieceCounts(load(path), whole))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every whole text.
 
-    path: a byte-level BPE vocabulary file of the tokenizers library, present on every executor. A null or
+    path: a byte-level BPE vocabulary file of the tokenizers library, present on the driver and every executor. A null or
     empty text has 0 bytes and 0 tokens; rows stay as they are, repeated ones and null ids too; other columns of
     docs are left out, whatever their names. No shuffle.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(whole_tokens(load(path)))  # a part of the vocabulary
+
     def start():
-        pieces = counter(path)
+        pieces = counter(path, sent.value)
         return lambda texts: [pieces.count(t or "") for t in texts]
 
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
