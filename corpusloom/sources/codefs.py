@@ -8,6 +8,7 @@ a stream's changes, has a partition per group of files; contents are read in the
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import json
 import os
 import re
@@ -99,24 +100,50 @@ class _Reader(DataSourceReader):
 
 
 class _Changes(DataSourceStreamReader):
-    """Offsets are snapshots of {path: mtime}; a batch has all files that differ. Only paths and times pass the driver."""
+    """Offsets name snapshots of {path: mtime}; a batch has all files that differ. Only paths and times pass the driver.
+
+    Snapshots are files of their own in the folder `snapshots`, so that offsets stay small; without that option they are the offsets.
+    """
 
     def __init__(self, options):
         self.root, self.group = os.path.abspath(options["path"]), int(options.get("filesPerPartition", 256))
-        self.gitignore = options.get("gitignore", "true").lower() == "true"
+        self.gitignore, self.folder = options.get("gitignore", "true").lower() == "true", options.get("snapshots")
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        return {"files": json.dumps({p: s.st_mtime_ns for p, s in walk(self.root, self.gitignore)}, sort_keys=True)}
+        files = json.dumps({p: s.st_mtime_ns for p, s in walk(self.root, self.gitignore)}, sort_keys=True)
+        if not self.folder:
+            return {"files": files}
+        name = hashlib.sha256(files.encode("utf-8", "surrogateescape")).hexdigest()
+        os.makedirs(self.folder, exist_ok=True)
+        if not os.path.exists(f"{self.folder}/{name}"):
+            with open(f"{self.folder}/{name}.part", "w", encoding="utf-8", errors="surrogateescape") as f:
+                f.write(files)
+            os.replace(f"{self.folder}/{name}.part", f"{self.folder}/{name}")
+        return {"snapshot": name}
+
+    def _snapshot(self, offset: dict) -> dict[str, int]:
+        if "files" in offset:
+            return json.loads(offset["files"])
+        with open(f"{self.folder}/{offset['snapshot']}", encoding="utf-8", errors="surrogateescape") as f:
+            return json.load(f)
+
+    def commit(self, end: dict) -> None:
+        """Snapshots older than a batch that is done aren't asked for again."""
+        if "snapshot" in end:
+            done = os.stat(f"{self.folder}/{end['snapshot']}").st_mtime_ns
+            for entry in os.scandir(self.folder):
+                if entry.name != end["snapshot"] and entry.stat().st_mtime_ns < done:
+                    os.remove(entry.path)
 
     def _difference(self, old: dict[str, int], new: dict[str, int]) -> list[tuple[str, int | None, str]]:
         changed = [(p, m, "upsert") for p, m in sorted(new.items()) if old.get(p) != m]
         return changed + [(p, None, "delete") for p in sorted(old) if p not in new]
 
     def partitions(self, start: dict, end: dict) -> list[_Files]:
-        changes = self._difference(json.loads(start["files"]), json.loads(end["files"]))
+        changes = self._difference(self._snapshot(start), self._snapshot(end))
         return [_Files(changes[i : i + self.group]) for i in range(0, len(changes), self.group)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
@@ -124,7 +151,7 @@ class _Changes(DataSourceStreamReader):
 
 
 class CodeFiles(DataSource):
-    """Options: path; gitignore (true); filesPerPartition (256)."""
+    """Options: path; gitignore (true); filesPerPartition (256); snapshots (a folder, for streams)."""
 
     @classmethod
     def name(cls) -> str:

@@ -48,7 +48,10 @@ def index_stream(spark: SparkSession, root: str, collection: Collection, state:
     compacted after every compact_every batches.
     """
     register(spark)
-    changes = spark.readStream.format("codefs").option("path", root).load()
+    source = spark.readStream.format("codefs").option("path", root)
+    if "://" not in checkpoint:  # beside the checkpoint, where that is a folder of the file system that root is on
+        source = source.option("snapshots", f"{checkpoint.rstrip('/')}-snapshots")
+    changes = source.load()
 
     def batch(rows: DataFrame, number: int) -> None:
         old, rows = state.read(), rows.persist()

@@ -22,6 +22,8 @@ def test_one_run_indexes_more_files_than_a_batch_had(spark, tmp_path):
         os.remove(root / "d0" / f"{f}.txt")
     run()
     assert table.read().count() == 10_000
+    # Offsets name the snapshots; of these only the last ones are kept.
+    assert all(p.stat().st_size < 1000 for p in (tmp_path / "cp" / "offsets").iterdir() if not p.name.startswith(".")) and len(list((tmp_path / "cp-snapshots").iterdir())) <= 2
 
 
 def test_contents_of_a_stream_are_read_in_groups_by_tasks(spark, tmp_path):
