@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, decontamination, jaccard_join, language_id, line_dedup, mixing, quality, token_counts, token_file, toxicity
+from corpusloom.llm import ann, centroids, decontamination, jaccard_join, language_id, line_dedup, mixing, quality, token_counts, token_file, toxicity
 from corpusloom.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -68,8 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
+        "op11_centroids": op11_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": jaccard_join.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+    return {"op1_jaccard_join": jaccard_join.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL}
