@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, centroids, decontamination, jaccard_join, language_id, line_dedup, mixing, quality, token_counts, token_file, toxicity
+from corpusloom.llm import ann, centroids, decontamination, exact_search, jaccard_join, language_id, line_dedup, mixing, quality, token_counts, token_file, toxicity
 from corpusloom.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -73,8 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
         "op11_centroids": op11_centroids,
+        "op12_exact_topk": op12_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": jaccard_join.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL}
+    return {"op1_jaccard_join": jaccard_join.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL, "op12_exact_topk": exact_search.ORACLE_SQL}
