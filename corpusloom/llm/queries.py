@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, centroids, decontamination, exact_search, jaccard_join, language_id, line_dedup, mixing, quality, token_counts, token_file, toxicity
+from corpusloom.llm import alignment, ann, centroids, decontamination, exact_search, jaccard_join, language_id, line_dedup, mixing, quality, token_counts, token_file, toxicity
 from corpusloom.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": op10_quality,
         "op11_centroids": op11_centroids,
         "op12_exact_topk": op12_exact_topk,
+        "op13_alignment": op13_alignment,
     }
 
 
