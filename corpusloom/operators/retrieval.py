@@ -112,6 +112,22 @@ def dense_batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str
     return _batch_topk(rows, queries, k, id_column, vector, query_block, lambda vectors: np.nan_to_num(_unit(np.array(vectors, float))), _dense_scores)
 
 
+def sparse_product(query: Row, vector: Column) -> Column:
+    """A row's product with one query's (indices, values), to twelve places; null where no term is shared. Linear in the row's terms."""
+    order = np.argsort(np.array(query["indices"], np.int64), kind="stable")
+    asked, weights = np.array(query["indices"], np.int64)[order], np.array(query["values"], float)[order]
+
+    def run(rows: pa.Array) -> pa.Array:
+        row, idx, val = _terms_of(rows)
+        at = np.minimum(np.searchsorted(asked, idx), len(asked) - 1)
+        shared = asked[at] == idx
+        row = row[shared]
+        total = np.round(np.bincount(row, val[shared] * weights[at[shared]], len(rows)), 12)
+        return pa.array(total, mask=np.bincount(row, minlength=len(rows)) == 0)
+
+    return F.arrow_udf(run, "double")(vector)
+
+
 def sparse_topk(rows: DataFrame, query: Row, k: int, id_column: str = "point_id", vector: str = "sparse") -> DataFrame:
     """id, score: the k rows whose sparse vectors have the largest product with one query's (indices, values).
 
@@ -119,13 +135,14 @@ def sparse_topk(rows: DataFrame, query: Row, k: int, id_column: str = "point_id"
     """
     if not query["indices"]:
         return rows.select(id_column, F.lit(0.0).alias("score")).limit(0)
-    asked = F.array(*[F.lit(int(i)) for i in query["indices"]])
-    weights = F.array(*[F.lit(float(v)) for v in query["values"]])
-    # Lambdas hold nothing of the row but their element, so that a vector made in the same query is made once.
-    terms = F.arrays_zip(F.col(f"{vector}.indices").alias("idx"), F.col(f"{vector}.values").alias("val"))
-    shared = F.filter(terms, lambda t: F.array_contains(asked, t["idx"]))
-    product = F.aggregate(shared, F.lit(None).cast("double"), lambda total, t: F.coalesce(total, F.lit(0.0)) + t["val"] * F.element_at(weights, F.array_position(asked, t["idx"]).cast("int")))
-    return _largest(rows.select(id_column, F.round(product, 12).alias("score")), k, id_column)
+    return _largest(rows.select(id_column, sparse_product(query, F.col(vector)).alias("score")), k, id_column)
+
+
+def _terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, idx, val) of a column of sparse vectors."""
+    lists, values = pc.struct_field(column, "indices"), pc.struct_field(column, "values")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(column)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), values.flatten().to_numpy(zero_copy_only=False)
 
 
 def _largest(scored: DataFrame, k: int, id_column: str) -> DataFrame:
@@ -149,9 +166,7 @@ def _sparse_scores(block: _Terms, column: pa.Array) -> Iterator[tuple[int, np.nd
     """Products by terms that rows share with queries, in slices of about two million products at most."""
     if not len(block.terms):
         return
-    lists, row_sizes = pc.struct_field(column, "indices"), pc.list_value_length(pc.struct_field(column, "indices")).to_numpy(zero_copy_only=False)
-    idx, val = lists.flatten().to_numpy(), pc.struct_field(column, "values").flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(column)), row_sizes)
+    row, idx, val = _terms_of(column)
     at = np.minimum(np.searchsorted(block.terms, idx), len(block.terms) - 1)
     known = block.terms[at] == idx
     row, at, val = row[known], at[known], val[known]

@@ -158,9 +158,9 @@ def definition_chunks(size: int, overlap: int):
                     parts.extend(windows(_sanitize("\n".join(lines[start - 1 : end])), start, kind, [name] if name else []))
                     at = end + 1
             between(at, len(lines))
-        return [p | {"chunk_index": i} for i, p in enumerate(parts)]
+        return parts
 
-    @F.pandas_udf("array<struct<content:string,chunk_index:int,line_start:int,line_end:int,type:string,symbols:array<string>>>")
+    @F.pandas_udf("array<struct<content:string,line_start:int,line_end:int,type:string,symbols:array<string>>>")
     def run(paths: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([one(p, t) for p, t in zip(paths, texts, strict=True)])
 

@@ -8,32 +8,57 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import digest_bucket, tokens
+from corpusloom.functions.text import tokens
 
 VOCABULARY = 50_000
 
 
-def _counted(rows: DataFrame, text: str, vocabulary: int) -> DataFrame:
-    """rows with _idx (ascending) and _tf: how often terms that hash to each idx stand in the row's text.
+#: Terms that are counted at a time.
+SLICE = 1_000_000
 
-    Equal ids stand together once sorted, so that counting them takes one pass, inside the row. Each step is a column
-    of its own: inside a lambda, an expression would be evaluated again for every element.
-    """
-    rows = rows.withColumn("_ids", F.array_sort(F.transform(tokens(F.col(text)), lambda t: digest_bucket(F.md5(t), vocabulary))))
-    n = F.size("_ids")
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_first", F.filter(places, lambda i: (i == 1) | (F.element_at("_ids", i) != F.element_at("_ids", F.greatest(i - 1, F.lit(1))))))
-    rows = rows.withColumn("_tf", F.transform("_first", lambda i, k: F.coalesce(F.try_element_at("_first", k + 2), n + 1) - i))
-    return rows.withColumn("_idx", F.transform("_first", lambda i: F.element_at("_ids", i))).drop("_ids", "_first")
+
+def count_terms(lists: pa.Array, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lists of terms: row, idx (ascending in each row) and how often terms that hash to it stand in the row."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE)) + 1, [len(lists)]])).tolist()
+    cells, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        terms = lists.slice(low, high - low).flatten().dictionary_encode()
+        # A term is hashed once, however often it stands in the slice.
+        bucket = np.array([int.from_bytes(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest(), "big") % vocabulary for t in terms.dictionary.to_pylist()], np.int64)
+        if len(bucket):
+            found = np.unique(np.repeat(np.arange(low, high), sizes[low:high]) * vocabulary + bucket[terms.indices.to_numpy()], return_counts=True)
+            cells.append(found[0])
+            counts.append(found[1])
+    cells = np.concatenate(cells)
+    return cells // vocabulary, cells % vocabulary, np.concatenate(counts)
+
+
+def _vectors(text: Column, vocabulary: int, kind: str, value: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Column:
+    """struct(indices, values) of a text; value(row, tf, rows) makes values, of Spark's type `kind`, of the counts. Texts are cut into terms in the JVM and counted in Arrow columns."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        row, idx, tf = count_terms(lists, vocabulary)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lists)))]), pa.int32())
+        made = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((idx, pa.int32()), (value(row, tf, len(lists)), pa.float64() if kind == "double" else pa.int64()))]
+        return pa.StructArray.from_arrays(made, names=["indices", "values"])
+
+    return F.arrow_udf(run, f"struct<indices:array<int>,values:array<{kind}>>")(tokens(text))
+
+
+def _unit_length(row: np.ndarray, tf: np.ndarray, rows: int) -> np.ndarray:
+    return tf / np.sqrt(np.bincount(row, tf * tf, rows))[row]
 
 
 def term_counts(rows: DataFrame, keys: list[str], text: str = "content", vocabulary: int = VOCABULARY) -> DataFrame:
     """keys, idx, tf: how often terms that hash to idx stand in each text. No shuffle: a row counts its own terms."""
-    counted = _counted(rows.select(*keys, text), text, vocabulary)
-    return counted.select(*keys, F.inline(F.arrays_zip("_idx", "_tf")).alias("idx", "tf")).withColumn("tf", F.col("tf").cast("long"))
+    counted = rows.select(*keys, _vectors(F.col(text), vocabulary, "bigint", lambda row, tf, n: tf).alias("_v"))
+    return counted.select(*keys, F.inline(F.arrays_zip("_v.indices", "_v.values")).alias("idx", "tf"))
 
 
 def postings(rows: DataFrame, keys: list[str], text: str = "content", vocabulary: int = VOCABULARY) -> DataFrame:
@@ -49,9 +74,7 @@ def postings_of(rows: DataFrame, keys: list[str], column: str = "sparse") -> Dat
 
 def with_sparse(rows: DataFrame, text: str = "content", vocabulary: int = VOCABULARY, column: str = "sparse") -> DataFrame:
     """rows with a text's sparse vector as struct(indices ascending, values), inside the row; empty arrays for no terms."""
-    rows = _counted(rows, text, vocabulary).withColumn("_norm", F.sqrt(F.aggregate("_tf", F.lit(0.0), lambda a, c: a + c * c)))
-    vector = F.struct(F.col("_idx").alias("indices"), F.transform("_tf", lambda c: c / F.col("_norm")).alias("values"))
-    return rows.withColumn(column, vector).drop("_idx", "_tf", "_norm")
+    return rows.withColumn(column, _vectors(F.col(text), vocabulary, "double", _unit_length))
 
 
 def sparse_of(spark: SparkSession, text: str, vocabulary: int = VOCABULARY) -> Row:
