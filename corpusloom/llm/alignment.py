@@ -16,7 +16,6 @@ import itertools
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -48,27 +47,34 @@ DOCUMENT = "run long, ordinal int, doc_id long, n_a long, n_b long, n_groups lon
 PART = "radix int, records long, pairs binary, documents binary"
 
 
-@dataclass
-class Aligned:
-    """Words and what is known of each, by its number: token counts, groups as text, and the linked pairs (first id << 32 | second id) with their numbers of links."""
+class Words:
+    """What is known of words, in columns: facts (n_a, n_b, n_groups, n_links, whether both sides give the word's bytes), groups as text, and the pair (first id << 32 | second id) of each link."""
 
-    number: dict[str, int] = field(default_factory=dict)
-    facts: list[tuple[int, int, int, int, bool]] = field(default_factory=list)  # n_a, n_b, n_groups, n_links, whether both sides give the word's bytes
-    texts: list[str] = field(default_factory=list)
-    pairs: list[np.ndarray] = field(default_factory=list)
-    links: list[np.ndarray] = field(default_factory=list)
+    def __init__(self):
+        self.words, self.texts = pa.array([], pa.large_string()), pa.array([], pa.large_string())
+        self.facts, self.pairs = np.zeros((0, 5), np.int64), np.zeros(0, np.int64)
 
+    def __len__(self) -> int:
+        return len(self.words)
 
-def overlaps(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, groups): index pairs of tokens whose byte ranges overlap, and the token counts (of a, of b) at each common end."""
-    links, groups, i, j = [], [], 0, 0
-    while i < len(a_ends) and j < len(b_ends):
-        links.append((i, j))
-        a, b = a_ends[i], b_ends[j]
-        i, j = i + (a <= b), j + (b <= a)
-        if a == b:
-            groups.append((i, j))
-    return links, groups
+    def add(self, words: pa.Array, facts: np.ndarray, texts: pa.Array, pairs: np.ndarray) -> None:
+        self.words, self.texts = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.texts, texts])
+        self.facts, self.pairs = np.concatenate([self.facts, facts]), np.concatenate([self.pairs, pairs])
+
+    def pairs_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of words, one word's after the other's, and how many each has."""
+        n = self.facts[:, 3]
+        return self.pairs[runs_of((np.cumsum(n) - n)[places], n[places])], n[places]
+
+
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For two cuttings of the same bytes: where links end, the token of a and of b of each link, and the common ends.
+
+    Every stretch between neighbouring ends, of either side, lies in one token of each; two tokens share one stretch at most.
+    """
+    ends = np.union1d(a_ends, b_ends)
+    a, b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    return ends, a, b, ends[(a_ends[a] == ends) & (b_ends[b] == ends)]
 
 
 class Aligner:
@@ -78,7 +84,7 @@ class Aligner:
     spaces. That no piece of b joins a space to what stands before it, or a newline to anything, is proven when the vocabulary is loaded; without proof, every text is encoded whole.
     """
 
-    def __init__(self, a: str, b: str, remember: int = 200_000):
+    def __init__(self, a: str, b: str, remember: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -95,7 +101,9 @@ class Aligner:
             if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)):
                 pieces.append(piece)
         self.cuts = not any(re.search(f"[^{_MARK}]{_MARK}|\n", p) for p in pieces)
-        self.words = Aligned()
+        self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        self.shown = pa.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))], pa.large_string())
+        self.words = Words()
 
     @staticmethod
     def _byte_level(tokenizer) -> list[bytes]:
@@ -106,40 +114,80 @@ class Aligner:
         tokens = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
         return [bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t in tokens]
 
-    def learn(self, words: list[str]) -> None:
-        """Align words that aren't known; each begins as it stands in the text, so mostly with a space."""
-        new = [w for w in words if w not in self.words.number]
-        if len(self.words.number) + len(new) > self.remember and self.words.number:
-            self.words, new = Aligned(), words
-        for a in range(0, len(new), 2000):
-            part = new[a : a + 2000]
-            left = [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)]
-            # b puts a space before what it is given: words have one, and others follow a newline, which is a token of its own.
-            spaced = [w.startswith(" ") for w in part]
-            right = self.b.encode([w[1:] if s else f"\n{w}" for w, s in zip(part, spaced, strict=True)], num_threads=1)
-            for word, own, s, other in zip(part, left, spaced, right, strict=True):
-                self._add(word, own, other if s else other[2:])
-
-    def _add(self, word: str, a: list[int], b: list[int]) -> None:
-        known, raw = self.words, word.encode("utf-8", "surrogatepass")
-        known.number[word] = len(known.facts)
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            known.facts.append((0, 0, 0, 0, False))
-            known.texts.append("")
-            known.pairs.append(np.zeros(0, np.int64))
-            known.links.append(np.zeros(0, np.int64))
+    def learn(self, words: pa.Array, alone: bool) -> np.ndarray:
+        """The places of words that a text holds; new ones are aligned. Each begins as it stands in the text, mostly with a space; `alone`: each is encoded by itself."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words.words), -1).to_numpy(zero_copy_only=False)
+        if (at < 0).any() and len(self.words) > self.remember:
+            # Beyond the bound, only words at hand are kept.
+            self.words = Words()
+            at = np.full(len(words), -1)
+        new = words.filter(pa.array(at < 0))
+        if len(new):
+            spaced, newline = pc.starts_with(new, " "), pc.starts_with(new, "\n")
+            for some, single in ((spaced, alone), (pc.invert(pc.or_(spaced, newline)), alone), (newline, True)):
+                part = new.filter(some)
+                for a in range(0, len(part), 20_000):
+                    self._add(part.slice(a, 20_000), single)
+            at = pc.index_in(words, value_set=self.words.words).to_numpy()
+        return at
+
+    def _add(self, words: pa.Array, alone: bool) -> None:
+        """Align new words, which all begin with a space or all not.
+
+        Words with a space stand one after the other in texts of some hundred, others behind a newline each: in such a
+        text, too, neither side joins what a word is cut from. A text that either side doesn't give back is left for words one by one.
+        """
+        if not len(words):
+            return
+        own, group = words.to_pylist(), 1 if alone else 300
+        spaced, behind = own[0].startswith(" "), not own[0].startswith(" ") and not alone
+        texts = ["".join(f"\n{w}" if behind else w for w in own[i : i + group]) for i in range(0, len(own), group)]
+        left = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # b puts a space before what it gets; behind it and a newline of our own, a text is encoded as behind any other word.
+        right = self.b.encode([t[1:] if spaced else t if behind else f"\n{t}" for t in texts], num_threads=1)
+        right = [x[0 if spaced else 1 if behind else 2 :] for x in right]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        good = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for r, x, y in zip(raw, left, right, strict=True)]
+        if not all(good):
+            if group == 1:  # words that have no tokens
+                bad = [i for i, g in enumerate(good) if not g]
+                self.words.add(words.take(pa.array(bad)), np.zeros((len(bad), 5), np.int64), pa.array([""] * len(bad), pa.large_string()), np.zeros(0, np.int64))
+            else:
+                for i, g in enumerate(good):
+                    if not g:
+                        self._add(words.slice(i * group, group), True)
+            words = words.filter(pa.array(np.repeat(good, group)[: len(own)]))
+            left, right, raw = ([x for x, g in zip(side, good, strict=True) if g] for side in (left, right, raw))
+        if not len(words):
             return
-        links, groups = overlaps(list(itertools.accumulate(map(len, a_bytes))), list(itertools.accumulate(map(len, b_bytes))))
-        shown, i, j = [], 0, 0
-        for k, n in groups:
-            shown.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:n]))}")
-            i, j = k, n
-        pairs, times = np.unique(np.array([a[i] << 32 | b[j] for i, j in links], np.int64), return_counts=True)
-        known.facts.append((len(a), len(b), len(groups), len(links), True))
-        known.texts.append(";".join(shown))
-        known.pairs.append(pairs)
-        known.links.append(times)
+        a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (left, right))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        word_ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + behind)
+        ends, i, j, common = overlaps(a_ends, b_ends)
+        if behind:  # a newline before each word is a token of its own on both sides
+            newline = np.concatenate([[0], word_ends[:-1]]) + 1
+            a, a_ends = a[~np.isin(a_ends, newline)], a_ends[~np.isin(a_ends, newline)]
+            b, b_ends = b[~np.isin(b_ends, newline)], b_ends[~np.isin(b_ends, newline)]
+            ends, common = ends[~np.isin(ends, newline)], common[~np.isin(common, newline)]
+            i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        n = len(words)
+        facts = [np.bincount(np.searchsorted(word_ends, x), minlength=n) for x in (a_ends, b_ends, common, ends)]
+        self.words.add(words, np.stack([*facts, np.ones(n, np.int64)], 1), self._shown(a, b, a_ends, b_ends, common, word_ends), a[i] << 32 | b[j])
+
+    def _shown(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, common: np.ndarray, word_ends: np.ndarray) -> pa.Array:
+        """Each word's groups as text: ids of a, ids of b, group by group."""
+        group = np.concatenate([np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)])
+        side = np.repeat([0, 1], [len(a), len(b)])
+        order = np.argsort(group * 2 + side, kind="stable")
+        ids, group, side = np.concatenate([a, b])[order], group[order], side[order]
+        last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)
+        of_word = np.searchsorted(word_ends, common)[group]
+        closes = np.append(of_word[1:] != of_word[:-1], True)
+        mark = np.where(~last, 0, np.where(side == 0, 1, np.where(closes, 3, 2)))
+        marks = pa.DictionaryArray.from_arrays(pa.array(mark, pa.int32()), pa.array([",", "|", ";", ""], pa.large_string())).cast(pa.large_string())
+        shown = pc.binary_join_element_wise(self.shown.take(pa.array(ids)), marks, pa.scalar("", pa.large_string()))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(of_word, minlength=len(word_ends)))])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), shown), pa.scalar("", pa.large_string()))
 
     def kinds(self, texts: pa.Array) -> np.ndarray:
         """How to cut each text: 0 at every space and newline, 1 at some of them, 2 not at all, 3 empty or null."""
@@ -160,28 +208,24 @@ class Aligner:
         """For texts of a kind: facts (a row each, zeros without tokens), digests, and per text and pair of it: text, pair, links."""
         words, sizes = self.cut(texts, kind)
         flat = words.dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        self.learn(words)
-        known = self.words
-        place = np.fromiter((known.number[w] for w in words), np.int64, len(words))
-        use, begins = flat.indices.to_numpy(), np.cumsum(sizes) - sizes
-        facts = np.array([known.facts[p] for p in place], np.int64).reshape(-1, 5)
-        sums = np.add.reduceat(facts[use], begins, axis=0)
+        place, use, begins = self.learn(flat.dictionary, kind > 0), flat.indices.to_numpy(), np.cumsum(sizes) - sizes
+        known, spot = self.words, place[use]
+        sums = np.stack([np.add.reduceat(known.facts[:, k][spot], begins) for k in range(5)], 1)
         good = sums[:, 4] == sizes
         sums[~good] = 0
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        shown = pa.DictionaryArray.from_arrays(flat.indices, pa.array([known.texts[p] for p in place], pa.large_string())).cast(pa.large_string())
-        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, shown), pa.scalar(";", shown.type))
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, known.texts.take(pa.array(spot))), pa.scalar(";", pa.large_string()))
         digests = [hashlib.sha256(j.as_buffer()).hexdigest() if g else "" for j, g in zip(joined, good, strict=True)]
         # Words of each text with their counts, then the pairs of those words.
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        cells, times = np.unique((owner * len(words) + use)[good[owner]], return_counts=True)
-        n = np.fromiter((len(known.pairs[p]) for p in place), np.int64, len(words))
-        pairs = np.concatenate([np.zeros(0, np.int64), *[known.pairs[p] for p in place]])
-        links = np.concatenate([np.zeros(0, np.int64), *[known.links[p] for p in place]])
-        word = cells % max(len(words), 1)
-        spots = np.repeat((np.cumsum(n) - n)[word] - (np.cumsum(n[word]) - n[word]), n[word]) + np.arange(int(n[word].sum()))
-        return sums[:, :4], digests, np.repeat(cells // max(len(words), 1), n[word]), pairs[spots], np.repeat(times, n[word]) * links[spots]
+        owner, n = np.repeat(np.arange(len(texts)), sizes), len(place)
+        cells, times = np.unique((owner * n + use)[good[owner]], return_counts=True)
+        pairs, each = known.pairs_of(place[cells % n])
+        return sums[:, :4], digests, np.repeat(cells // n, each), pairs, np.repeat(times, each)
+
+
+def runs_of(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... for lengths[0] numbers, then the same for the others."""
+    return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
 def radix_of(pairs: np.ndarray) -> np.ndarray:
@@ -207,22 +251,34 @@ def restored(data: bytes, n: int) -> list[np.ndarray]:
 
 def run_parts(text: np.ndarray, pair: np.ndarray, links: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
     """(radix, records, pairs, documents) of a run: distinct pairs in order, as differences, with their numbers of documents; then the documents of each, as differences, with their links."""
-    names, code = np.unique(pair, return_inverse=True)
-    width = int(text.max(initial=0)) + 1
-    cells, spot = np.unique(code * width + text, return_inverse=True)
-    total = np.bincount(spot, links, len(cells)).astype(np.int64)
+    coded = pa.array(pair).dictionary_encode()
+    names = coded.dictionary.to_numpy()
+    order = np.argsort(names)
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    names, cells, width = names[order], rank[coded.indices.to_numpy()] * (int(text.max(initial=0)) + 1) + text, int(text.max(initial=0)) + 1
+    bits = int(links.max(initial=0)).bit_length()
+    if (len(names) * width).bit_length() + bits < 63:
+        packed = np.sort(cells << bits | links)  # sorted with its links in the last digits
+        cells, links = packed >> bits, packed & (2**bits - 1)
+    else:
+        by_cell = np.argsort(cells, kind="stable")
+        cells, links = cells[by_cell], links[by_cell]
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    cells, total = cells[first], np.add.reduceat(links, first) if len(first) else links
     code, text = cells // width, cells % width
     n = np.bincount(code, minlength=len(names))
     digit = radix_of(names)
     for r in np.unique(digit):
-        own, rows = digit == r, digit[code] == r
+        own, rows = digit == r, (digit == r)[code]
+        texts = text[rows]
         first = np.cumsum(n[own]) - n[own]
-        step = np.diff(text[rows], prepend=0)
-        step[first] = text[rows][first]
-        yield int(r), int(rows.sum()), squeezed(np.diff(names[own], prepend=0), n[own]), squeezed(step, total[rows])
+        step = np.diff(texts, prepend=0)
+        step[first] = texts[first]
+        yield int(r), len(texts), squeezed(np.diff(names[own], prepend=0), n[own]), squeezed(step, total[rows])
 
 
-def runs_of(docs: DataFrame, a: str, b: str) -> DataFrame:
+def runs_in(docs: DataFrame, a: str, b: str) -> DataFrame:
     """A row per document (columns of DOCUMENT) and a row per run and radix (run and columns of PART), written to the shared folder."""
     schema = pa.schema([("run", pa.int64()), ("ordinal", pa.int32()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("radix", pa.int32()), ("records", pa.int64()), ("pairs", pa.binary()), ("documents", pa.binary())])
 
@@ -341,7 +397,7 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     a and b: vocabulary files on the driver and all executors, as Aligner takes them. A text that is null, empty, or not given back byte for byte by either side has no tokens: zeros, and an empty digest. Rows stay as they are: repeated ids or texts are
     documents of their own, null ids stay null; other columns are left out. Counts are over all rows.
     """
-    rows = runs_of(docs, a, b)
+    rows = runs_in(docs, a, b)
     parts = rows.filter("radix IS NOT NULL").select("run", "radix", "records", "pairs", "documents")
     parts, salts = dealt(parts)
     counts = staged(counted(parts), "alignment-counts")
