@@ -8,6 +8,7 @@ run of n lines in common are an interval of the array between prefixes shorter t
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,12 +135,30 @@ def suffix_array(rounds: list[DataFrame]) -> DataFrame:
     return staged(pairs.select("i", *PLACE, "lcp"), "lines-array")
 
 
-def intervals(array: DataFrame, depth: int) -> DataFrame:
-    """n, left, d, t, pos: for each suffix of array(i, d, t, pos, lcp, depths) and each of its depths n, where the interval of suffixes with the same n lines begins.
+def previous_smaller(lcp: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """For each (row, n), rows ascending: the last place up to row whose prefix is shorter than n, -1 if there is none; then the places, and their prefixes, that answer for rows to come.
 
-    depth: the largest of all.
+    One pass for all n, over a stack of places whose prefixes ascend.
     """
-    schema = "n int, i long, left long, block long, d long, t long, pos long"
+    out, places, prefixes, at, end = np.full(len(row), -1, np.int64), [], [], 0, len(row)
+    rows, depths = row.tolist(), n.tolist()
+    for i, value in enumerate(lcp.tolist()):
+        while prefixes and prefixes[-1] >= value:
+            prefixes.pop()
+            places.pop()
+        prefixes.append(value)
+        places.append(i)
+        while at < end and rows[at] == i:
+            k = bisect_left(prefixes, depths[at])
+            if k:
+                out[at] = places[k - 1]
+            at += 1
+    return out, places, prefixes
+
+
+def intervals(array: DataFrame) -> DataFrame:
+    """n, left, d, t, pos: for each suffix of array(i, d, t, pos, lcp, depths) and each of its depths n, where the interval of suffixes with the same n lines begins."""
+    schema = "n int, i long, left long, block long, d long, t long, pos long, upto int"
 
     def scan(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
@@ -147,41 +166,47 @@ def intervals(array: DataFrame, depth: int) -> DataFrame:
         lists = table.column("depths").combine_chunks()
         sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         row, n = np.repeat(np.arange(len(i)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
-        left = np.full(len(row), -1, np.int64)
-        for m in np.unique(n):
-            edges, own = np.flatnonzero(lcp < m), np.flatnonzero(n == m)
-            k = np.searchsorted(edges, row[own], "right") - 1
-            left[own[k >= 0]] = i[edges[k[k >= 0]]]
-        # For later blocks: the last place at which an interval of each depth can begin.
-        ends = np.array([np.flatnonzero(lcp < m)[-1] if (lcp < m).any() else -1 for m in range(1, depth + 1)])
-        known = np.flatnonzero(ends >= 0)
-        block = i[0] // BLOCK
-        none = np.full(len(known), -1, np.int64)
-        place = [np.concatenate([table.column(c).to_numpy()[row], none]) for c in PLACE]
-        values = [np.concatenate([n, known + 1]).astype(np.int32), np.concatenate([i[row], none]), np.concatenate([left, i[ends[known]]]), np.full(len(row) + len(known), block), *place]
-        return pa.table(dict(zip(("n", "i", "left", "block", *PLACE), values, strict=True)))
+        found, places, prefixes = previous_smaller(lcp, row, n)
+        left = np.where(found >= 0, i[found], -1)
+        # For later blocks: the last place of this one at which an interval can begin, for depths above its prefix, up to the next one's.
+        k, least = len(places), np.minimum(prefixes, 2**31 - 2) + 1
+        none, block = np.full(k, -1, np.int64), i[0] // BLOCK
+        values = [np.concatenate([n, least]).astype(np.int32), np.concatenate([i[row], none]), np.concatenate([left, i[places]]), np.full(len(row) + k, block)]
+        values += [np.concatenate([table.column(c).to_numpy()[row], none]) for c in PLACE]
+        upto = np.concatenate([np.zeros(len(row), np.int64), np.append(least[1:] - 1, 2**31 - 1)]).astype(np.int32)
+        return pa.table(dict(zip(("n", "i", "left", "block", *PLACE, "upto"), [*values, upto], strict=True)))
 
     found = staged(array.withColumn("block", F.floor(F.col("i") / BLOCK)).groupBy("block").applyInArrow(scan, schema), "lines-intervals")
-    tests = found.filter("i >= 0")
+    tests, stacks = found.filter("i >= 0").drop("upto"), found.filter("i < 0").select("n", "upto", "block", "left")
     inside, across = tests.filter("left >= 0"), tests.filter("left < 0").drop("left")
-    # A row per block and depth, so a 65,536th of the array for each depth: where intervals begin that reach into a block.
-    ends = found.filter("i < 0").select("n", "block", "left").unionByName(across.select("n", "block", F.lit(None).cast("long").alias("left")).distinct())
+    # Depths that reach into a block from before: no more than there are run lengths; each block says where its intervals of these depths begin.
+    depths = [r.n for r in across.select("n").distinct().collect()]
+    if not depths:
+        return inside.select("n", "left", *PLACE)
+    some = F.filter(F.array(*map(F.lit, sorted(depths))), lambda x: x.between(F.col("n"), F.col("upto")))
+    ends = stacks.select(F.explode(some).alias("n"), "block", "left").unionByName(across.select("n", "block", F.lit(None).cast("long").alias("left")).distinct())
     before = F.last("left", True).over(W.partitionBy("n").orderBy("block").rangeBetween(W.unboundedPreceding, -1))
     begins = ends.withColumn("begin", before).filter("left IS NULL").select("n", "block", F.col("begin").alias("left"))
     return inside.select("n", "left", *PLACE).unionByName(across.join(begins, ["n", "block"]).select("n", "left", *PLACE))
 
 
 def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
-    """d, t, runs: the runs (first line, lines) of each document that begin with the same lines, min_words words or more, as an earlier place does."""
+    """d, t, runs: the runs (first line, lines) of each document that begin with the same lines, min_words words or more, as an earlier place does.
+
+    Where a copy overlaps the first one, in the same document, only its lines behind the first one count.
+    """
     places = staged(line_places(docs, min_words).distinct(), "lines-places")
-    repeated = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written, as below, so that Spark can split the rows of a line or run that is everywhere: both sides of the join are plain exchanges.
+    repeated = staged(places.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "lines-often")
     lines = staged(places.join(repeated, ["h1", "h2"]), "lines-repeated")
     depth = lines.agg(F.max(F.array_max("depths"))).first()[0] or 1
     array = suffix_array(rank_rounds(lines.drop("depths"), depth))
-    runs = staged(intervals(array.join(lines.select(*PLACE, "depths"), PLACE), depth), "lines-runs")
-    # Written, so that Spark can split a hot run's rows in the join.
+    runs = staged(intervals(array.join(lines.select(*PLACE, "depths"), PLACE)), "lines-runs")
     first = staged(runs.groupBy("n", "left").agg(F.min(F.struct(*PLACE)).alias("first")), "lines-first")
     later = runs.join(first, ["n", "left"]).filter(F.struct(*PLACE) > F.col("first"))
+    same = (F.col("d") == F.col("first.d")) & (F.col("t") == F.col("first.t"))
+    begin = F.when(same, F.greatest("pos", F.col("first.pos") + F.col("n"))).otherwise(F.col("pos"))
+    later = later.select("d", "t", begin.alias("pos"), (F.col("pos") + F.col("n") - begin).cast("int").alias("n"))
     return later.groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
 
@@ -190,7 +215,8 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
 
     Lines are what newlines part; white space parts words. A run of lines that hold min_words words or more and
     stood before, in a document with a smaller doc_id (then smaller hash of the text) or earlier in its own, is
-    deleted; the first copy stays. Shorter repeats stay. A null text stays null with 0 lines; an empty one has
+    deleted; the first copy stays, and where a later one overlaps it, as in a line repeated many times, only the
+    lines behind it go: what is deleted stands, line for line, in what is kept. Shorter repeats stay. A null text stays null with 0 lines; an empty one has
     one line; rows that repeat both id and text are one document and get one result each; null ids come first.
     Columns of docs named n_lines or n_removed are replaced.
     """

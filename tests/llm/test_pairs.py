@@ -213,19 +213,22 @@ def test_long_and_repeated_items(spark, monkeypatch):
 
 
 def brute_lines(docs, least):
+    """Runs that hold `least` words and stood before go; each stretch of `least` words or more, begun or ended by any line, is looked for on its own, with its first place."""
     lines = {i: t.split("\n") for i, t in docs}
-    places = [(i, p) for i in sorted(lines) for p in range(len(lines[i]))]
-    gone = {i: set() for i in lines}
-    for n, (i, p) in enumerate(places):
-        best = 0
-        for j, q in places[:n]:
-            m = 0
-            while p + m < len(lines[i]) and q + m < len(lines[j]) and lines[i][p + m] == lines[j][q + m]:
-                m += 1
-            best = max(best, m)
-        if best and sum(len(x.split()) for x in lines[i][p : p + best]) >= least:
-            gone[i] |= set(range(p, p + best))
-    return {i: "\n".join(x for p, x in enumerate(lines[i]) if p not in gone[i]) for i in lines}
+    gone, first = {i: set() for i in lines}, {}
+    for i in sorted(lines):
+        words = [len(x.split()) for x in lines[i]]
+        for p in range(len(words)):
+            fits = [n for n in range(1, len(words) - p + 1) if sum(words[p : p + n]) >= least]
+            # The shortest from the line on, and those that lose their words without their first line.
+            for n in [n for k, n in enumerate(fits) if k == 0 or sum(words[p + 1 : p + n]) < least]:
+                run = tuple(lines[i][p : p + n])
+                j, q = first.setdefault(run, (i, p))
+                gone[i] |= {x for x in range(p, p + n) if (j, q) != (i, p) and not (j == i and x < q + n)}
+    kept = {i: "\n".join(x for p, x in enumerate(lines[i]) if p not in gone[i]) for i in lines}
+    left = {x for i in lines for p, x in enumerate(lines[i]) if p not in gone[i]}
+    assert all(x in left for i in lines for x in lines[i])  # nothing is lost
+    return kept
 
 
 def test_line_runs_equal_brute_force(spark):
@@ -239,6 +242,38 @@ def test_line_runs_equal_brute_force(spark):
         assert all(r.n_lines == dict(docs)[r.doc_id].count("\n") + 1 for r in found)
 
 
+def test_runs_that_overlap_themselves_keep_a_copy(spark):
+    five = "one two three four five"
+    docs = [(1, "\n".join(["lorem"] * 120)), (2, "\n".join(["head", *[five] * 40, "tail"])), (3, "\n".join(["lorem"] * 60)), (4, "\n".join(["x y", "z"] * 60))]
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, [(i, t, None, None, 0) for i, t in docs])).collect()}
+    assert found[1] == "\n".join(["lorem"] * 50) and found[3] == ""
+    assert found[2] == "\n".join(["head", *[five] * 10, "tail"])
+    assert len(found[4].split()) in (50, 51, 52)
+    assert found == brute_lines(docs, 50)
+
+
+def test_many_blank_lines_cost_one_pass(spark):
+    words = " ".join(f"w{i}" for i in range(25))
+    text = words + "\n" * 20_000 + words + " end"
+    docs = documents(spark, [(1, text, None, None, 0), (2, text, None, None, 0), (3, "\n" * 20_000, None, None, 0)])
+    found = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).collect()}
+    assert found == {1: 0, 2: 20_001, 3: 0}
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(1)
+    lcp = rng.integers(0, 6, 200)
+    row = np.sort(rng.integers(0, 200, 500))
+    n = rng.integers(1, 8, 500)
+    found, places, prefixes = line_dedup.previous_smaller(lcp, row, n)
+    for r, m, f in zip(row, n, found, strict=True):
+        below = [j for j in range(r + 1) if lcp[j] < m]
+        assert f == (below[-1] if below else -1)
+    for m in range(1, 8):
+        below = [j for j in range(200) if lcp[j] < m]
+        assert [p for p, x in zip(places, prefixes, strict=True) if x < m][-1:] == below[-1:]
+
+
 def test_odd_lines(spark):
     long = "\n".join(f"w{i} " * 60 for i in range(3))
     docs = documents(spark, [(1, long, None, None, 0), (2, long, None, None, 0), (None, long, None, None, 0), (3, None, None, None, 0), (1, long, None, None, 0)])
@@ -282,7 +317,7 @@ def test_suffix_array_and_prefixes_equal_a_naive_sort(spark, monkeypatch, block)
     keys = [key(f) for f in found]
     assert keys == sorted(keys)
     # The interval of each suffix and depth: all suffixes with the same lines, and no other.
-    left = {(r.n, r.d, r.pos): r.left for r in line_dedup.intervals(array.join(rows.select("d", "t", "pos", "depths"), ["d", "t", "pos"]), 9).collect()}
+    left = {(r.n, r.d, r.pos): r.left for r in line_dedup.intervals(array.join(rows.select("d", "t", "pos", "depths"), ["d", "t", "pos"])).collect()}
     index = {f[:3]: i for i, f in enumerate(found)}
     for p in places:
         for n in depths(p[0], p[2]):
