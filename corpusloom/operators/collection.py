@@ -9,7 +9,6 @@ other writer has created it. What a batch writes is in proportion to what change
 
 from __future__ import annotations
 
-import json
 import uuid
 from functools import reduce
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.functions.paths import is_test, language, metadata_id, path_segments, point_id
+from corpusloom.plans.log import Log
 from corpusloom.plans.staging import staged
 
 GIT = ["commit_hash", "commit_author", "commit_email", "commit_date", "commit_subject"]
@@ -49,7 +49,7 @@ class Collection:
     """A named collection in a folder that all of the cluster shares."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self.log = spark, folder.rstrip("/"), Log(spark, folder)
 
     def exists(self) -> bool:
         return self._read("meta") is not None
@@ -72,7 +72,7 @@ class Collection:
                 raise ValueError(f"the collection's vectors have {have.dim} dimensions, not {dim}")
             return self
         self.spark.createDataFrame([(dim, vocabulary, buckets)], "dim int, vocabulary int, buckets int").coalesce(1).write.parquet(f"{self.folder}/meta")
-        self._commit({"version": 0, "data": [], "dropped": []})
+        self.log.commit({"version": 0, "data": [], "dropped": []})
         return self
 
     def meta(self):
@@ -81,34 +81,9 @@ class Collection:
             raise FileNotFoundError(f"no collection in {self.folder}")
         return found.first()
 
-    # ------------------------------------------------------------ the log
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _names(self, folder: str) -> list[str]:
-        fs, path = self._path(folder)
-        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
-
     def _state(self) -> dict:
         """The last entry of the log: version, and the folders of points and marks that it needs."""
-        last = max(n for n in self._names("log") if n.endswith(".json"))
-        fs, path = self._path(f"log/{last}")
-        stream = fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
-
-    def _commit(self, state: dict) -> None:
-        fs, path = self._path(f"log/{state['version']:012d}.json")
-        try:
-            out = fs.create(path, False)
-        except Exception as e:
-            raise RuntimeError(f"version {state['version']} has been written by another; read again and repeat") from e
-        out.write(bytearray(json.dumps(state), "utf-8"))
-        out.close()
+        return self.log.last()
 
     @property
     def version(self) -> int:
@@ -162,7 +137,7 @@ class Collection:
             dropped.append(attempt)
         elif data == state["data"]:
             return state["version"]
-        self._commit({"version": version, "data": data, "dropped": dropped})
+        self.log.commit({"version": version, "data": data, "dropped": dropped})
         return version
 
     def upsert(self, new: DataFrame, mode: str = "replace") -> int:
@@ -181,20 +156,14 @@ class Collection:
         version = state["version"] + 1
         rows = self._live(state).withColumn("a", F.lit(attempt)).withColumn("v", F.lit(version))
         rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("filepath"), F.lit(4))).write.partitionBy("a", "v", "bucket").mode("append").parquet(f"{self.folder}/data")
-        there = f"a={attempt}" in self._names("data")
-        self._commit({"version": version, "data": [attempt] if there else [], "dropped": []})
+        there = f"a={attempt}" in self.log.names("data")
+        self.log.commit({"version": version, "data": [attempt] if there else [], "dropped": []})
         return version
 
     def vacuum(self) -> int:
         """Delete folders and log entries that the last version doesn't need, those of broken writes too; not while others read or write."""
-        state, removed = self._state(), 0
-        wanted = {"data": {f"a={x}" for x in state["data"]}, "dropped": set(state["dropped"]), "log": {f"{state['version']:012d}.json"}}
-        for folder, keep in wanted.items():
-            for name in self._names(folder):
-                if name not in keep and not name.startswith(("_", ".")):
-                    fs, path = self._path(f"{folder}/{name}")
-                    removed += fs.delete(path, True)
-        return removed
+        state = self._state()
+        return self.log.keep_only({"data": {f"a={x}" for x in state["data"]}, "dropped": set(state["dropped"]), "log": {Log.entry(state["version"])}})
 
     def count(self) -> int:
         """Points, 0 for no collection."""
@@ -219,8 +188,7 @@ class Collection:
 
     def drop(self) -> None:
         """Remove the collection's folder."""
-        fs, path = self._path("")
-        fs.delete(path, True)
+        self.log.remove("")
 
 
 def _fields() -> list[str]:

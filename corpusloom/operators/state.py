@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, last_modified timestamp, checksum string, chunk_count int, indexed_at timestamp, embed_retries int, last_embed_attempt double, failed boolean"
+#: What a batch adds to a state: rows that replace a path's row, or say that its file is gone.
+CHANGES = f"{SCHEMA}, gone boolean"
 
 
 def empty(spark: SparkSession) -> DataFrame:

@@ -23,13 +23,13 @@ def to_points(files: DataFrame, provider, *, strategy: str = "ast", root: str |
     return rows.withColumn("sparse", F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")))
 
 
-def index_changes(changes: DataFrame, collection: Collection, state: DataFrame, provider, *, root: str, log: DataFrame | None = None, tracked: DataFrame | None = None, strategy: str = "ast", **window: int) -> DataFrame:
-    """Bring a collection up to date with changed files (rows of codefs); returns the new state.
+def index_changes(changes: DataFrame, collection: Collection, state: DataFrame, provider, *, root: str, latest: DataFrame | None = None, tracked: DataFrame | None = None, strategy: str = "ast", **window: int) -> DataFrame:
+    """Bring a collection up to date with changed files (rows of codefs.SCHEMA); returns what changes in the state (state.CHANGES).
 
-    Checksums are taken after the modification time has ruled files out. All changes are one version of the
+    state: rows of these files at least. Checksums are taken after the modification time has ruled files out. All changes are one version of the
     collection, and come before the state: if a batch runs again after a failure, the same ids are written again. A file that the
-    provider cannot embed keeps its old points; its state counts the failure, and the other files go on. log: commits
-    (versions.commit_log); tracked: the only files to take (versions.tracked_files).
+    provider cannot embed keeps its old points; its state counts the failure, and the other files go on. latest: their last
+    commits (versions.latest_commits); tracked: the only files to take (versions.tracked_files).
     """
     gone = changes.filter("change = 'delete'").select(F.col("path").alias("filepath"))
     same = state.select("path", F.col("last_modified").alias("mtime"))
@@ -37,7 +37,7 @@ def index_changes(changes: DataFrame, collection: Collection, state: DataFrame,
     todo = staged(should_reindex(files, state).filter("reindex").drop("reindex"), "todo")
     text = todo.select(F.col("path").alias("filepath"), extracted().alias("content")).filter(F.col("content").isNotNull())
     # Written, so that documents are extracted once, however often the plan below reads them.
-    text = staged(text if log is None else with_commits(text, log), "texts")
+    text = staged(text if latest is None else with_commits(text, latest), "texts")
     made = staged(to_points(text, provider, strategy=strategy, root=root, buckets=collection.meta().buckets, keep_going=True, **window), "points")
     failed = staged(made.filter("dense IS NULL").select("filepath").distinct(), "failed")
     new = made.join(failed, "filepath", "left_anti")
@@ -46,8 +46,11 @@ def index_changes(changes: DataFrame, collection: Collection, state: DataFrame,
     collection.apply(new, gone.unionByName(emptied))
     counts = new.groupBy(F.col("filepath").alias("path")).agg(F.count("*").alias("chunk_count"))
     done = tried.select("path", "mtime", "sha256").join(counts, "path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-    left = state.join(gone.withColumnRenamed("filepath", "path"), "path", "left_anti")
-    left = after_failure(left, failed.withColumnRenamed("filepath", "path"), F.unix_timestamp(F.current_timestamp()).cast("double"))
-    out = staged(after_success(left, done, F.current_timestamp()), "state")
+    own = state.join(failed.withColumnRenamed("filepath", "path"), "path", "left_semi")
+    counted = after_failure(own, failed.withColumnRenamed("filepath", "path"), F.unix_timestamp(F.current_timestamp()).cast("double"))
+    made = after_success(counted, done, F.current_timestamp()).withColumn("gone", F.lit(False))
+    lost = gone.select(F.col("filepath").alias("path")).join(done.select("path"), "path", "left_anti")
+    lost = lost.select("path", *[F.lit(None).cast(f.dataType).alias(f.name) for f in made.schema if f.name not in ("path", "gone")], F.lit(True).alias("gone"))
+    out = staged(made.unionByName(lost), "state")
     collection.mark_indexed(root)
     return out

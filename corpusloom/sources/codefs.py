@@ -1,25 +1,36 @@
-"""`codefs`: files below a directory as a batch or streaming source.
+"""Files below a directory: a listing made by tasks, their contents, and a feed of what has changed.
 
-Unlike Spark's file source it returns names that begin with an underscore, empty files, and files that changed
-since the last batch; hidden and excluded directories are pruned before they are entered. A read, of a batch or of
-a stream's changes, has a partition per group of files; contents are read in the tasks.
+Unlike Spark's file source this returns names that begin with an underscore, and empty files; hidden and excluded
+directories are pruned before they are entered. Directories are listed, and contents read, in tasks, through
+Arrow's file systems: a root is a path that all executors see, or a URI such as s3://bucket/folder.
+
+The feed is a folder of Parquet: the last snapshot of the listing, and change files of bounded size, which a stream
+takes a file at a time (Spark's own file source keeps its place). No list of paths passes the driver.
 """
 
 from __future__ import annotations
 
 import fnmatch
-import hashlib
-import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusloom.functions.paths import DOCUMENT_SUFFIXES, EXCLUDED_DIRS, NAMES, TEXT_SUFFIXES
+from corpusloom.plans.log import Log
+from corpusloom.plans.staging import clean_up, staged
 
 SCHEMA = "path string, name string, suffix string, mtime timestamp, length long, content binary, change string"
+LISTED = "path string, mtime_ns long, length long"
+CHANGE = "path string, mtime_ns long, length long, change string"
 
 
 def ignore_rules(lines: list[str]) -> list[tuple[bool, re.Pattern]]:
@@ -46,112 +57,196 @@ def ignored(path: str, rules: list[tuple[bool, re.Pattern]]) -> bool:
     return out
 
 
-def walk(root: str, gitignore: bool = True) -> Iterator[tuple[str, os.stat_result]]:
-    """Supported files below root, pruned and sorted."""
-    rules = []
-    if gitignore and os.path.exists(f"{root}/.gitignore"):
-        with open(f"{root}/.gitignore", encoding="utf-8", errors="replace") as f:
-            rules = ignore_rules(f.readlines())
-    for folder, dirs, names in os.walk(root):
-        inside = os.path.relpath(folder, root)
-        rel = lambda n, inside=inside: n if inside == "." else f"{inside}/{n}"
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in EXCLUDED_DIRS and not ignored(f"{rel(d)}/", rules))
-        for name in sorted(names):
-            suffix = os.path.splitext(name)[1]
-            if (suffix in (*TEXT_SUFFIXES, *DOCUMENT_SUFFIXES) or name in NAMES) and not ignored(rel(name), rules):
-                try:
-                    yield f"{folder}/{name}", os.stat(f"{folder}/{name}")
-                except FileNotFoundError:
-                    continue
-
-
-def _row(path: str, mtime_ns: int | None, change: str) -> tuple:
-    import datetime
+class Root:
+    """A directory on some file system, and the rules of the ignore file in it."""
+
+    def __init__(self, root: str, gitignore: bool = True):
+        self.root = root if "://" in root else os.path.abspath(root)
+        self.rules: list[tuple[bool, re.Pattern]] = []
+        fs, path = self.opened()
+        if gitignore and fs.get_file_info(f"{path}/.gitignore").type == pafs.FileType.File:
+            with fs.open_input_stream(f"{path}/.gitignore") as f:
+                self.rules = ignore_rules(f.read().decode("utf-8", "replace").splitlines(keepends=True))
 
+    def opened(self) -> tuple[pafs.FileSystem, str]:
+        fs, path = pafs.FileSystem.from_uri(self.root) if "://" in self.root else (pafs.LocalFileSystem(), self.root)
+        return fs, path.rstrip("/")
+
+    def entries(self, folder: str) -> tuple[list[tuple[str, int, int]], list[str]]:
+        """Supported files (path, mtime_ns, length) and directories to enter, of one directory; nothing of one that has gone."""
+        fs, top = self.opened()
+        try:
+            found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+        except OSError:
+            return [], []
+        files, dirs = [], []
+        for e in sorted(found, key=lambda e: e.path):
+            name, inside = e.base_name, e.path[len(top) + 1 :]
+            if e.type == pafs.FileType.Directory:
+                if not name.startswith(".") and name not in EXCLUDED_DIRS and not ignored(f"{inside}/", self.rules):
+                    dirs.append(e.path)
+            elif e.type == pafs.FileType.File and (os.path.splitext(name)[1] in (*TEXT_SUFFIXES, *DOCUMENT_SUFFIXES) or name in NAMES) and not ignored(inside, self.rules):
+                files.append((e.path, e.mtime_ns or 0, e.size))
+        return files, dirs
+
+    def walk(self, folders: list[str], most: int | None = None) -> Iterator[tuple[list[tuple[str, int, int]], list[str]]]:
+        """(files, ()) of directories and those below them; once `most` entries are listed, the directories not entered yet, as (none, directories)."""
+        todo, seen = list(reversed(folders)), 0
+        while todo:
+            if most is not None and seen >= most:
+                yield [], todo
+                return
+            files, dirs = self.entries(todo.pop())
+            seen += len(files) + len(dirs) + 1
+            todo += reversed(dirs)
+            yield files, []
+
+
+def listing(spark: SparkSession, root: str, *, gitignore: bool = True, most: int = 20_000) -> DataFrame:
+    """path, mtime_ns, length of the supported files below root, written to the shared folder.
+
+    A task lists directories and what is below them, but hands on what it hasn't entered after `most` entries; those are dealt out again, so that
+    a large subtree spreads, and a small tree is one job.
+    """
+    at = Root(root, gitignore)
+    schema = pa.schema([("path", pa.string()), ("mtime_ns", pa.int64()), ("length", pa.int64()), ("folder", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for files, dirs in at.walk(batch.column("folder").to_pylist(), most):
+                rows = [(*f, None) for f in files] + [(None, None, None, d) for d in dirs]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    todo, parts = spark.createDataFrame([(at.opened()[1],)], "folder string"), []
+    while True:
+        found = staged(todo.mapInArrow(run, f"{LISTED}, folder string"), "listing")
+        parts.append(found.filter("path IS NOT NULL").drop("folder"))
+        todo = found.filter("folder IS NOT NULL").select("folder")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        todo = todo.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
+def contents(changes: DataFrame, root: str) -> DataFrame:
+    """Rows of SCHEMA for changes(path, mtime_ns, change), read in tasks, a file at a time; a file that cannot be read any more counts as deleted."""
+    at = Root(root, gitignore=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = at.opened()
+        schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("suffix", pa.string()), ("mtime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary()), ("change", pa.string())])
+        for batch in batches:
+            for path, mtime, change in zip(*[batch.column(c).to_pylist() for c in ("path", "mtime_ns", "change")], strict=True):
+                row = _row(fs, path, mtime, change)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
+    return changes.select("path", "mtime_ns", "change").mapInArrow(run, SCHEMA)
+
+
+def _row(fs: pafs.FileSystem, path: str, mtime_ns: int | None, change: str) -> tuple:
     data = None
     if change != "delete":
         try:
-            with open(path, "rb") as f:
+            with fs.open_input_stream(path) as f:
                 data = f.read()
         except OSError:
             change = "delete"
-    when = None if mtime_ns is None else datetime.datetime.fromtimestamp(mtime_ns / 1e9)
     name = os.path.basename(path)
-    return (path, name, os.path.splitext(name)[1], when, None if data is None else len(data), data, change)
+    return (path, name, os.path.splitext(name)[1], None if mtime_ns is None else mtime_ns // 1000, None if data is None else len(data), data, change)
 
 
-class _Files(InputPartition):
-    def __init__(self, files: list[tuple]):
-        self.files = files
+def files(spark: SparkSession, root: str, *, gitignore: bool = True) -> DataFrame:
+    """Rows of SCHEMA for all supported files below root."""
+    return contents(listing(spark, root, gitignore=gitignore).withColumn("change", F.lit("upsert")).repartition(4 * spark.sparkContext.defaultParallelism), root)
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.root, self.group = os.path.abspath(options["path"]), int(options.get("filesPerPartition", 256))
-        self.gitignore = options.get("gitignore", "true").lower() == "true"
+class ChangeFeed:
+    """What has changed below root since the last look, as change files of bounded size in a shared folder.
 
-    def partitions(self) -> list[_Files]:
-        files = [(p, s.st_mtime_ns) for p, s in walk(self.root, self.gitignore)]
-        return [_Files(files[i : i + self.group]) for i in range(0, len(files), self.group)] or [_Files([])]
+    folder: `snapshots`, `changes` and `log`, whose last entry names the snapshot that counts. A look that breaks before its entry is
+    made is repeated by the next one; its change files may then come twice, which does no harm to an index.
+    """
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for path, mtime in partition.files:
-            yield _row(path, mtime, "upsert")
+    def __init__(self, spark: SparkSession, root: str, folder: str, *, gitignore: bool = True, max_files: int = 1000, max_bytes: int = 256 * 2**20):
+        self.spark, self.root, self.folder, self.gitignore = spark, root, folder.rstrip("/"), gitignore
+        self.max_files, self.max_bytes, self.log = max_files, max_bytes, Log(spark, folder)
+
+    def snapshot(self) -> DataFrame:
+        """The listing as of the last look."""
+        last = self.log.last()
+        return self.spark.read.schema(LISTED).parquet(f"{self.folder}/snapshots/{last['name']}") if last else self.spark.createDataFrame([], LISTED)
+
+    def look(self) -> int:
+        """List the tree and write what differs from the last snapshot; how many files differ."""
+        with clean_up(self.spark):
+            last, old = self.log.last(), self.snapshot()
+            new = listing(self.spark, self.root, gitignore=self.gitignore)
+            changed = new.join(old, ["path", "mtime_ns", "length"], "left_anti").withColumn("change", F.lit("upsert"))
+            gone = old.join(new, "path", "left_anti").withColumn("change", F.lit("delete"))
+            changes = staged(numbered(changed.unionByName(gone), self.max_files, self.max_bytes), "changes")
+            n, groups = changes.agg(F.count("*"), F.countDistinct("part")).first()
+            if last is not None and not n:
+                return 0
+            version, name = (last["version"] + 1 if last else 0), uuid.uuid4().hex
+            # A file for each part: what a stream takes at a time.
+            changes.repartition(max(1, groups), "part").write.partitionBy("part").mode("append").parquet(f"{self.folder}/changes/look={name}")
+            new.write.parquet(f"{self.folder}/snapshots/{name}")
+            self.log.commit({"version": version, "name": name})
+            self.log.keep_only({"snapshots": {name}, "log": {Log.entry(version)}})
+            return n
+
+    def stream(self) -> DataFrame:
+        """A stream of CHANGE, a change file a batch; files that are done with are deleted."""
+        return self.spark.readStream.schema(f"{CHANGE}, look string, part long").option("maxFilesPerTrigger", 1).option("cleanSource", "delete").parquet(f"{self.folder}/changes").drop("look", "part")
+
+
+def numbered(changes: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
+    """changes in order of the path, in parts of at most max_files rows and max_bytes (or one file).
+
+    Rows are sorted by ranges, and each task's totals (a row per task) give its beginning; so no task sees all rows.
+    """
+    size = F.coalesce("length", F.lit(0))
+    rows = staged(changes.repartitionByRange("path").sortWithinPartitions("path").withColumn("_id", F.monotonically_increasing_id()), "changes-order")
+    task = F.shiftright("_id", 33)
+    totals = rows.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"), F.sum(size).alias("_bytes"))
+    before = W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes"))
+    own = W.partitionBy("_task").orderBy("_id")
+    rows = rows.withColumn("_task", task).withColumns({"_at": F.row_number().over(own) - 1, "_upto": F.sum(size).over(own.rowsBetween(W.unboundedPreceding, -1))})
+    rows = rows.join(F.broadcast(totals), "_task")
+    # Within a part neither the count nor the bytes before a row pass a multiple of their bound.
+    part = F.floor((F.col("_n") + F.col("_at")) / max_files) + F.floor((F.col("_bytes") + F.coalesce("_upto", F.lit(0))) / max_bytes)
+    return rows.select("path", "mtime_ns", "length", "change", part.cast("long").alias("part"))
 
 
-class _Changes(DataSourceStreamReader):
-    """Offsets name snapshots of {path: mtime}; a batch has all files that differ. Only paths and times pass the driver.
+class _Folders(InputPartition):
+    def __init__(self, folders: list[str], files: list[tuple[str, int, int]]):
+        self.folders, self.files = folders, files
 
-    Snapshots are files of their own in the folder `snapshots`, so that offsets stay small; without that option they are the offsets.
-    """
+
+class _Reader(DataSourceReader):
+    """A partition for each directory in the root, walked by its task, and one for the root's own files."""
 
     def __init__(self, options):
-        self.root, self.group = os.path.abspath(options["path"]), int(options.get("filesPerPartition", 256))
-        self.gitignore, self.folder = options.get("gitignore", "true").lower() == "true", options.get("snapshots")
-
-    def initialOffset(self) -> dict:
-        return {"files": "{}"}
-
-    def latestOffset(self) -> dict:
-        files = json.dumps({p: s.st_mtime_ns for p, s in walk(self.root, self.gitignore)}, sort_keys=True)
-        if not self.folder:
-            return {"files": files}
-        name = hashlib.sha256(files.encode("utf-8", "surrogateescape")).hexdigest()
-        os.makedirs(self.folder, exist_ok=True)
-        if not os.path.exists(f"{self.folder}/{name}"):
-            with open(f"{self.folder}/{name}.part", "w", encoding="utf-8", errors="surrogateescape") as f:
-                f.write(files)
-            os.replace(f"{self.folder}/{name}.part", f"{self.folder}/{name}")
-        return {"snapshot": name}
-
-    def _snapshot(self, offset: dict) -> dict[str, int]:
-        if "files" in offset:
-            return json.loads(offset["files"])
-        with open(f"{self.folder}/{offset['snapshot']}", encoding="utf-8", errors="surrogateescape") as f:
-            return json.load(f)
-
-    def commit(self, end: dict) -> None:
-        """Snapshots older than a batch that is done aren't asked for again."""
-        if "snapshot" in end:
-            done = os.stat(f"{self.folder}/{end['snapshot']}").st_mtime_ns
-            for entry in os.scandir(self.folder):
-                if entry.name != end["snapshot"] and entry.stat().st_mtime_ns < done:
-                    os.remove(entry.path)
-
-    def _difference(self, old: dict[str, int], new: dict[str, int]) -> list[tuple[str, int | None, str]]:
-        changed = [(p, m, "upsert") for p, m in sorted(new.items()) if old.get(p) != m]
-        return changed + [(p, None, "delete") for p in sorted(old) if p not in new]
-
-    def partitions(self, start: dict, end: dict) -> list[_Files]:
-        changes = self._difference(self._snapshot(start), self._snapshot(end))
-        return [_Files(changes[i : i + self.group]) for i in range(0, len(changes), self.group)] or [_Files([])]
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        return (_row(*c) for c in partition.files)
+        self.at = Root(options["path"], options.get("gitignore", "true").lower() == "true")
+
+    def partitions(self) -> list[_Folders]:
+        files, dirs = self.at.entries(self.at.opened()[1])
+        return [_Folders([], files), *(_Folders([d], []) for d in dirs)]
+
+    def read(self, partition: _Folders) -> Iterator[tuple]:
+        import datetime
+
+        fs, _ = self.at.opened()
+        for found in (partition.files, *(files for files, _ in self.at.walk(partition.folders))):
+            for path, mtime, _ in found:
+                row = list(_row(fs, path, mtime, "upsert"))
+                row[3] = datetime.datetime.fromtimestamp(row[3] / 1e6)
+                yield tuple(row)
 
 
 class CodeFiles(DataSource):
-    """Options: path; gitignore (true); filesPerPartition (256); snapshots (a folder, for streams)."""
+    """Files by name, for a batch: spark.read.format("codefs"). Options: path; gitignore (true)."""
 
     @classmethod
     def name(cls) -> str:
@@ -163,9 +258,6 @@ class CodeFiles(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(self.options)
 
-    def streamReader(self, schema) -> _Changes:
-        return _Changes(self.options)
-
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(CodeFiles)
