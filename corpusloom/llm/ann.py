@@ -1,9 +1,9 @@
 """Maximum inner product search with score-aware (anisotropic) product quantisation.
 
-Quantisation errors along a vector change its inner products with the queries that matter more than errors
-across it, so codebooks and codes minimise a loss that weighs the parallel part of the residual more. Codes have
-four bits a subspace; a query scans them through lookup tables. The length of a row's error bounds how far its
-inner product can lie above the scanned one, and every row that can be among the nearest is ranked exactly.
+A vector is a coarse centre and what is left, as a length and a direction in codes of four bits a subspace: near
+copies, which share a centre, differ by directions at their own scale. Quantisation errors along a vector change
+its inner products with the queries that matter more than errors across it, so codebooks and codes minimise a loss that weighs
+the parallel part of the error more. A query scans the codes through lookup tables; the best of each block are ranked exactly.
 """
 
 from __future__ import annotations
@@ -24,25 +24,29 @@ CENTRES = 16
 
 @dataclass
 class Codebooks:
-    """centres: (subspaces, 16, width). parallel: weight of the squared parallel error relative to the perpendicular one."""
+    """coarse: (parts, dim). centres: (subspaces, 16, width), of directions. parallel: weight of the squared parallel error relative to the perpendicular one."""
 
+    coarse: np.ndarray
     centres: np.ndarray
     parallel: float
 
-    @property
-    def dim(self) -> int:
-        return self.centres.shape[0] * self.centres.shape[2]
-
     def split(self, x: np.ndarray) -> np.ndarray:
         m, _, width = self.centres.shape
         full = np.zeros((len(x), m * width))
         full[:, : x.shape[1]] = x
         return full.reshape(len(x), m, width)
 
-    def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """(rows, subspaces) codes by coordinate descent on the anisotropic loss, from the nearest centres."""
-        parts, m = self.split(x), len(self.centres)
-        unit = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None, None]
+    def residuals(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest coarse centre of each row, and the length and direction of what is left."""
+        part = nearest_centres(x, self.coarse)
+        rest = x - self.coarse[part]
+        length = np.linalg.norm(rest, axis=1)
+        return part, length, rest / np.maximum(length, 1e-300)[:, None]
+
+    def encode(self, x: np.ndarray, way: np.ndarray, sweeps: int = 2) -> np.ndarray:
+        """(rows, subspaces) codes of directions by coordinate descent on the anisotropic loss of the vectors x, from the nearest centres."""
+        parts, m = self.split(way), len(self.centres)
+        unit = self.split(x) / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None, None]
         square = np.stack([((parts[:, j, None] - self.centres[j]) ** 2).sum(2) for j in range(m)], 1)
         along = np.stack([np.einsum("nkw,nw->nk", parts[:, j, None] - self.centres[j], unit[:, j]) for j in range(m)], 1)
         codes, rows = square.argmin(2), np.arange(len(x))
@@ -54,11 +58,9 @@ class Codebooks:
                 total = rest + along[rows, j, codes[:, j]]
         return codes.astype(np.uint8)
 
-    def decode(self, packed: np.ndarray, dim: int) -> np.ndarray:
-        """The vectors that packed codes stand for."""
-        m = len(self.centres)
-        codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, :m]
-        return self.centres[np.arange(m), codes].reshape(len(packed), -1)[:, :dim]
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (0.5 * (centres**2).sum(1) - x @ centres.T).argmin(1)
 
 
 def pack(codes: np.ndarray) -> np.ndarray:
@@ -68,26 +70,32 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return codes[:, ::2] << 4 | codes[:, 1::2]
 
 
-def train(x: np.ndarray, *, width: int = 2, threshold: float = 0.2, rounds: int = 4, seed: int = 2) -> Codebooks:
-    """Fit codebooks: k-means in each subspace, then rounds of anisotropic codes and least-squares centres.
+def train(x: np.ndarray, *, parts: int = 256, width: int = 2, threshold: float = 0.2, rounds: int = 4, seed: int = 2) -> Codebooks:
+    """Fit coarse centres by k-means, then codebooks of directions: k-means in each subspace, and rounds of anisotropic codes and least-squares centres.
 
     threshold: the cosine from which inner products matter; it sets the parallel weight (d - 1) t^2 / (1 - t^2).
     """
     rng, n = np.random.default_rng(seed), len(x)
     d = x.shape[1]
     m = -(-d // width)
-    book = Codebooks(np.zeros((m, CENTRES, width)), max(1.0, (d - 1) * threshold**2 / (1 - threshold**2)))
-    parts = book.split(x)
+    coarse = x[rng.choice(n, min(parts, n), replace=False)]
+    for _ in range(6):
+        near = nearest_centres(x, coarse)
+        for k in np.unique(near):
+            coarse[k] = x[near == k].mean(0)
+    book = Codebooks(coarse, np.zeros((m, CENTRES, width)), max(1.0, (d - 1) * threshold**2 / (1 - threshold**2)))
+    _, _, way = book.residuals(x)
+    pieces = book.split(way)
     for j in range(m):
-        centres = parts[rng.choice(n, CENTRES, replace=n < CENTRES), j]
+        centres = pieces[rng.choice(n, CENTRES, replace=n < CENTRES), j]
         for _ in range(10):
-            near = ((parts[:, j, None] - centres) ** 2).sum(2).argmin(1)
+            near = ((pieces[:, j, None] - centres) ** 2).sum(2).argmin(1)
             for k in np.unique(near):
-                centres[k] = parts[near == k, j].mean(0)
+                centres[k] = pieces[near == k, j].mean(0)
         book.centres[j] = centres
-    unit = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None, None]
+    unit = book.split(x) / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None, None]
     for _ in range(rounds):
-        codes = book.encode(x)
+        codes = book.encode(x, way)
         # Normal equations of the loss |r|^2 + (parallel - 1) (r.u)^2 in all centres at once.
         spots = (np.arange(m) * CENTRES + codes)[:, :, None] * width + np.arange(width)
         size = m * CENTRES * width
@@ -95,7 +103,7 @@ def train(x: np.ndarray, *, width: int = 2, threshold: float = 0.2, rounds: int
         design[np.arange(n)[:, None], spots.reshape(n, -1)] = unit.reshape(n, -1)
         left = (book.parallel - 1) * design.T @ design
         left[np.arange(size), np.arange(size)] += np.bincount(spots.ravel(), minlength=size) + 1e-6
-        right = np.bincount(spots.ravel(), parts.ravel(), size) + (book.parallel - 1) * design.T @ (x * unit.reshape(n, -1)[:, :d]).sum(1)
+        right = np.bincount(spots.ravel(), pieces.ravel(), size) + (book.parallel - 1) * design.T @ (way * unit.reshape(n, -1)[:, :d]).sum(1)
         # Centres without members keep their place.
         right += 1e-6 * book.centres.ravel()
         book.centres = np.linalg.solve(left, right).reshape(m, CENTRES, width)
@@ -112,7 +120,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, *, fit_rows: int = 4000, seed: int = 2) -> tuple[DataFrame, Codebooks | None]:
-    """vec_id, embedding, codes (bytes) of every usable vector, written to the shared folder; codebooks fit in one task on fit_rows of them at most, chosen by a seeded hash; of rows that share a vec_id, the least."""
+    """vec_id, embedding, part (its coarse centre), length (of the rest), codes (bytes, of its direction) of every usable vector, written to the shared folder; codebooks fit in one task on fit_rows of them at most, chosen by a seeded hash; of rows that share a vec_id, the least."""
     good = usable(vectors)
 
     def learn(rows: pd.DataFrame) -> Codebooks | None:
@@ -121,16 +129,18 @@ def build_index(vectors: DataFrame, *, fit_rows: int = 4000, seed: int = 2) -> t
 
     book = trained(one_per_id(smallest_by_hash(good, "vec_id", fit_rows, seed), "vec_id", "embedding"), learn)
     if book is None:
-        return good.select("vec_id", "embedding", F.lit(b"").alias("codes")), None
+        return good.select("vec_id", "embedding", F.lit(0).alias("part"), F.lit(0.0).alias("length"), F.lit(b"").alias("codes")), None
     sent = vectors.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 2048):
-                part = batch.iloc[a : a + 2048]
-                yield part.assign(codes=[c.tobytes() for c in pack(sent.value.encode(np.array(part["embedding"].tolist(), np.float64)))])
+                rows = batch.iloc[a : a + 2048]
+                x = np.array(rows["embedding"].tolist(), np.float64)
+                part, length, way = sent.value.residuals(x)
+                yield rows.assign(part=part.astype(np.int32), length=length, codes=[c.tobytes() for c in pack(sent.value.encode(x, way))])
 
-    return staged(good.mapInPandas(run, "vec_id long, embedding array<float>, codes binary"), "ann-index"), book
+    return staged(good.mapInPandas(run, "vec_id long, embedding array<float>, part int, length double, codes binary"), "ann-index"), book
 
 
 def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -145,17 +155,16 @@ def search(index: DataFrame, book: Codebooks | None, queries: DataFrame, *, k: i
     """query_id, rank (from 1), vec_id, score: each query's k nearest of the index by inner product, but for itself.
 
     queries(query_id, embedding). Index and queries are hashed into blocks of about `block` rows; a task scans
-    one pair of blocks and ranks the `rerank` best codes exactly, in double precision on the original vectors.
-    Then it ranks all other rows whose code's score, and the most its error can add, reach the k-th score so far:
-    the result is exact, whatever the codes, the blocks or the cluster. Ties in score go to the smaller vec_id;
-    rows that repeat a vec_id are candidates of their own. An empty index gives no rows.
+    one pair of blocks and ranks the `rerank` best vectors by code exactly, in double precision: a twentieth of a block. Equal
+    vectors are one candidate with all its ids, so that ties in score go to the smaller vec_id however many there are;
+    rows that repeat a vec_id are candidates of their own. Blocks and results don't depend on the cluster. An empty index gives no rows.
     """
     if book is None:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # Blocks as even as hashing makes them, of one size on every cluster.
     n, q = index.count(), queries.count()
     c_blocks, q_blocks = max(-(-n // block), 1), max(-(-q // block), 1)
-    rows = index.select("vec_id", "embedding", "codes", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(c_blocks)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    rows = index.select("vec_id", "embedding", "part", "length", "codes", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(c_blocks)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
     asked = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
     sent = index.sparkSession.sparkContext.broadcast(book)
 
@@ -163,42 +172,34 @@ def search(index: DataFrame, book: Codebooks | None, queries: DataFrame, *, k: i
         if not len(mine) or not len(theirs):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         book, mine = sent.value, mine.sort_values("vec_id", kind="stable")
-        ids, vectors = mine["vec_id"].to_numpy(), np.array(mine["embedding"].tolist(), np.float64)
-        codes = np.frombuffer(b"".join(mine["codes"]), np.uint8).reshape(len(mine), -1)
-        decoded, sizes = book.decode(codes, vectors.shape[1]), np.linalg.norm(vectors, axis=1)
-        # What a row's error, and single precision in the scan, can add to an inner product for each unit of the query.
-        slack = np.linalg.norm(vectors - decoded, axis=1) * (1 + 1e-9) + (codes.shape[1] + 8) * 2.0**-22 * (np.linalg.norm(decoded, axis=1) + sizes)
+        ids, every = mine["vec_id"].to_numpy(), np.array(mine["embedding"].tolist(), np.float64)
+        # Equal vectors, which come with their ids in order, are one candidate.
+        vectors, first, group = np.unique(every, axis=0, return_index=True, return_inverse=True)
+        members = np.argsort(group.ravel(), kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(group.ravel()))])
+        codes = np.frombuffer(b"".join(mine["codes"]), np.uint8).reshape(len(mine), -1)[first]
+        part, length = mine["part"].to_numpy()[first], mine["length"].to_numpy().astype(np.float32)[first]
         found = []
         for a in range(0, len(theirs), 256):
-            part = theirs.iloc[a : a + 256]
-            asked, own = np.array(part["embedding"].tolist(), np.float64), part["query_id"].to_numpy()
+            some = theirs.iloc[a : a + 256]
+            asked, own = np.array(some["embedding"].tolist(), np.float64), some["query_id"].to_numpy()
             small = np.einsum("qmw,mkw->qmk", book.split(asked), book.centres)
             if small.shape[1] % 2:
                 small = np.concatenate([small, np.zeros((len(asked), 1, CENTRES))], 1)
             tables = (small[:, ::2, :, None] + small[:, 1::2, None, :]).reshape(len(asked), -1, 256).astype(np.float32)
-            rough = scan(tables, codes)
+            rough = (asked @ book.coarse.T)[:, part] + scan(tables, codes) * length
             rough[~np.isfinite(rough)] = np.inf  # beyond single precision: ranked exactly
-            rough[own[:, None] == ids] = -np.inf
-            take = min(rerank, len(ids))
-            first = np.argpartition(rough, len(ids) - take, axis=1)[:, len(ids) - take :]
-            lengths = np.linalg.norm(asked, axis=1)
-            ranked, least = [], np.full(len(asked), -np.inf)
+            take = min(rerank, len(vectors))
+            near = np.argpartition(rough, len(vectors) - take, axis=1)[:, len(vectors) - take :]
             for i in range(len(asked)):
-                best = first[i][ids[first[i]] != own[i]]
-                exact = (vectors[best] * asked[i]).sum(1)
-                ranked.append((best, exact))
-                if len(exact) >= k:
-                    least[i] = np.partition(exact, len(exact) - k)[len(exact) - k]
-            able = (rough + lengths[:, None] * slack >= least[:, None]) & (own[:, None] != ids)
-            np.put_along_axis(able, first, False, 1)
-            # One product sieves what is left, with room for its rounding.
-            some = np.flatnonzero(able.any(0))
-            able[:, some] &= asked @ vectors[some].T >= least[:, None] - 1e-9 * lengths[:, None] * sizes[some]
-            for i, (best, exact) in enumerate(ranked):
-                rest = np.flatnonzero(able[i])
-                best, exact = np.concatenate([best, rest]), np.concatenate([exact, (vectors[rest] * asked[i]).sum(1)])
-                top = np.lexsort((ids[best], -exact))[:k]
-                found.append((np.full(len(top), own[i]), ids[best][top], exact[top]))
+                exact = (vectors[near[i]] * asked[i]).sum(1)
+                edge = np.sort(exact)[-min(k + 1, len(exact))]
+                # The k smallest ids of each, and one more for the query's own.
+                at = np.concatenate([members[bounds[v] : bounds[v + 1]][: k + 1] for v in near[i][exact >= edge]])
+                at = at[ids[at] != own[i]]
+                score = (every[at] * asked[i]).sum(1)
+                top = np.lexsort((ids[at], -score))[:k]
+                found.append((np.full(len(top), own[i]), ids[at][top], score[top]))
         return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
     near = rows.groupBy("qb", "cb").cogroup(asked.groupBy("qb", "cb")).applyInPandas(run, "query_id long, vec_id long, score double")

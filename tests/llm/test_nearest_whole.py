@@ -25,42 +25,35 @@ def found_and_recall(rows, x, queries, k=20):
     return got, hits / (k * len(queries))
 
 
-@pytest.mark.parametrize("noise", [0.001, 0.03])
-def test_a_group_of_near_copies_is_ranked_whole(spark, noise):
+@pytest.mark.parametrize("noise", [0.0, 0.001, 0.03])
+def test_a_group_of_near_copies(spark, noise):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 64))
-    x[::3] = x[0] + noise * rng.normal(size=(1000, 64))  # far more than are reranked, with codes much the same
+    x[::3] = x[0] + noise * rng.normal(size=(1000, 64))  # far more than are ranked exactly
     index, book = ann.build_index(table(spark, x))
     queries = index.filter("vec_id % 60 = 0").selectExpr("vec_id AS query_id", "embedding")
-    found = ann.search(index, book, queries, rerank=25)
-    assert found_and_recall(found, x, list(range(0, 3000, 60)))[1] == 1
+    recall = found_and_recall(ann.search(index, book, queries), x, list(range(0, 3000, 60)))[1]
+    print("near copies, noise", noise, "recall", recall)
+    assert recall >= 0.95 and (noise or recall == 1)
 
 
-@pytest.mark.parametrize("shape", ["spread", "clusters"])
-def test_recall_on_full_blocks(spark, shape):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(8192, 64))
-    if shape == "clusters":
-        x = 3 * x[rng.integers(0, 10, len(x))] + 0.1 * rng.normal(size=x.shape)
-    index, book = ann.build_index(table(spark, x))
-    queries = index.filter("vec_id % 128 = 0").selectExpr("vec_id AS query_id", "embedding")
-    got, recall = found_and_recall(ann.search(index, book, queries, block=4096, rerank=25), x, list(range(0, 8192, 128)))
-    print(shape, "recall", recall)
-    assert recall == 1
-    assert found_and_recall(ann.search(index, book, queries, block=1000), x, list(range(0, 8192, 128)))[0] == got
-
-
-def test_many_rows_in_any_partitioning(spark):
+@pytest.mark.parametrize("shape", ["spread", "clusters", "copies"])
+def test_many_rows_in_any_partitioning(spark, shape):
+    """50,000 rows: a block's 200 best by code, a twentieth, are ranked exactly, and no others."""
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(50_000, 32)) + rng.normal(size=(50, 32))[rng.integers(0, 50, 50_000)]
-    rows, queries, found = table(spark, x), list(range(0, 50_000, 1000)), []
+    x = rng.normal(size=(50_000, 32))
+    if shape == "clusters":
+        x += 3 * rng.normal(size=(50, 32))[rng.integers(0, 50, 50_000)]
+    if shape == "copies":
+        x[::3] = x[0] + 0.01 * rng.normal(size=(len(x[::3]), 32))
+    rows, queries, found = table(spark, x), list(range(0, 50_000, 500)), []
     for n in (2, 16):
         index, book = ann.build_index(rows.repartition(n))
-        asked = index.filter("vec_id % 1000 = 0").selectExpr("vec_id AS query_id", "embedding")
-        got, recall = found_and_recall(ann.search(index, book, asked, rerank=50), x, queries)
+        asked = index.filter("vec_id % 500 = 0").selectExpr("vec_id AS query_id", "embedding")
+        got, recall = found_and_recall(ann.search(index, book, asked), x, queries)
         found.append(got)
-        print("50,000 rows in", n, "partitions: recall", recall)
-        assert recall >= 0.9
+        print("50,000 rows", shape, "in", n, "partitions: recall", recall)
+        assert recall >= 0.95
     assert found[0] == found[1]
 
 

@@ -48,17 +48,17 @@ def test_nearest_of_few_and_none(spark):
 def test_anisotropic_codes_keep_the_parallel_part():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 16))
-    book = ann.train(x, threshold=0.5)
-    codes = book.encode(x)
-    decoded = np.stack([book.centres[j, codes[:, j]] for j in range(len(book.centres))], 1).reshape(len(x), -1)
-    plain = ann.Codebooks(book.centres, 1.0).encode(x, sweeps=0)
-    nearest = np.stack([book.centres[j, plain[:, j]] for j in range(len(book.centres))], 1).reshape(len(x), -1)
+    book = ann.train(x, threshold=0.5, parts=4)
+    part, length, way = book.residuals(x)
+    codes = book.encode(x, way)
+    stands_for = lambda c: book.coarse[part] + length[:, None] * np.stack([book.centres[j, c[:, j]] for j in range(len(book.centres))], 1).reshape(len(x), -1)
+    plain = ann.Codebooks(book.coarse, book.centres, 1.0).encode(x, way, sweeps=0)
     along = lambda y: (((x - y) * x).sum(1) / np.linalg.norm(x, axis=1)) ** 2
-    assert along(decoded).mean() < 0.7 * along(nearest).mean()
+    assert along(stands_for(codes)).mean() < 0.7 * along(stands_for(plain)).mean()
     q = rng.normal(size=(3, 16))
     small = np.einsum("qmw,mkw->qmk", book.split(q), book.centres)
     tables = (small[:, ::2, :, None] + small[:, 1::2, None, :]).reshape(3, -1, 256).astype(np.float32)
-    assert np.allclose(ann.scan(tables, ann.pack(codes)), q @ decoded.T, atol=1e-4)
+    assert np.allclose(q @ book.coarse[part].T + ann.scan(tables, ann.pack(codes)) * length, q @ stands_for(codes).T, atol=1e-4)
 
 
 # ---------------------------------------------------------------- joins
