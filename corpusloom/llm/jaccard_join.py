@@ -114,7 +114,8 @@ def meetings(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
             break
         if depth == DEPTH:
             # What no path has split is nearly alike throughout: all go to the bucket's smallest set, and exact comparison decides.
-            hub = large.groupBy("node").agg(F.min("set_id").alias("b"))
+            # Written, as other minima and counts below, so that Spark can split a hot bucket's rows: both sides of the join are plain exchanges.
+            hub = staged(large.groupBy("node").agg(F.min("set_id").alias("b")), "join-hubs")
             found.append(large.join(hub, "node").select(F.col("set_id").alias("a"), "b"))
             break
         at = f"{runs + (depth - 1) * spare} + pmod(xxhash64(node, {depth}), {spare})"
@@ -257,7 +258,8 @@ def classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: floa
     sets = staged(sets, "join-sets")
     met = components(meetings(sets.select("set_id", "n_shingles", "tokens"), threshold, recall), "join-met")
     met = staged(met.select(F.col("node").alias("set_id"), F.col("root").alias("group")).join(sets.select("set_id", "copies", "one", "n_shingles"), "set_id"), "join-candidates")
-    blocks = met.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("n_blocks"))
+    n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    blocks = staged(met.groupBy("group").agg(n_blocks.alias("n_blocks")), "join-blocks")
     placed = met.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n_blocks")).cast("int"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,7 +285,8 @@ def classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: floa
         linked = linked.unionByName(components(far, "join-linked").select(F.col("node").alias("set_id"), "root"))
     counts = compared.filter("links IS NOT NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
     named = sets.select("set_id", "copies", "one").join(linked, "set_id", "left").join(counts, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    lowest = named.groupBy("root").agg(F.min("one").alias("first"))
+    named = staged(named, "join-roots")
+    lowest = staged(named.groupBy("root").agg(F.min("one").alias("first")), "join-lowest")
     named = named.join(lowest, "root").select("set_id", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     whole = rows.join(staged(named, "join-named"), "set_id", "left")
     alone = F.col("set_id").isNull()
