@@ -127,7 +127,7 @@ def _cross(grad: np.ndarray, hess: np.ndarray, least: float) -> tuple[float, np.
 
 
 def train(x: np.ndarray, y: np.ndarray, *, bins: int = 48, coarse: int = 8, rounds: int = 150, n_pairs: int = 6, rate: float = 0.1, least: float = 2.0) -> QualityModel:
-    """Fit by cyclic boosting: every round gives each feature, then each pair, one shallow tree on the current residuals.
+    """Fit by cyclic boosting: every round gives each feature one shallow tree on the current residuals; then, with the features' tables as they are, every round does so for each pair.
 
     Pairs are those whose best four-leaf tree explains most of what the features alone leave. With one label
     only, or no rows, the score is the smoothed share of label 1 (0.5 without rows).

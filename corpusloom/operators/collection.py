@@ -28,6 +28,11 @@ POINT = (
 )
 
 MARK = "filepath string, point_id string, v int"
+#: Bits of a data file's Bloom filter of the trigrams of its paths.
+BITS = 8192
+
+
+STATS = "file string, first string, last string, languages array<string>, tests array<boolean>, bits array<int>"
 
 
 def points(chunks: DataFrame, root: str | None = None, buckets: int = 16) -> DataFrame:
@@ -41,6 +46,13 @@ def points(chunks: DataFrame, root: str | None = None, buckets: int = 16) -> Dat
     )
 
 
+def trigram_bits(text: Column) -> Column:
+    """The bits of a text's trigrams; none for texts of fewer than three characters."""
+    n = F.length(text)
+    places = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(3))), F.lit(BITS)).cast("int"))
+
+
 def bucket_of(path: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
@@ -95,11 +107,43 @@ class Collection:
         """All points; a filter on bucket reads the bucket's files only."""
         return self._live(self._state()).drop("a", "v")
 
-    def _live(self, state: dict) -> DataFrame:
+    def read_where(self, file_filter: str | None = None, language: str | None = None, is_test: bool | None = None) -> DataFrame:
+        """The points that retrieval.payload_filter() lets through; only data files that can hold such points are opened."""
+        from corpusloom.operators.retrieval import payload_filter
+
+        return self._live(self._state(), self.matching_files(file_filter, language, is_test)).drop("a", "v").filter(payload_filter(file_filter, language, is_test))
+
+    def matching_files(self, file_filter: str | None = None, language: str | None = None, is_test: bool | None = None) -> list[str]:
+        """The data files whose statistics don't rule out a match: languages, test files or others, and trigrams of paths."""
+        names = [x for x in self._state()["data"] if x in set(self.log.names("stats"))]
+        if not names:
+            return []
+        rows = self.spark.read.schema(STATS).parquet(*[f"{self.folder}/stats/{x}" for x in names])
+        if language:
+            rows = rows.filter(F.array_contains("languages", language))
+        if is_test is not None:
+            rows = rows.filter(F.array_contains("tests", is_test))
+        if file_filter:
+            bits = self.spark.range(1).select(trigram_bits(F.lit(file_filter)).alias("bits")).first().bits
+            if bits:
+                rows = rows.filter(F.size(F.array_except(F.array(*map(F.lit, sorted(set(bits)))), F.col("bits"))) == 0)
+        return [r.file for r in rows.select("file").collect()]  # a part of the file list that Spark's reader holds anyway
+
+    def _note_files(self, attempt: str) -> None:
+        """Statistics of each file of a data folder, from its payload columns."""
+        rows = self.spark.read.schema(f"{POINT}, v int").parquet(f"{self.folder}/data/a={attempt}")
+        paths = rows.select(F.col("_metadata.file_path").alias("file"), "filepath", "language", "is_test").distinct()
+        bits = paths.select("file", F.explode(trigram_bits(F.col("filepath"))).alias("bit")).groupBy("file").agg(F.collect_set("bit").alias("bits"))
+        facts = paths.groupBy("file").agg(F.min("filepath").alias("first"), F.max("filepath").alias("last"), F.collect_set("language").alias("languages"), F.collect_set("is_test").alias("tests"))
+        facts = facts.join(bits, "file", "left").select("file", "first", "last", "languages", "tests", F.coalesce("bits", F.array().cast("array<int>")).alias("bits"))
+        facts.coalesce(4).write.parquet(f"{self.folder}/stats/{attempt}")
+
+    def _live(self, state: dict, files: list[str] | None = None) -> DataFrame:
+        """The live points of a state; of these data files only, if given."""
         schema = f"{POINT}, a string, v int"
-        if not state["data"]:
+        if not state["data"] or files == []:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.option("basePath", f"{self.folder}/data").schema(schema).parquet(*[f"{self.folder}/data/a={x}" for x in state["data"]])
+        rows = self.spark.read.option("basePath", f"{self.folder}/data").schema(schema).parquet(*(files or [f"{self.folder}/data/a={x}" for x in state["data"]]))
         if not state["dropped"]:
             return rows
         # Marks since the last compaction; Spark broadcasts them only while they are few.
@@ -122,6 +166,7 @@ class Collection:
             if not new.isEmpty():
                 spread = F.pmod(F.xxhash64("filepath"), F.lit(4))  # a bucket's points in a few files, not in one from each task
                 new.withColumn("a", F.lit(attempt)).withColumn("v", F.lit(version)).repartition(F.col("bucket"), spread).write.partitionBy("a", "v", "bucket").mode("append").parquet(f"{self.folder}/data")
+                self._note_files(attempt)
                 data.append(attempt)
                 marks.append(new.select("filepath", F.lit(None).cast("string").alias("point_id")) if mode == "replace" else new.select(F.lit(None).cast("string").alias("filepath"), "point_id"))
         if gone is not None:
@@ -155,15 +200,18 @@ class Collection:
             return state["version"]
         version = state["version"] + 1
         rows = self._live(state).withColumn("a", F.lit(attempt)).withColumn("v", F.lit(version))
-        rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("filepath"), F.lit(4))).write.partitionBy("a", "v", "bucket").mode("append").parquet(f"{self.folder}/data")
+        # Neighbouring paths share a file, so that statistics of paths rule many files out.
+        rows.repartitionByRange(4 * self.meta().buckets, "bucket", "filepath").sortWithinPartitions("bucket", "filepath").write.partitionBy("a", "v", "bucket").mode("append").parquet(f"{self.folder}/data")
         there = f"a={attempt}" in self.log.names("data")
+        if there:
+            self._note_files(attempt)
         self.log.commit({"version": version, "data": [attempt] if there else [], "dropped": []})
         return version
 
     def vacuum(self) -> int:
         """Delete folders and log entries that the last version doesn't need, those of broken writes too; not while others read or write."""
         state = self._state()
-        return self.log.keep_only({"data": {f"a={x}" for x in state["data"]}, "dropped": set(state["dropped"]), "log": {Log.entry(state["version"])}})
+        return self.log.keep_only({"data": {f"a={x}" for x in state["data"]}, "dropped": set(state["dropped"]), "stats": set(state["data"]), "log": {Log.entry(state["version"])}})
 
     def count(self) -> int:
         """Points, 0 for no collection."""

@@ -88,50 +88,59 @@ def _site(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
 
 
-def crawl(seed: str, pages: DataFrame, *, max_pages: int = 50, max_depth: int = 3, stay_in_path: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """url, depth of the pages that a breadth-first crawl from seed reaches in a table of pages(url, html).
+def _like(patterns: list[str]) -> Column:
+    """Whether url matches one of these shell patterns."""
+    return F.col("url").rlike("(?s)^(?:" + "|".join(fnmatch.translate(p)[4:-3] for p in patterns) + ")$") if patterns else F.lit(False)
 
-    Only the seed's site; patterns of `include` (and the seed's path) are alternatives; URLs that match a pattern of
-    `exclude`, however many there are, are left out. A level is a join of the frontier with links; max_pages bounds the whole crawl, first by depth, then by URL.
+
+def crawl_all(seeds: DataFrame, pages: DataFrame, *, max_pages: int = 50, max_depth: int = 3, stay_in_path: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """seed_url, url, depth of the pages that breadth-first crawls from each of seeds(url) reach in a table of pages(url, html).
+
+    All crawls share one frontier of (seed, url): a level is one join of it with links, however many seeds there are. Each crawl keeps to its
+    seed's site; patterns of `include` (and, with stay_in_path, the seed's path) are alternatives; URLs that match a pattern of `exclude` are
+    left out. max_pages bounds each crawl, first by depth, then by URL; one that has them goes no further.
     """
-    spark = pages.sparkSession
-    patterns = [*([f"*{seed.rstrip('/')}*"] if stay_in_path else []), *(include or [])]
-    wanted = F.lit(True)
-    if patterns:
-        wanted = F.lit(False)
-        for p in patterns:
-            wanted = wanted | F.col("url").rlike("(?s)^" + fnmatch.translate(p)[4:-3].replace("(?s:", "(?:") + "$")
-    if exclude:
-        wanted = wanted & ~F.col("url").rlike("(?s)^(?:" + "|".join(fnmatch.translate(p)[4:-3] for p in exclude) + ")$")
-    edges = links(pages)
-    seen = spark.createDataFrame([(seed, 0)], "url string, depth int").join(pages.select("url").distinct(), "url", "left_semi")
-    frontier, seen = seen, staged(seen, "crawl")
+    from pyspark.sql import Window as W
+
+    there = staged(pages.filter("url IS NOT NULL").select("url").distinct(), "crawl-pages")
+    edges = staged(links(pages).distinct(), "crawl-links")
+    wanted = _site(F.col("url")) == _site(F.col("seed_url"))
+    if stay_in_path or include:
+        inside = F.contains(F.col("url"), F.regexp_replace("seed_url", "/+$", "")) if stay_in_path else F.lit(False)
+        wanted = wanted & (inside | _like(include or []))
+    wanted = wanted & ~_like(exclude or [])
+    seen = staged(seeds.select(F.col("url").alias("seed_url"), "url", F.lit(0).alias("depth")).distinct().join(there, "url", "left_semi").select("seed_url", "url", "depth"), "crawl")
+    frontier = seen
     for depth in range(1, max_depth + 1):
-        found = edges.join(frontier.select("url"), "url").select(F.col("target").alias("url")).distinct()
-        found = found.filter((_site(F.col("url")) == _site(F.lit(seed))) & wanted).join(seen, "url", "left_anti").join(pages.select("url").distinct(), "url", "left_semi")
-        frontier = staged(found.withColumn("depth", F.lit(depth)), "crawl")
+        counts = seen.groupBy("seed_url").agg(F.count("*").alias("_n"))
+        found = frontier.select("seed_url", "url").join(edges, "url").select("seed_url", F.col("target").alias("url")).distinct().filter(wanted)
+        found = found.join(seen, ["seed_url", "url"], "left_anti").join(there, "url", "left_semi").join(counts, "seed_url")
+        # Of a level, as many pages as the crawl may still take.
+        place = F.row_number().over(W.partitionBy("seed_url").orderBy("url"))
+        found = found.withColumn("_at", place).filter(F.col("_at") + F.col("_n") <= max_pages)
+        frontier = staged(found.select("seed_url", "url", F.lit(depth).alias("depth")), "crawl")
         seen = seen.unionByName(frontier)
-        if frontier.isEmpty() or seen.count() >= max_pages:
+        if frontier.isEmpty():
             break
-    return seen.orderBy("depth", "url").limit(max_pages)
+    return seen
+
+
+def crawl(seed: str, pages: DataFrame, **limits) -> DataFrame:
+    """url, depth of the pages that a crawl from one seed reaches; limits as in crawl_all()."""
+    return crawl_all(pages.sparkSession.createDataFrame([(seed,)], "url string"), pages, **limits).select("url", "depth").orderBy("depth", "url")
 
 
 def crawl_run(urls: DataFrame, pages: DataFrame, saved: DataFrame | None = None, *, recursive: bool = False, **limits) -> DataFrame:
     """url, path, content of the files that a run adds: urls are expanded, filtered, less those saved before, fetched and written as markdown.
 
     urls(url); pages(url, html) stand for the net; saved(content) are files of earlier runs. A recursive run follows the
-    links of each URL given, as crawl() does with these limits. A page that several lead to is saved once, for the first of them.
+    links of all URLs given, as crawl_all() does with these limits. A page that several lead to is saved once, for the first of them.
     """
     before = None if saved is None else crawled_urls(saved).distinct()
     todo = to_crawl(urls.select("url"), before, recursive).distinct()
     found = todo.withColumn("seed_url", F.lit(None).cast("string"))
     if recursive:
-        seeds = [r.url for r in todo.orderBy("url").collect()]  # as many as the caller has listed
-        found = None
-        for seed in seeds:
-            part = crawl(seed, pages, **limits).select("url", F.lit(seed).alias("seed_url"))
-            found = part if found is None else found.unionByName(part)
-        found = todo.withColumn("seed_url", F.lit(None).cast("string")) if found is None else found
+        found = crawl_all(staged(todo, "crawl-seeds"), pages, **limits).select("url", "seed_url")
         found = found if before is None else found.join(before, "url", "left_anti")
     found = found.groupBy("url").agg(F.min("seed_url").alias("seed_url"))
     fetched = found.join(pages.groupBy("url").agg(F.min("html").alias("html")), "url")

@@ -177,6 +177,12 @@ ORACLES: dict[str, str] = {
         hits AS (SELECT q.key AS query_id, p.key AS doc_id, round(sum(p.val * q.val), 12) AS score FROM p JOIN q USING (idx) GROUP BY 1, 2),
         top AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3)
         SELECT query_id, round(sum(score), 5) AS total, round(max(score), 5) AS best, count(*) AS n FROM top GROUP BY 1""",
+    "indexed_sparse_search": f"""WITH {DOC}, {ITEM}, {terms('doc', 'p')}, {terms('item', 'q')}
+        SELECT p.key AS doc_id, round(sum(p.val * q.val), 12) AS score FROM p JOIN q USING (idx) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10""",
+    "indexed_dense_search": f"WITH {DENSE} SELECT vec_id, round(score, 6) AS score FROM dense ORDER BY dense.score DESC, vec_id LIMIT 10",
+    "indexed_dense_filtered": f"""WITH {DENSE}, {FILES} SELECT vec_id, round(score, 6) AS score FROM dense JOIN files ON vec_id = files.doc_id JOIN documents d ON d.doc_id = files.doc_id
+        WHERE contains(filepath, 'src1') AND lang = 'en' AND NOT regexp_matches(filepath, 'test|spec') ORDER BY dense.score DESC, vec_id LIMIT 10""",
+    "skipping_read": f"WITH {FILES} SELECT filepath, {LANGUAGE} AS language, doc_id % 5 = 0 AS is_test FROM files WHERE contains(filepath, 'src1/test_1') AND {LANGUAGE} = 'python' AND doc_id % 5 = 0",
     "dense_topk": f"WITH {DENSE} SELECT vec_id, round(score, 6) AS score FROM dense ORDER BY dense.score DESC, vec_id LIMIT 10",
     "dense_topk_filtered": f"""WITH {DENSE}, {FILES} SELECT vec_id, round(score, 6) AS score FROM dense JOIN files ON vec_id = files.doc_id JOIN documents d ON d.doc_id = files.doc_id
         WHERE contains(filepath, 'src1') AND lang = 'en' AND NOT regexp_matches(filepath, 'test|spec') ORDER BY dense.score DESC, vec_id LIMIT 10""",

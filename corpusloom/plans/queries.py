@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths, render, text
-from corpusloom.operators import chunking, collection, retrieval, state, syntax, vectors, web
+from corpusloom.operators import chunking, collection, indexes, retrieval, state, syntax, vectors, web
+from corpusloom.plans.staging import shared_folder
 from corpusloom.sources import versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +166,44 @@ def sparse_batch_search(spark, sf_dir):
     return found.groupBy("query_id").agg(F.round(F.sum("score"), 5).alias("total"), F.round(F.max("score"), 5).alias("best"), F.count("*").alias("n"))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder in what the cluster shares."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def indexed_sparse_search(spark, sf_dir):
+    """Top ten documents of the first test item, by inverted lists with block maxima."""
+    docs = vectors.with_sparse(table(spark, sf_dir, "documents"), "text")
+    index = indexes.SparseIndex(spark, _folder(spark, "sparse-index"), "doc_id").build(docs, order=("source", "doc_id"), range_rows=256)
+    return index.search(_item(spark, sf_dir), 10)
+
+
+@query
+def indexed_dense_search(spark, sf_dir):
+    """The ten embeddings nearest to the first one, by coarse cells, exactly."""
+    index = indexes.DenseIndex(spark, _folder(spark, "dense-index"), "vec_id").build(table(spark, sf_dir, "embeddings"), vector="embedding", cells=64)
+    return index.search(_query_vector(spark, sf_dir), 10, exact=True).withColumn("score", F.round("score", 6))
+
+
+@query
+def indexed_dense_filtered(spark, sf_dir):
+    """The same among points of one source and language that are no test files: filters count before the top ten."""
+    rows = _points(spark, sf_dir).withColumn("language", F.col("lang")).withColumn("is_test", paths.is_test(F.col("filepath")))
+    index = indexes.DenseIndex(spark, _folder(spark, "dense-index"), "vec_id").build(rows, vector="embedding", payload=("filepath", "language", "is_test"), cells=64)
+    return index.search(_query_vector(spark, sf_dir), 10, exact=True, where=retrieval.payload_filter("src1", "en", False)).withColumn("score", F.round("score", 6))
+
+
+@query
+def skipping_read(spark, sf_dir):
+    """Documents as a collection's files; what a filter on path, language and test files lets through, from the data files that can hold it."""
+    chunks = files(spark, sf_dir).select("filepath", F.lit("").alias("content"), F.lit(0).alias("chunk_index"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(None).cast("string").alias("type"), F.array().cast("array<string>").alias("symbols"))
+    points = collection.points(chunks, buckets=4).withColumns({"dense": F.lit(None).cast("array<float>"), "sparse": F.lit(None).cast("struct<indices:array<int>,values:array<double>>")})
+    c = collection.Collection(spark, _folder(spark, "collection")).create(1, buckets=4)
+    c.upsert(points)
+    return c.read_where("src1/test_1", "python", True).select("filepath", "language", "is_test")
+
+
 def _points(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("content"), file_path().alias("filepath"))
     return table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"))

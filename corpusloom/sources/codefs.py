@@ -20,12 +20,12 @@ from functools import reduce
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusloom.functions.paths import DOCUMENT_SUFFIXES, EXCLUDED_DIRS, NAMES, TEXT_SUFFIXES
 from corpusloom.plans.log import Log
+from corpusloom.plans.order import positioned
 from corpusloom.plans.staging import clean_up, staged
 
 SCHEMA = "path string, name string, suffix string, mtime timestamp, length long, content binary, change string"
@@ -201,21 +201,10 @@ class ChangeFeed:
 
 
 def numbered(changes: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
-    """changes in order of the path, in parts of at most max_files rows and max_bytes (or one file).
-
-    Rows are sorted by ranges, and each task's totals (a row per task) give its beginning; so no task sees all rows.
-    """
-    size = F.coalesce("length", F.lit(0))
-    rows = staged(changes.repartitionByRange("path").sortWithinPartitions("path").withColumn("_id", F.monotonically_increasing_id()), "changes-order")
-    task = F.shiftright("_id", 33)
-    totals = rows.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"), F.sum(size).alias("_bytes"))
-    before = W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes"))
-    own = W.partitionBy("_task").orderBy("_id")
-    rows = rows.withColumn("_task", task).withColumns({"_at": F.row_number().over(own) - 1, "_upto": F.sum(size).over(own.rowsBetween(W.unboundedPreceding, -1))})
-    rows = rows.join(F.broadcast(totals), "_task")
+    """changes in order of the path, in parts of at most max_files rows and max_bytes (or one file)."""
+    rows = positioned(changes, ["path"], {"_bytes": F.coalesce("length", F.lit(0))})
     # Within a part neither the count nor the bytes before a row pass a multiple of their bound.
-    part = F.floor((F.col("_n") + F.col("_at")) / max_files) + F.floor((F.col("_bytes") + F.coalesce("_upto", F.lit(0))) / max_bytes)
+    part = F.floor(F.col("_at") / max_files) + F.floor(F.col("_bytes") / max_bytes)
     return rows.select("path", "mtime_ns", "length", "change", part.cast("long").alias("part"))
 
 

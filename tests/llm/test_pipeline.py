@@ -50,3 +50,34 @@ def test_run_equals_brute_force(spark, tmp_path):
         assert sum(c[3] == crc(text) for c in copies) == whole and len(copies) == whole + bool(part)
     starts = sorted((r[1], r[2]) for r in found)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False)) and starts[0][0] == 0
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _key int, rejected int, n_tokens string, _leaks int, Start double"
+
+
+def whole_run(spark, folder, rows):
+    spark.createDataFrame(rows, CLASHING).write.parquet(f"{folder}/documents.parquet")
+    bench = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, str(folder))
+    assert found.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    return found.collect()
+
+
+def test_run_on_nothing(spark, tmp_path):
+    assert whole_run(spark, tmp_path, []) == []
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    docs = [tuple(r)[:5] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 80").collect()]
+    clean = [r for r in docs if r[1] and len(r[1]) > 200][:40]
+    odd = [(900, None, None, None, None), (901, "", "en", "s", 0), (902, " \n ", "en", "s", 3), (None, None, None, None, None)]
+    odd += [clean[0], clean[0], (None, clean[1][1] + " and one more", "en", "s", 1), (None, clean[2][1], clean[2][2], None, 1), (clean[3][0], clean[4][1][::-1], "en", "s", 1), (903, clean[5][1] * 60, "en", "s", 1)]
+    extra = (7, 8, "x", 9, 0.5)
+    found = whole_run(spark, tmp_path, [(*r, *extra) for r in [*clean, *odd]])
+    ids = {r.doc_id for r in found}
+    assert ids and ids <= {r[0] for r in clean} | {903, None} and not ids & {900, 901, 902}
+    starts = sorted((r.start, r.n_tokens) for r in found)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    again = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, found), key=repr)
