@@ -117,7 +117,7 @@ def crawl_all(seeds: DataFrame, pages: DataFrame, *, max_pages: int = 50, max_de
         found = found.join(seen, ["seed_url", "url"], "left_anti").join(there, "url", "left_semi").join(counts, "seed_url")
         # Of a level, as many pages as the crawl may still take.
         place = F.row_number().over(W.partitionBy("seed_url").orderBy("url"))
-        found = found.withColumn("_at", place).filter(F.col("_at") + F.col("_n") <= max_pages)
+        found = found.withColumn("_at", place).filter(F.col("_at") <= max_pages).filter(F.col("_at") + F.col("_n") <= max_pages)
         frontier = staged(found.select("seed_url", "url", F.lit(depth).alias("depth")), "crawl")
         seen = seen.unionByName(frontier)
         if frontier.isEmpty():

@@ -239,6 +239,9 @@ ORACLES: dict[str, str] = {
     "ttl_evict": "SELECT event_id FROM events WHERE epoch((SELECT max(ts) FROM events)) - epoch(ts) <= 600000",
     "crawled_pages": "SELECT url FROM pages",
     "crawl_run": f"SELECT DISTINCT url, '---' || {NL} || 'source_url: ' || url || {NL} || '---' AS front FROM pages WHERE page_id % 2 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
+    "crawl_recursive": """WITH RECURSIVE r(seed, id, depth) AS (SELECT page_id, page_id, 0 FROM pages WHERE page_id % 10 = 1
+          UNION SELECT seed, p.page_id, depth + 1 FROM r JOIN pages p ON p.page_id = r.id + 5 OR p.page_id = r.id + 10 WHERE depth < 3)
+        SELECT 'https://s' || seed % 5 || '.org/' || seed AS seed_url, 'https://s' || id % 5 || '.org/' || id AS url, min(depth)::INT AS depth FROM r GROUP BY 1, 2""",
     "complexity_score": f"""SELECT doc_id, round(0.4::DOUBLE * 3 + 0.01::DOUBLE * len(string_split(text, ' ')) + 0.5::DOUBLE * len(string_split(text, {NL})) + 0.2::DOUBLE * (doc_id % 7), 2) AS complexity_score FROM documents""",
     "read_range": f"""WITH l AS (SELECT doc_id, string_split(text, {NL}) AS ls FROM documents), n AS (SELECT doc_id, ls, unnest(range(3, 7)) AS i FROM l)
         SELECT doc_id, lpad(i::VARCHAR, 6, ' ') || ' | ' || ls[i] AS line FROM n WHERE i <= len(ls)""",

@@ -422,6 +422,15 @@ def crawl_run(spark, sf_dir):
     return added.select("url", F.element_at(F.split("content", "\n\n"), 1).alias("front"))
 
 
+@query
+def crawl_recursive(spark, sf_dir):
+    """Every tenth page is the seed of a crawl over pages that link to two others of their site."""
+    url = lambda number: F.concat(F.lit("https://s"), (F.col("page_id") % 5).cast("string"), F.lit(".org/"), number.cast("string"))
+    link = lambda number: F.concat(F.lit('<a href="'), url(number), F.lit('">next</a>'))
+    pages = table(spark, sf_dir, "pages").select("page_id", url(F.col("page_id")).alias("url"), F.concat(link(F.col("page_id") + 5), link(F.col("page_id") + 10)).alias("html"))
+    return web.crawl_all(pages.filter("page_id % 10 = 1"), pages, max_depth=3)
+
+
 @query
 def complexity_score(spark, sf_dir):
     """The score's arithmetic over counts of a document's lines and words."""

@@ -383,6 +383,25 @@ def test_crawl(spark):
     assert depths(max_pages=2) == {"/": 0, "a": 1} and depths(include=["*a", "*c"]) == {"/": 0, "a": 1, "c": 2} and depths(exclude=["*/c"]) == {"/": 0, "a": 1, "b": 1}
 
 
+def test_many_seeds_take_as_many_jobs_as_one(spark):
+    link = lambda *t: "".join(f'<a href="{x}">l</a>' for x in t)
+    site = [(f"https://s{i}.org/{p}", link(*(f"https://s{i}.org/{q}" for q in "abcd"), f"https://s{i + 1}.org/a")) for i in range(200) for p in ["", *"abc"]]
+    pages = spark.createDataFrame(site, "url string, html string")
+
+    def run(n, **limits):
+        spark.sparkContext.setJobGroup(f"crawl-{n}-{len(limits)}", "")
+        found = web.crawl_all(spark.createDataFrame([(f"https://s{i}.org/",) for i in range(n)], "url string"), pages, **limits)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"crawl-{n}-{len(limits)}"))
+        return jobs, sorted(map(tuple, found.collect()))
+
+    try:
+        one, many = run(1), run(200)
+        assert abs(many[0] - one[0]) <= 4 and len(many[1]) == 800 and [r for r in many[1] if r[0] == "https://s0.org/"] == one[1]
+        assert len(run(200, max_pages=3)[1]) == 600
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
 def test_crawl_runs(spark):
     link = lambda *t: "<p>text</p>" + "".join(f'<a href="{x}">l</a>' for x in t)
     site = [("https://s.org/", link("https://s.org/a", "https://s.org/b")), ("https://s.org/a", link("https://s.org/c")), ("https://s.org/b", ""), ("https://s.org/c", link()), ("https://s.org/1", link()), ("https://s.org/2", link())]
