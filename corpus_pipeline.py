@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written and read again."""
+    """All stages over documents, each one's result written and read again: doc_id, start, n_tokens, ids_crc32, a row for each repetition.
+
+    documents may hold any further columns, whatever their names. Null, empty and letterless texts go with the first stage, as no
+    language is identified; of rows that repeat id and text one stays, of near copies the one with the smallest id (null ids last);
+    rows with one id and unlike texts stay rows of their own, and a null id stays null. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
