@@ -182,7 +182,7 @@ ORACLES: dict[str, str] = {
     "indexed_dense_search": f"WITH {DENSE} SELECT vec_id, round(score, 6) AS score FROM dense ORDER BY dense.score DESC, vec_id LIMIT 10",
     "indexed_dense_filtered": f"""WITH {DENSE}, {FILES} SELECT vec_id, round(score, 6) AS score FROM dense JOIN files ON vec_id = files.doc_id JOIN documents d ON d.doc_id = files.doc_id
         WHERE contains(filepath, 'src1') AND lang = 'en' AND NOT regexp_matches(filepath, 'test|spec') ORDER BY dense.score DESC, vec_id LIMIT 10""",
-    "skipping_read": f"WITH {FILES} SELECT filepath, {LANGUAGE} AS language, doc_id % 5 = 0 AS is_test FROM files WHERE contains(filepath, 'src1/test_1') AND {LANGUAGE} = 'python' AND doc_id % 5 = 0",
+    "skipping_read": f"WITH {FILES} SELECT filepath, {LANGUAGE} AS language, doc_id % 5 = 0 AS is_test FROM files WHERE contains(filepath, '/test_1') AND {LANGUAGE} = 'python' AND doc_id % 5 = 0",
     "dense_topk": f"WITH {DENSE} SELECT vec_id, round(score, 6) AS score FROM dense ORDER BY dense.score DESC, vec_id LIMIT 10",
     "dense_topk_filtered": f"""WITH {DENSE}, {FILES} SELECT vec_id, round(score, 6) AS score FROM dense JOIN files ON vec_id = files.doc_id JOIN documents d ON d.doc_id = files.doc_id
         WHERE contains(filepath, 'src1') AND lang = 'en' AND NOT regexp_matches(filepath, 'test|spec') ORDER BY dense.score DESC, vec_id LIMIT 10""",
@@ -242,6 +242,31 @@ ORACLES: dict[str, str] = {
     "crawl_recursive": """WITH RECURSIVE r(seed, id, depth) AS (SELECT page_id, page_id, 0 FROM pages WHERE page_id % 10 = 1
           UNION SELECT seed, p.page_id, depth + 1 FROM r JOIN pages p ON p.page_id = r.id + 5 OR p.page_id = r.id + 10 WHERE depth < 3)
         SELECT 'https://s' || seed % 5 || '.org/' || seed AS seed_url, 'https://s' || id % 5 || '.org/' || id AS url, min(depth)::INT AS depth FROM r GROUP BY 1, 2""",
+    "change_parts": f"""WITH {FILES}, b AS (SELECT filepath, row_number() OVER (ORDER BY filepath) - 1 AS i, coalesce(sum(length(content)) OVER (ORDER BY filepath ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM files)
+        SELECT filepath AS path, (i // 100 + before // 50000)::BIGINT AS part FROM b""",
+    "state_as_changes": f"WITH {FILES} SELECT filepath AS path, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE md5(content) END AS checksum FROM files WHERE doc_id % 7 <> 0",
+    "tracked_files": f"WITH {FILES} SELECT doc_id, filepath AS path FROM files WHERE doc_id % 3 = 1",
+    "commit_columns": """WITH c AS (SELECT user_id, event_id::VARCHAR AS commit_hash, event_type AS commit_author FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT doc_id::VARCHAR AS filepath, commit_hash, commit_author FROM documents LEFT JOIN c ON user_id = doc_id""",
+    "metadata_ids": f"""SELECT DISTINCT source, {uuid5("(source || '_indexing_metadata')")} AS id FROM documents""",
+    "hits_json": f"""WITH {DENSE}, {FILES}, {PAYLOAD}, hits AS (SELECT * FROM dense ORDER BY score DESC, vec_id LIMIT 10)
+        SELECT vec_id, '{{"id":' || vec_id || ',"score":' || round(score, 6)::VARCHAR || ',"payload":{{"filepath":"' || filepath || '","content":"' || md5(content) || '","language":"' || language || '","chunk_index":0}}}}' AS json FROM hits JOIN payload USING (vec_id)""",
+    "search_results": f"""WITH {DENSE}, {FILES}, {PAYLOAD}, hits AS (SELECT * FROM dense ORDER BY score DESC, vec_id LIMIT 10),
+        t AS (SELECT string_agg('### ' || filepath || printf(' (Score: %.2f)', round(score, 6)) || {NL} || '```' || language || {NL} || md5(content) || {NL} || '```' || {NL}, {NL} ORDER BY round(score, 6) DESC, vec_id) AS text FROM hits JOIN payload USING (vec_id))
+        SELECT md5(text) AS text_md5, length(text)::INT AS n FROM t""",
+    "section_texts": f"""WITH {PAGES}, {by_heading('one_page', 100, 90)}, {LABELS}, c AS (SELECT *, count(*) OVER (PARTITION BY key) AS total FROM labelled),
+        t AS (SELECT key AS url, '## Selected Sections from: ' || key || {NL} || '(' || count(*) || ' of ' || any_value(total) || ' chunks returned)' || {NL} || {NL} ||
+            string_agg('---' || {NL} || '### ' || section || '  (' || level || ', ~' || (length(content) // 4) || ' tokens)' || {NL} || {NL} || content || {NL}, {NL} ORDER BY chunk_index) AS text
+          FROM c WHERE number = 0 OR contains(lower(section), '0') GROUP BY key)
+        SELECT url, md5(text) AS text_md5, length(text)::INT AS n FROM t""",
+    "results_and_answers": """SELECT md5(html) AS title, url, substring(html, 1, 40) AS snippet FROM pages
+        UNION ALL SELECT 'Answer', CASE WHEN item_id % 2 = 0 THEN 'https://a.org/' || item_id ELSE '' END, text FROM benchmark""",
+    "crawl_globs": """WITH RECURSIVE r(seed, id, depth) AS (SELECT page_id, page_id, 0 FROM pages WHERE page_id % 10 = 0
+          UNION SELECT seed, p.page_id, depth + 1 FROM r JOIN pages p ON p.page_id BETWEEN r.id + 1 AND r.id + 3
+          WHERE depth < 4 AND p.page_id > 0 AND p.page_id % 10 <> 7 AND NOT (p.page_id BETWEEN 10 AND 99 AND p.page_id % 10 = 2))
+        SELECT 'https://s.org/p' || seed AS seed_url, 'https://s.org/p' || id AS url, min(depth)::INT AS depth FROM r GROUP BY 1, 2""",
+    "collection_versions": f"""WITH {FILES} SELECT {uuid5("(filepath || '_chunk_0')")} AS point_id, filepath, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE md5(content) END AS content FROM files WHERE doc_id % 7 <> 0""",
+    "collection_lookup": f"""WITH {FILES} SELECT {uuid5("(filepath || '_chunk_0')")} AS point_id, filepath, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE md5(content) END AS content FROM files WHERE doc_id % 7 <> 0 AND doc_id < 10""",
     "complexity_score": f"""SELECT doc_id, round(0.4::DOUBLE * 3 + 0.01::DOUBLE * len(string_split(text, ' ')) + 0.5::DOUBLE * len(string_split(text, {NL})) + 0.2::DOUBLE * (doc_id % 7), 2) AS complexity_score FROM documents""",
     "read_range": f"""WITH l AS (SELECT doc_id, string_split(text, {NL}) AS ls FROM documents), n AS (SELECT doc_id, ls, unnest(range(3, 7)) AS i FROM l)
         SELECT doc_id, lpad(i::VARCHAR, 6, ' ') || ' | ' || ls[i] AS line FROM n WHERE i <= len(ls)""",

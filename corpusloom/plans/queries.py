@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import paths, render, text
 from corpusloom.operators import chunking, collection, indexes, retrieval, state, syntax, vectors, web
 from corpusloom.plans.staging import shared_folder
-from corpusloom.sources import versions
+from corpusloom.sources import codefs, versions
+from corpusloom.streaming.incremental import StateTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,7 +202,7 @@ def skipping_read(spark, sf_dir):
     points = collection.points(chunks, buckets=4).withColumns({"dense": F.lit(None).cast("array<float>"), "sparse": F.lit(None).cast("struct<indices:array<int>,values:array<double>>")})
     c = collection.Collection(spark, _folder(spark, "collection")).create(1, buckets=4)
     c.upsert(points)
-    return c.read_where("src1/test_1", "python", True).select("filepath", "language", "is_test")
+    return c.read_where("/test_1", "python", True).select("filepath", "language", "is_test")
 
 
 def _points(spark, sf_dir) -> DataFrame:
@@ -497,3 +498,112 @@ def index_points(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
+
+
+@query
+def change_parts(spark, sf_dir):
+    """Documents as changed files: the parts, of at most 100 files and 50,000 characters, in which a stream takes them."""
+    rows = files(spark, sf_dir).select(F.col("filepath").alias("path"), F.col("doc_id").alias("mtime_ns"), F.length("content").cast("long").alias("length"), F.lit("upsert").alias("change"))
+    return codefs.numbered(rows, 100, 50_000).select("path", "part")
+
+
+@query
+def state_as_changes(spark, sf_dir):
+    """Documents as file states: all, then new checksums of some, then some that are gone; what is left, by three appended changes."""
+    state_table = StateTable(spark, _folder(spark, "state"), compact_every=2)
+    rows = files(spark, sf_dir)
+
+    def append(some: DataFrame, checksum: Column, gone: bool) -> None:
+        columns = {f.name: F.lit(None).cast(f.dataType) for f in state.empty(spark).schema}
+        columns |= {"path": F.col("filepath"), "checksum": checksum, "gone": F.lit(gone)}
+        state_table.append(some.select(*[c.alias(name) for name, c in columns.items()]))
+
+    append(rows, F.md5("content"), False)
+    append(rows.filter("doc_id % 3 = 0"), F.lit("new"), False)
+    append(rows.filter("doc_id % 7 = 0"), F.lit(None).cast("string"), True)
+    return state_table.read().select("path", "checksum")
+
+
+@query
+def tracked_files(spark, sf_dir):
+    rows = files(spark, sf_dir).select("doc_id", F.col("filepath").alias("path"))
+    return versions.only_tracked(rows, rows.filter("doc_id % 3 = 1").select("path"))
+
+
+@query
+def commit_columns(spark, sf_dir):
+    """Documents as files with the newest event of the user of that number as last commit; null where there is none."""
+    by_time = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").cast("string").alias("commit_hash"), F.col("event_type").alias("commit_author"), F.lit("").alias("commit_email"), F.lit("").alias("commit_date"), F.lit("").alias("commit_subject"), by_time.alias("pos"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filepath"))
+    return versions.with_commits(rows, versions.latest_commits(log)).select("filepath", "commit_hash", "commit_author")
+
+
+@query
+def metadata_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("source").distinct().select("source", paths.metadata_id(F.col("source")).alias("id"))
+
+
+def _hits(spark, sf_dir, k: int) -> DataFrame:
+    hits = retrieval.dense_topk(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), k, "vec_id", "embedding")
+    return _payload(spark, sf_dir).withColumn("content", F.md5("content")).withColumn("chunk_index", F.lit(0)).join(F.broadcast(hits), "vec_id").withColumn("score", F.round("score", 6))
+
+
+@query
+def hits_json(spark, sf_dir):
+    """The ten nearest documents as JSON."""
+    return _hits(spark, sf_dir, 10).select("vec_id", render.hit_json("vec_id").alias("json"))
+
+
+@query
+def search_results(spark, sf_dir):
+    """The ten nearest documents as one text."""
+    return render.joined(_hits(spark, sf_dir, 10), render.search_result(), id_column="vec_id").select(F.md5("text").alias("text_md5"), F.length("text").alias("n"))
+
+
+@query
+def section_texts(spark, sf_dir):
+    """The sections that a reader of each page asks for, as text."""
+    chunks = web.page_chunks(markdown_pages(spark, sf_dir).dropDuplicates(["url"]))
+    return render.sections_text(chunks, ["0"]).select("url", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
+
+
+@query
+def results_and_answers(spark, sf_dir):
+    results = table(spark, sf_dir, "pages").select(F.md5("html").alias("title"), "url", F.substring("html", 1, 40).alias("snippet"))
+    answers = table(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("https://a.org/"), F.col("item_id").cast("string"))).alias("url"), F.col("text").alias("content"))
+    return web.results_and_answers(results, answers)
+
+
+@query
+def crawl_globs(spark, sf_dir):
+    """Crawls over pages that link to the next three, of URLs that match one pattern and none of two others."""
+    url = lambda number: F.concat(F.lit("https://s.org/p"), number.cast("string"))
+    link = lambda number: F.concat(F.lit('<a href="'), url(number), F.lit('">next</a>'))
+    pages = table(spark, sf_dir, "pages").select("page_id", url(F.col("page_id")).alias("url"), F.concat(*[link(F.col("page_id") + i) for i in (1, 2, 3)]).alias("html"))
+    return web.crawl_all(pages.filter("page_id % 10 = 0"), pages, max_depth=4, include=["*/p[1-9]*"], exclude=["*7", "*/p?2"])
+
+
+def _document_collection(spark, sf_dir) -> collection.Collection:
+    """Documents as files of one point each; those with even ids written again with other content, then each seventh dropped, and all compacted."""
+    chunks = files(spark, sf_dir).select("doc_id", "filepath", F.md5("content").alias("content"), F.lit(0).alias("chunk_index"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(None).cast("string").alias("type"), F.array().cast("array<string>").alias("symbols"))
+    none = {"dense": F.lit(None).cast("array<float>"), "sparse": F.lit(None).cast("struct<indices:array<int>,values:array<double>>")}
+    made = lambda rows: collection.points(rows, buckets=4).withColumns(none)
+    c = collection.Collection(spark, _folder(spark, "collection")).create(1, buckets=4)
+    c.upsert(made(chunks))
+    c.upsert(made(chunks.filter("doc_id % 2 = 0").withColumn("content", F.lit("again"))))
+    c.delete_files(chunks.filter("doc_id % 7 = 0"))
+    c.compact()
+    return c
+
+
+@query
+def collection_versions(spark, sf_dir):
+    return _document_collection(spark, sf_dir).read().select("point_id", "filepath", "content")
+
+
+@query
+def collection_lookup(spark, sf_dir):
+    """Points by their ids."""
+    ids = files(spark, sf_dir).filter("doc_id < 10").select(paths.point_id(F.col("filepath"), F.lit(0)).alias("id")).collect()  # ten at most
+    return _document_collection(spark, sf_dir).get([r.id for r in ids]).select("point_id", "filepath", "content")
