@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.collection import Collection
-from corpusloom.operators.retrieval import dense_topk, sparse_topk
+from corpusloom.operators.retrieval import dense_topk, fuse, sparse_topk
 from corpusloom.operators.vectors import postings_of
 from corpusloom.plans.log import Log
 from corpusloom.plans.order import positioned
@@ -230,3 +230,7 @@ class CollectionIndex:
         name, fresh, gone = since
         found = DenseIndex(self.spark, f"{self.folder}/dense/{name}").search(query, k, where=where, without=gone, **how)
         return found if fresh is None else _top(found.unionByName(scan(fresh)), k, "point_id")
+
+    def hybrid(self, query: list[float], sparse_query: Row, k: int, constant: int = 60, **how) -> DataFrame:
+        """id, score: two branches of 2k, fused; how as in DenseIndex.search()."""
+        return fuse([self.dense(query, 2 * k, **how), self.sparse(sparse_query, 2 * k)], k, "point_id", constant)

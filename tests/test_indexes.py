@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import indexes, retrieval, vectors
+from corpusloom.operators import indexes, rag, retrieval, vectors
 from corpusloom.operators.collection import Collection
 from corpusloom.plans.indexing import to_points
 
@@ -82,7 +82,7 @@ def test_a_collections_index_follows_it(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(x, "filepath string, content string")
     make = lambda *x: to_points(rows(*x), vectors.HashingEmbedder(8), strategy="by_lines", buckets=2)
     c = Collection(spark, str(tmp_path / "c")).create(8, buckets=2)
-    c.upsert(make(*[(f"d{i % 3}/f{i}.py", f"alpha word{i} common{i % 4}") for i in range(30)]))
+    c.upsert(make(*[(f"d{i % 3}/f{i}.py", f"alpha word{i} common{i % 4} in the text") for i in range(30)]))
     index = indexes.CollectionIndex(c)
     query, q = vectors.sparse_of(spark, "alpha common1 word5"), [1.0, 0.5, 0, 0, 0.2, 0, 0, 0.1]
     where = retrieval.payload_filter("d1/")
@@ -90,6 +90,7 @@ def test_a_collections_index_follows_it(spark, tmp_path):
     def check():
         same(index.sparse(query, 7).collect(), retrieval.sparse_topk(c.read(), query, 7).collect())
         same(index.dense(q, 7, exact=True).collect(), retrieval.dense_topk(c.read(), q, 7).collect())
+        same(index.hybrid(q, query, 4, exact=True).collect(), retrieval.hybrid_topk(c.read(), c.read(), q, query, 4).collect())
         same(index.dense(q, 7, where=where).collect(), retrieval.dense_topk(c.read().filter(where), q, 7).collect())
 
     check()  # no index yet: a scan
@@ -103,6 +104,8 @@ def test_a_collections_index_follows_it(spark, tmp_path):
     check()
     assert index.build(cells=4) == 1 and index._since()[1] is None
     check()
+    asked = [rag.ask(c.read(), "alpha common1 word5", rag.EchoProvider(), vectors.HashingEmbedder(8), max_chunks=3, index=i) for i in (None, index)]
+    assert asked[0] == asked[1]
 
 
 def test_filters_open_only_files_that_can_match(spark, tmp_path):
