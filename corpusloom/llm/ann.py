@@ -208,7 +208,7 @@ def search(index: DataFrame, book: Codebooks | None, queries: DataFrame, *, k: i
 
 
 def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
-    """The k nearest vectors of every row whose vec_id is divisible by `every`, by largest inner product."""
+    """The k nearest vectors of every row whose vec_id is divisible by `every`, by largest inner product; vectors that are not usable(), such as those of another length than most have, take no part."""
     index, book = build_index(vectors)
     queries = index.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     return search(index, book, queries, k=k)

@@ -209,6 +209,23 @@ def test_long_and_repeated_items(spark, monkeypatch):
     assert {tuple(r) for r in decontamination.find_leaks(docs, bench).collect()} == {(1, 7, 1.0, 1, 10), (3, 7, 1.0, 0, 4)}
 
 
+def test_items_with_one_text_spread_over_blocks(spark):
+    bench = spark.range(12_000).selectExpr("id AS item_id", "'the same ten words stand in each of all these items' AS text")
+    parts = decontamination.blocks(bench)
+    sizes = [b.items.count() for b in parts]
+    assert len(parts) == 3 and sum(sizes) == 12_000 and max(sizes) < 1.2 * decontamination.ITEM_BLOCK
+
+
+def test_features_are_counted_on_all_documents(spark, monkeypatch):
+    """A block's seeds don't depend on what earlier blocks have dropped."""
+    docs = documents(spark, [(i, f"alpha beta gamma delta number{i % 2} tail{i}", None, None, 0) for i in range(40)])
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta number0"), (2, "alpha beta gamma delta number1")], "item_id long, text string")
+    seen, plain = [], decontamination.feature_counts
+    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 1)
+    monkeypatch.setattr(decontamination, "feature_counts", lambda docs, items: (seen.append(docs.count()), plain(docs, items))[1])
+    assert decontamination.drop_leaks(docs, bench).count() == 0 and seen == [40] * len(seen) and len(seen) >= 2
+
+
 # ---------------------------------------------------------------- lines
 
 
