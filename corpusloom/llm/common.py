@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.plans.staging import shared_folder, staged
 
-__all__ = ["WORD", "WordScores", "crc_of_id", "fresh", "hashed_subwords", "in_slices", "memo", "of_texts", "one_per_id", "release_memos", "shared_folder", "smallest_by_hash", "staged", "table", "trained"]
+__all__ = ["WORD", "WordScores", "crc_of_id", "fresh", "hashed_subwords", "in_slices", "memo", "of_texts", "one_per_id", "release_memos", "shared_folder", "smallest_by_hash", "staged", "table", "trained", "trim"]
 
 #: What separates words: the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +69,8 @@ def of_texts(schema: str, start: Callable[[], Callable[[list[str | None]], objec
         work = start()
         for texts in batches:
             yield work([t if isinstance(t, str) else None for t in texts])
+        del work
+        trim()
 
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from run(batches)
@@ -77,6 +82,10 @@ def of_texts(schema: str, start: Callable[[], Callable[[list[str | None]], objec
 
 
 _MEMOS: dict[object, object] = {}
+try:
+    _LIBC = ctypes.CDLL(None)
+except (OSError, TypeError):  # no C library of this kind
+    _LIBC = None
 
 
 def memo(key: object, make: Callable[[], object]) -> object:
@@ -90,6 +99,15 @@ def memo(key: object, make: Callable[[], object]) -> object:
 def release_memos() -> None:
     """Tasks that need room of their own call this first: workers outlive the operators that filled them."""
     _MEMOS.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give what is free in this worker back to the system: a worker that waits for its next task keeps all that it once needed else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def trained(sample: DataFrame, learn: Callable[[pd.DataFrame], object]) -> object:

@@ -197,6 +197,7 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos()
         for table, bounds in whole_groups(batches, "pair"):
             a, b, n, settled = [], [], [], []
             for start, end in zip(bounds, np.append(bounds[1:], table.num_rows), strict=True):
@@ -263,6 +264,7 @@ def classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: floa
     placed = met.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n_blocks")).cast("int"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memos()
         shingles = Shingles(n)
         for batch in batches:
             for a in range(0, len(batch), 1000):
