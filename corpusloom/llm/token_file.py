@@ -100,7 +100,7 @@ class WordIds:
     and no other, ends a word. When the bound is met, the words of the texts at hand are kept.
     """
 
-    def __init__(self, path: str, remember: int = 700_000, characters: int = 8_000_000):
+    def __init__(self, path: str, remember: int = 400_000, characters: int = 3_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
