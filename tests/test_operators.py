@@ -66,6 +66,25 @@ def test_chunks_by_definition(spark):
     ]
 
 
+@pytest.mark.parametrize("strategy", ["by_lines", "by_size", "ast", "hybrid"])
+def test_chunking_reads_files_once(spark, tmp_path, strategy):
+    rows = [("a.md", "# T\ntext\n## U\nmore"), ("b.py", PYTHON), ("c.txt", "x\n" * 120), ("d.md", None), ("e.py", "")]
+    files(spark, rows).write.parquet(str(tmp_path / "f"))
+    chunks = chunking.chunk(spark.read.parquet(str(tmp_path / "f")), strategy)
+    assert chunks._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    apart = chunking.CHUNKERS[strategy](files(spark, rows[1:3] + rows[4:])).unionByName(chunking.by_heading(files(spark, rows[:1])))
+    assert sorted(map(str, chunks.select(apart.columns).collect())) == sorted(map(str, apart.collect()))
+
+
+def test_a_long_text_is_cut_in_one_pass(spark):
+    text = "words on a line\n" * 250_000  # 4 MB
+    df = spark.range(1).select(F.lit("a.txt").alias("filepath"), F.expr("repeat('words on a line\n', 250000)").alias("content"))
+    sized = chunking.by_size(df).agg(F.count("*").alias("n"), F.max("line_end").alias("last"), F.max("chunk_index").alias("place")).first()
+    assert (sized.n, sized.last) == (-(-len(text) // 450), 250_001) and sized.place == sized.n - 1
+    lined = chunking.by_lines(df).agg(F.count("*").alias("n"), F.max("line_end").alias("last")).first()
+    assert (lined.n, lined.last) == (-(-250_000 // 45), 250_000)
+
+
 def test_hybrid_chunks_name_their_symbols(spark):
     found = chunking.hybrid(files(spark, [("a.py", PYTHON)]), 8, 2).orderBy("chunk_index").collect()
     assert [r.symbols for r in found] == [["first", "second"], ["second", "inner", "Third", "method"], ["method"]]
