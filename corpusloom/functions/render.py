@@ -86,18 +86,21 @@ def toc_text(chunks: DataFrame, key: str = "url") -> DataFrame:
     return rows.select(key, F.concat(head, F.array_join("rows", "\n"), foot).alias("toc"))
 
 
-def sections(chunks: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    """Chunks whose number equals a name, or whose label holds one in any case, each once and in order; an empty name matches all."""
-    terms = [n.strip().lower() for n in names]
+def sections(chunks: DataFrame, names: list[str | int], keys: list[str]) -> DataFrame:
+    """Chunks whose number equals a name, or whose label holds one in any case, each once and in order; an empty name matches all.
+
+    A name that is an int is a number only: it is not looked for in labels.
+    """
+    terms = [n.strip().lower() for n in names if isinstance(n, str)]
     number = F.row_number().over(W.partitionBy(*keys).orderBy("chunk_index")) - 1
     label = F.lower(section_label())
-    hit = F.lit(False)
+    hit = F.col("_number").isin([n for n in names if not isinstance(n, str)])
     for t in terms:
         hit = hit | (F.col("_number").cast("string") == t) | F.contains(label, F.lit(t))
     return chunks.withColumn("_number", number).filter(hit).withColumnsRenamed({"_number": "number"})
 
 
-def sections_text(chunks: DataFrame, names: list[str], key: str = "url") -> DataFrame:
+def sections_text(chunks: DataFrame, names: list[str | int], key: str = "url") -> DataFrame:
     """key, text: the chosen sections of each page as markdown, or what there was to choose from."""
     if not names:
         return chunks.select(key).distinct().withColumn("text", F.lit("No sections requested."))
