@@ -89,13 +89,13 @@ def vectors_of(postings_df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class HashingEmbedder:
-    """The default provider, which needs no network: signed feature hashing of tokens, normalised to unit length.
+    """The default provider, which needs no network: signed feature hashing of tokens, normalised to unit length, or with unit=False whole numbers.
 
     Any object with `dim` and `embed(texts) -> (n, dim) array` can take its place, such as a client of an embedding service.
     """
 
-    def __init__(self, dim: int = 64):
-        self.dim = dim
+    def __init__(self, dim: int = 64, unit: bool = True):
+        self.dim, self.unit = dim, unit
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out, places = np.zeros((len(texts), self.dim), np.float64), {}
@@ -105,7 +105,7 @@ class HashingEmbedder:
                     h = int.from_bytes(hashlib.md5(token.encode("utf-8", "surrogatepass")).digest()[:4], "big")
                     places[token] = h % self.dim, 1 - 2 * (h >> 31)
                 out[i, places[token][0]] += places[token][1]
-        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12) if self.unit else out).astype(np.float32)
 
 
 def with_retries(call: Callable[[], np.ndarray], attempts: int = 5, first_wait: float = 4, longest_wait: float = 120) -> np.ndarray:
