@@ -81,7 +81,7 @@ class Items:
         return np.concatenate([a for a, _ in out]), np.concatenate([k for _, k in out])
 
     def choose_seeds(self, counts: np.ndarray) -> None:
-        """counts: of each feature in (a part of) the corpus. They decide how many places are looked at, not what is found."""
+        """counts: of each feature in the corpus. They decide how many places are looked at, not what is found."""
         common, key = np.repeat(counts, self.sizes), np.repeat(self.grams, self.sizes)
         order = np.lexsort((-key, common, self.item))
         item, key = self.item[order], key[order]
@@ -171,16 +171,17 @@ def matches(texts: list[str | None], items: Items) -> list[list[tuple[int, float
 
 
 def feature_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each feature of the block's items stands in a sixteenth of the documents. A task sends a row per feature met."""
-    docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0)
+    """How often each feature of the block's items stands in the documents, all of them. A task sends a row per feature met."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = sent.value
         total = np.zeros(len(items.grams), np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                np.add.at(total, items.hits(items.numbers(words_of(text)))[1], 1)
+            for a, b in in_slices(batch["text"].tolist(), 1_000_000):
+                # Texts as one row of words with an unknown one after each, so that no pair spans two.
+                words = [w for text in batch["text"][a:b] for w in (*words_of(text), None)]
+                total += np.bincount(items.hits(items.numbers(words))[1], minlength=len(total))
         met = np.flatnonzero(total)
         yield pd.DataFrame({"gram": met, "n": total[met]})
 

@@ -136,3 +136,16 @@ def test_the_fitting_rows_are_the_same_each_time(spark):
     marks = spark.createDataFrame([(i % 50, i % 2, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
     runs = [toxicity.toxicity(docs.repartition(n), marks, fit_rows=20).agg(F.sum("score")).first()[0] for n in (1, 5)]
     assert runs[0] == pytest.approx(runs[1], abs=1e-9)
+
+
+def test_features_are_counted_in_all_documents(spark):
+    from corpusloom.llm import decontamination
+
+    items = decontamination.Items([(1, "red green blue"), (2, "green blue black")], 0.5)
+    docs = spark.createDataFrame([(i, "green blue x red green") for i in range(50)] + [(50, None), (51, ""), (52, "blue"), (53, "black Black")], "doc_id long, text string").coalesce(1)
+    counts = dict(zip(items.grams.tolist(), decontamination.feature_counts(docs, items).tolist(), strict=True))
+    word = lambda w: items.vocabulary[w]
+    pair = lambda *w: int(items.pairs(np.array([word(x) for x in w]))[0])
+    assert {w: counts[word(w)] for w in ("red", "green", "blue", "black")} == {"red": 50, "green": 100, "blue": 51, "black": 2}
+    # No pair spans two texts.
+    assert (counts[pair("red", "green")], counts[pair("green", "blue")], counts[pair("blue", "black")]) == (50, 50, 0)
