@@ -8,19 +8,19 @@ count before the top-k.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.collection import Collection
-from corpusloom.operators.retrieval import dense_topk, fuse, sparse_topk
-from corpusloom.operators.vectors import postings_of
+from corpusloom.operators.retrieval import _terms_of, dense_topk, fuse, sparse_topk
 from corpusloom.plans.log import Log
-from corpusloom.plans.order import positioned
 from corpusloom.plans.staging import clean_up, staged
 
 
@@ -28,10 +28,46 @@ def _top(scored: DataFrame, k: int, id_column: str) -> DataFrame:
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
+def _lists(ids: pa.Array, vectors: pa.Array, number: int) -> pa.RecordBatch:
+    """idx, range, top, posts of one range's points."""
+    row, idx, val = _terms_of(vectors)
+    place = np.empty(len(ids), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((place[row], idx))
+    row, idx, val = row[order], idx[order], val[order]
+    starts = np.flatnonzero(np.diff(idx, prepend=-1))
+    posts = pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(val)], names=["id", "val"])
+    posts = pa.ListArray.from_arrays(pa.array(np.append(starts, len(idx)), pa.int32()), posts)
+    tops = np.maximum.reduceat(val, starts) if len(starts) else val
+    return pa.RecordBatch.from_arrays([pa.array(idx[starts], pa.int32()), pa.array(np.full(len(starts), number)), pa.array(tops), posts], names=["idx", "range", "top", "posts"])
+
+
+def _packer(range_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists of a task's sorted points(id, _vector), a range at a time; numbers of ranges begin with the task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            whole = len(held) - len(held) % range_rows
+            for a in range(0, whole, range_rows):
+                part = held.slice(a, range_rows).combine_chunks()
+                yield _lists(part.column("id").chunk(0), part.column("_vector").chunk(0), number)
+                number += 1
+            # Copied, so that what is left doesn't keep the whole batch.
+            held = held.slice(whole).combine_chunks() if whole < len(held) else None
+        if held is not None:
+            part = held.combine_chunks()
+            yield _lists(part.column("id").chunk(0), part.column("_vector").chunk(0), number)
+
+    return run
+
+
 class SparseIndex:
     """Inverted lists in folder: bucket (of the term) / idx, range, top, posts.
 
-    Points in order of `order` make ranges of so many; a list is cut by range, and `top` is its largest value there. A query reads its terms'
+    Points in order of `order` make ranges of so many, or fewer where a task of the sort ends; a list is cut by range, and `top` is its largest value there. A query reads its terms'
     buckets; ranges whose tops, weighted, cannot sum up to the k-th score are not unpacked.
     """
 
@@ -40,10 +76,11 @@ class SparseIndex:
 
     def build(self, points: DataFrame, *, vector: str = "sparse", order: tuple[str, ...] = ("filepath", "chunk_index"), range_rows: int = 1024) -> SparseIndex:
         """Write the lists of points; neighbours in `order` should be alike, as chunks of a file are, so that their ranges differ."""
-        rows = positioned(points.select(self.id, *[c for c in order if c != self.id], F.col(vector).alias("_vector")), [*order, self.id] if self.id not in order else [*order])
-        rows = rows.withColumn("range", F.floor(F.col("_at") / range_rows).cast("int"))
-        lists = postings_of(rows, [self.id, "range"], "_vector").groupBy("idx", "range")
-        lists = lists.agg(F.max("val").alias("top"), F.sort_array(F.collect_list(F.struct(F.col(self.id).alias("id"), "val"))).alias("posts"))
+        keys = [*order, self.id] if self.id not in order else [*order]
+        rows = points.select(self.id, *[c for c in order if c != self.id], F.col(vector).alias("_vector")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        id_type = points.schema[self.id].dataType.simpleString()
+        # Each task packs its own ranges, so that no posting is shuffled by itself.
+        lists = rows.select(F.col(self.id).alias("id"), "_vector").mapInArrow(_packer(range_rows), f"idx int, range long, top double, posts array<struct<id:{id_type},val:double>>")
         lists = lists.withColumn("bucket", F.pmod("idx", F.lit(self.buckets)))
         # By ranges, so that a bucket with frequent terms is written by several tasks.
         lists.repartitionByRange("bucket", "idx", "range").sortWithinPartitions("bucket", "idx", "range").write.partitionBy("bucket").parquet(self.folder)
@@ -54,7 +91,7 @@ class SparseIndex:
         there = set(Log(self.spark, self.folder).names(""))
         wanted = sorted(name for name in {f"bucket={t % self.buckets}" for t in terms} if name in there)
         if not wanted:
-            return self.spark.createDataFrame([], f"idx int, range int, top double, posts array<struct<id:{self._id_type()},val:double>>")
+            return self.spark.createDataFrame([], f"idx int, range long, top double, posts array<struct<id:{self._id_type()},val:double>>")
         read = self.spark.read.option("basePath", self.folder).parquet(*[f"{self.folder}/{name}" for name in wanted])
         return read.filter(F.col("idx").isin(terms)).select("idx", "range", "top", "posts")
 
