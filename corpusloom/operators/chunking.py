@@ -69,22 +69,30 @@ def by_lines(files: DataFrame, size: int = 50, overlap: int = 5) -> DataFrame:
 def _sized(path: Column, content: Column, size: int = 500, overlap: int = 50) -> Column:
     step = check_window(size, overlap)
 
-    def one(text: str) -> pa.StructArray:
-        starts = range(0, len(text), step)
+    def one(raw: bytes | None) -> np.ndarray:
+        """begin and length in bytes, first and last line of each window, a column each."""
+        text = (raw or b"").decode()
+        starts, plain = range(0, len(text), step), text.isascii()
         cut = [text[a : a + size] for a in starts]
-        first = 1 + np.cumsum([0, *(text.count("\n", a, a + step) for a in starts[:-1])]) if cut else np.zeros(0, int)
-        last = first + np.array([c.count("\n") for c in cut], int)
-        n = len(cut)
-        symbols = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1), pa.int32()), pa.array([], pa.string()))
-        return pa.StructArray.from_arrays([pa.array(cut, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.nulls(n, pa.string()), symbols], names=["content", "line_start", "line_end", "type", "symbols"])
+        length = [len(c) if plain else len(c.encode()) for c in cut]
+        begin = np.cumsum([0, *(step if plain else len(text[a : a + step].encode()) for a in starts[:-1])])[: len(cut)]
+        first = 1 + np.cumsum([0, *(text.count("\n", a, a + step) for a in starts[:-1])])[: len(cut)]
+        return np.array([begin, length, first, first + np.array([c.count("\n") for c in cut], np.int64)], np.int32)
 
     def run(texts: pa.Array) -> pa.Array:
-        # One text at a time, so that only the windows of a batch are held, not their strings.
-        made = [one("" if (raw := t.as_buffer()) is None else raw.to_pybytes().decode("utf-8", "replace")) for t in texts.cast(pa.large_binary())]
-        offsets = np.cumsum([0, *map(len, made)])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(made) if made else one(""))
-
-    return F.arrow_udf(run, CHUNKS)(content)
+        # One text at a time, so that only the places of a batch's windows are held, not their strings.
+        made = [one(None if (raw := t.as_buffer()) is None else raw.to_pybytes()) for t in texts.cast(pa.large_binary())]
+        offsets = np.cumsum([0, *(m.shape[1] for m in made)])
+        columns = np.concatenate([np.zeros((4, 0), np.int32), *made], axis=1)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["begin", "bytes", "first", "last"]))
+
+    def windows(x: Column) -> Column:
+        # Parts of bytes are found at once; parts of texts would be looked for from the beginning.
+        return F.transform(x["places"], lambda w: _chunk(F.substring(x["raw"], w["begin"] + 1, w["bytes"]).cast("string"), w["first"], w["last"]))
+
+    valid = F.make_valid_utf8(content)
+    places = F.arrow_udf(run, "array<struct<begin:int,bytes:int,first:int,last:int>>")(valid)
+    return _bound(F.struct(valid.cast("binary").alias("raw"), places.alias("places")), windows)
 
 
 def by_size(files: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
