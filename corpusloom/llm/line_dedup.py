@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,58 +27,75 @@ from corpusloom.llm.common import fresh, staged
 PLACE = ["d", "t", "pos"]
 #: Suffixes that a task reads the array by.
 BLOCK = 65_536
+#: Bytes of text, with 64 more for each line, that are cut into lines at a time.
+SLICE = 4_000_000
 
+# White space in UTF-8: single bytes, wider characters by width as numbers, and the bytes that these begin with.
+_SPACES = [chr(c).encode() for c in range(0x10000) if chr(c).isspace()]
+_SPACE, _LEAD = (np.isin(np.arange(256), [x[0] for x in _SPACES if (len(x) > 1) == wide]) for wide in (False, True))
+_WIDE = {n: [int.from_bytes(x) for x in _SPACES if len(x) == n] for n in (2, 3)}
 
-def _reach(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line, the fewest lines from it on, and up to it, that hold `least` words (0: there are too few)."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    n = len(words)
-    end = np.searchsorted(total, total[:-1] + least, "left")
-    start = np.searchsorted(total, total[1:] - least, "right") - 1
-    # Lines without words before the first counted one don't lengthen a run to the front.
-    return np.where(end <= n, end - np.arange(n), 0), np.where(total[1:] >= least, np.arange(n) - start + 1, 0)
+
+def _word_counts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words, as str.split() parts them, of each line of UTF-8 bytes; ends: where the lines end, at a newline or the last byte."""
+    space = _SPACE[data]
+    at = np.flatnonzero(_LEAD[data])  # bytes that can begin a wider space
+    code = np.zeros(len(at), np.int64)
+    for i in range(3):
+        code = code << 8 | np.where(at + i < len(data), data[np.minimum(at + i, len(data) - 1)], 0)
+    for width, found in ((2, np.isin(code >> 8, _WIDE[2])), (3, np.isin(code, _WIDE[3]))):
+        space[(at[found, None] + np.arange(width)).ravel()] = True
+    begins = ~space
+    begins[1:] &= space[:-1]
+    return np.diff(np.searchsorted(np.flatnonzero(begins), ends), prepend=0)
 
 
-def _depths(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, n): the shortest runs from each line on, and up to each line, that hold `least` words, by their first line.
+def _depths(words: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, n), ascending: the shortest runs from each line on, and up to each line, that hold `least` words, by their first line.
 
+    words: those of the lines of many texts, one after another; sizes: how many lines each has. No run leaves its text.
     Of all runs with so many words it is enough to look at these: together they cover every line of every longer
     repeated run, and no other.
     """
-    ahead, back = _reach(words, least)
-    at = np.arange(len(words))
-    pairs = np.concatenate([np.stack([at, ahead], 1)[ahead > 0], np.stack([at - back + 1, back], 1)[back > 0]])
-    pairs = np.unique(pairs, axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    total, at = np.concatenate([[0], np.cumsum(words)]), np.arange(len(words))
+    last = np.repeat(np.cumsum(sizes), sizes)
+    first = last - np.repeat(sizes, sizes)
+    end = np.searchsorted(total, total[:-1] + least, "left")
+    # Lines without words before the first counted one don't lengthen a run to the front.
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    ahead, back = end <= last, start >= first
+    line, n = np.concatenate([at[ahead], start[back]]), np.concatenate([(end - at)[ahead], (at + 1 - start)[back]])
+    pairs = np.unique(line[n > 0] * (len(words) + 1) + n[n > 0])
+    return pairs // (len(words) + 1), pairs % (len(words) + 1)
+
+
+def places_of(d: np.ndarray, t: np.ndarray, texts: list[bytes], least: int) -> pa.RecordBatch:
+    """The rows of line_places for some texts, in UTF-8, all their lines at once; texts without a run to look at have none."""
+    joined = b"\n".join(texts)
+    data = np.frombuffer(joined, np.uint8)
+    sizes = np.array([x.count(b"\n") + 1 for x in texts], np.int64)
+    line, n = _depths(_word_counts(data, np.append(np.flatnonzero(data == 10), len(data))), sizes, least)
+    runs = np.bincount(line, minlength=int(sizes.sum()))
+    text = np.repeat(np.arange(len(texts)), sizes)
+    kept = (np.bincount(text, runs) > 0)[text]
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, compress(joined.split(b"\n"), kept))), ">i8").reshape(-1, 2).astype(np.int64)
+    text, pos = text[kept], (np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[kept]
+    depths = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs[kept])]), pa.int32()), pa.array(n, pa.int32()))
+    return pa.RecordBatch.from_arrays([*map(pa.array, (d[text], t[text], pos, h[:, 0], h[:, 1])), depths], names=[*PLACE, "h1", "h2", "depths"])
 
 
 def line_places(docs: DataFrame, min_words: int) -> DataFrame:
     """d, t, pos, h1, h2 (128-bit hash of the line), depths (lengths of the runs to look at that begin with the line)."""
-    schema = pa.schema([*((c, pa.int64()) for c in (*PLACE, "h1", "h2")), ("depths", pa.list_(pa.int32()))])
-
-    def one(d: int, t: int, text: str) -> pa.RecordBatch | None:
-        lines = text.split("\n")
-        first, n = _depths(np.fromiter((len(x.split()) for x in lines), np.int64, len(lines)), min_words)
-        if not len(first):
-            return None
-        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), ">i8").reshape(-1, 2).astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(first, minlength=len(lines)))])
-        depths = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(n, pa.int32()))
-        k = len(lines)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(k, d)), pa.array(np.full(k, t)), pa.array(np.arange(k)), pa.array(h[:, 0]), pa.array(h[:, 1]), depths], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for d, t, text in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), batch.column("text"), strict=True):
-                if (found := one(d, t, text.as_py())) is not None:
-                    held.append(found)
-                    size += found.num_rows
-                if size > 50_000:
-                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                    held, size = [], 0
-            if held:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            column = batch.column("text").cast(pa.binary())
+            room = pc.binary_length(column).to_numpy() + 64 * pc.count_substring(column, b"\n").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(room, dtype=np.int64) // SLICE)) + 1).tolist(), len(column)]
+            d, t = batch.column("d").to_numpy(), batch.column("t").to_numpy()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    yield places_of(d[a:b], t[a:b], column.slice(a, b - a).to_pylist(), min_words)
 
     rows = docs.filter(F.col("text").isNotNull()).select(_id(), F.xxhash64("text").alias("t"), "text")
     return rows.mapInArrow(run, "d long, t long, pos long, h1 long, h2 long, depths array<int>")
