@@ -16,7 +16,12 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import stripped_length
+from corpusloom.functions.text import stripped_length, tokens
+from corpusloom.operators.vectors import slices, unit_terms
+
+
+#: Terms of rows, and products of theirs with queries' terms, that a task holds at a time when it scores a batch of rows.
+TERMS, PRODUCTS = 500_000, 1_000_000
 
 
 def payload_filter(file_filter: str | None = None, language: str | None = None, is_test: bool | None = None) -> Column:
@@ -51,7 +56,7 @@ def _best(found: pa.Table, k: int, id_column: str) -> pa.Table:
 
 
 def _batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str, vector: str, query_block: int, prepare: Callable, scores: Callable) -> DataFrame:
-    """query_id, id, score, rank: queries go through in blocks of bounded size, and every task keeps k rows for each.
+    """query_id, id, score, rank of rows(id, vector): queries go through in blocks of bounded size, and every task keeps k rows for each.
 
     prepare(vectors) makes of a block's vectors what tasks get. scores(block, batch) yields, for slices of a batch of
     rows, (first row, scores of rows by queries), NaN where a row takes no part. What is shuffled is tasks x queries x k.
@@ -80,8 +85,9 @@ def _batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str, vec
             if held:
                 yield from _best(pa.concat_tables(held), k, id_column).to_batches()
 
-        ids = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(own)], f"query long, query_id {query_type}")  # a block's, so of bounded size
-        found = rows.select(id_column, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, f"query long, score double, {id_column} {id_type}")
+        # A block's, so of bounded size; from Arrow, so that no Python worker is started for them.
+        ids = spark.createDataFrame(pa.table({"query": range(len(own)), "query_id": [r.query_id for r in own]}), f"query long, query_id {query_type}")
+        found = rows.mapInArrow(run, f"query long, score double, {id_column} {id_type}")
         parts.append(found.join(F.broadcast(ids), "query").select("query_id", id_column, "score"))
     if not parts:
         return spark.createDataFrame([], f"query_id {query_type}, {id_column} {id_type}, score double, rank int")
@@ -109,6 +115,7 @@ def _dense_scores(block: np.ndarray, column: pa.Array) -> Iterator[tuple[int, np
 def dense_batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "point_id", vector: str = "dense", query_block: int = 4096) -> DataFrame:
     """query_id, id, score, rank for queries(query_id, dense), exactly: a task multiplies its rows' vectors with a block's matrix, slice by slice."""
     queries = queries.withColumnRenamed("dense", vector)
+    rows = rows.select(id_column, vector).filter(F.col(vector).isNotNull())
     return _batch_topk(rows, queries, k, id_column, vector, query_block, lambda vectors: np.nan_to_num(_unit(np.array(vectors, float))), _dense_scores)
 
 
@@ -117,7 +124,7 @@ def sparse_product(query: Row, vector: Column) -> Column:
     order = np.argsort(np.array(query["indices"], np.int64), kind="stable")
     asked, weights = np.array(query["indices"], np.int64)[order], np.array(query["values"], float)[order]
 
-    def run(rows: pa.Array) -> pa.Array:
+    def made(rows: pa.Array) -> pa.Array:
         row, idx, val = _terms_of(rows)
         at = np.minimum(np.searchsorted(asked, idx), len(asked) - 1)
         shared = asked[at] == idx
@@ -125,6 +132,9 @@ def sparse_product(query: Row, vector: Column) -> Column:
         total = np.round(np.bincount(row, val[shared] * weights[at[shared]], len(rows)), 12)
         return pa.array(total, mask=np.bincount(row, minlength=len(rows)) == 0)
 
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.concat_arrays([made(rows.slice(a, len(part))) for a, part in slices(pc.struct_field(rows, "indices"), TERMS)])
+
     return F.arrow_udf(run, "double")(vector)
 
 
@@ -162,28 +172,42 @@ class _Terms:
         self.terms, self.begins, self.sizes = np.unique(idx[order], return_index=True, return_counts=True)
 
 
-def _sparse_scores(block: _Terms, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """Products by terms that rows share with queries, in slices of about two million products at most."""
-    if not len(block.terms):
-        return
-    row, idx, val = _terms_of(column)
+def _products(block: _Terms, row: np.ndarray, idx: np.ndarray, val: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Products of n rows by terms that they share with queries, in slices of about PRODUCTS at most."""
     at = np.minimum(np.searchsorted(block.terms, idx), len(block.terms) - 1)
     known = block.terms[at] == idx
     row, at, val = row[known], at[known], val[known]
-    made = np.cumsum(np.bincount(row, block.sizes[at], len(column))) // 2_000_000
-    cuts = np.unique(np.concatenate([np.arange(0, len(column), 1024), np.flatnonzero(np.diff(made)) + 1, [len(column)]]))
+    made = np.cumsum(np.bincount(row, block.sizes[at], n)) // PRODUCTS
+    cuts = np.unique(np.concatenate([np.arange(0, n, 1024), np.flatnonzero(np.diff(made)) + 1, [n]]))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         low, high = np.searchsorted(row, [a, b])
-        n = block.sizes[at[low:high]]
-        pair = np.repeat(block.begins[at[low:high]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        cell = np.repeat(row[low:high] - a, n) * block.n + block.query[pair]
-        product = np.bincount(cell, np.repeat(val[low:high], n) * block.weight[pair], (b - a) * block.n)
+        sizes = block.sizes[at[low:high]]
+        pair = np.repeat(block.begins[at[low:high]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        cell = np.repeat(row[low:high] - a, sizes) * block.n + block.query[pair]
+        product = np.bincount(cell, np.repeat(val[low:high], sizes) * block.weight[pair], (b - a) * block.n)
         product[np.bincount(cell, minlength=(b - a) * block.n) == 0] = np.nan
         yield int(a), np.round(product, 12).reshape(-1, block.n)
 
 
-def sparse_batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "point_id", vector: str = "sparse", query_block: int = 1024) -> DataFrame:
-    """query_id, id, score, rank for queries(query_id, sparse), exactly; only rows that share a term take part."""
+def _sparse_scores(block: _Terms, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a batch of sparse vectors, or of lists of terms, which become such, a slice of bounded size at a time."""
+    if not len(block.terms):
+        return
+    whole = pa.types.is_struct(column.type)
+    for low, part in slices(pc.struct_field(column, "indices") if whole else column, TERMS):
+        for a, product in _products(block, *(_terms_of(column.slice(low, len(part))) if whole else unit_terms(part)), len(part)):
+            yield low + a, product
+
+
+def sparse_batch_topk(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "point_id", vector: str = "sparse", query_block: int = 1024, text: str | None = None) -> DataFrame:
+    """query_id, id, score, rank for queries(query_id, sparse), exactly; only rows that share a term take part.
+
+    text: rows hold texts, whose vectors (with_sparse) are made where they are scored: one Python worker a task, and no vectors that move between two.
+    """
+    if text is None:
+        rows = rows.select(id_column, vector).filter(F.col(vector).isNotNull())
+    else:
+        rows = rows.filter(F.col(text).isNotNull()).select(id_column, tokens(F.col(text)).alias(vector))
     return _batch_topk(rows, queries.withColumnRenamed("sparse", vector), k, id_column, vector, query_block, _Terms, _sparse_scores)
 
 

@@ -22,31 +22,48 @@ VOCABULARY = 50_000
 SLICE = 1_000_000
 
 
+def slices(lists: pa.Array, room: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows): lists in slices of about `room` values at most, or one list; there is always one."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // room)) + 1).tolist(), len(lists)]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        yield low, lists.slice(low, high - low)
+
+
 def count_terms(lists: pa.Array, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For lists of terms: row, idx (ascending in each row) and how often terms that hash to it stand in the row."""
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE)) + 1, [len(lists)]])).tolist()
     cells, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-        terms = lists.slice(low, high - low).flatten().dictionary_encode()
+    for low, part in slices(lists, SLICE):
+        sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+        terms = part.flatten().dictionary_encode()
         # A term is hashed once, however often it stands in the slice.
         bucket = np.array([int.from_bytes(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest(), "big") % vocabulary for t in terms.dictionary.to_pylist()], np.int64)
         if len(bucket):
-            found = np.unique(np.repeat(np.arange(low, high), sizes[low:high]) * vocabulary + bucket[terms.indices.to_numpy()], return_counts=True)
+            found = np.unique(np.repeat(np.arange(low, low + len(part)), sizes) * vocabulary + bucket[terms.indices.to_numpy()], return_counts=True)
             cells.append(found[0])
             counts.append(found[1])
     cells = np.concatenate(cells)
     return cells // vocabulary, cells % vocabulary, np.concatenate(counts)
 
 
+def unit_terms(lists: pa.Array, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lists of terms: row, idx and val, the sparse vectors of unit length that with_sparse makes."""
+    row, idx, tf = count_terms(lists, vocabulary)
+    return row, idx, _unit_length(row, tf, len(lists))
+
+
 def _vectors(text: Column, vocabulary: int, kind: str, value: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Column:
     """struct(indices, values) of a text; value(row, tf, rows) makes values, of Spark's type `kind`, of the counts. Texts are cut into terms in the JVM and counted in Arrow columns."""
 
-    def run(lists: pa.Array) -> pa.Array:
+    def made(lists: pa.Array) -> pa.Array:
         row, idx, tf = count_terms(lists, vocabulary)
         offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lists)))]), pa.int32())
-        made = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((idx, pa.int32()), (value(row, tf, len(lists)), pa.float64() if kind == "double" else pa.int64()))]
-        return pa.StructArray.from_arrays(made, names=["indices", "values"])
+        both = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((idx, pa.int32()), (value(row, tf, len(lists)), pa.float64() if kind == "double" else pa.int64()))]
+        return pa.StructArray.from_arrays(both, names=["indices", "values"])
+
+    def run(lists: pa.Array) -> pa.Array:
+        # What is counted at a time is a slice, not the batch.
+        return pa.concat_arrays([made(part) for _, part in slices(lists, SLICE)])
 
     return F.arrow_udf(run, f"struct<indices:array<int>,values:array<{kind}>>")(tokens(text))
 
